@@ -5,8 +5,10 @@ A document is the set of its word shingles. Its signature is K minima of b bits
 is indexed under every key that leaves out one place: all pairs within that distance meet under some key.
 
 Within a key nobody is paired with everybody. First each member meets the key's smallest one; candidates are verified
-on full shingle sets and joined to components. Only where a key still holds several components are the
-remaining pairs across them compared (signature first, then full sets), so no link that matters is lost.
+on full shingle sets and joined to components. Keys that still hold several components are gathered into
+clusters, and in these every document outside the cluster's main component is compared on full sets with every other, in blocks whose
+intersection sizes are matrix products: no link that matters is lost and no pair is written out but a spanning forest of links. That
+work (not its rows) is quadratic in what the first step leaves open of one cluster; it is spread over tasks of bounded size.
 Documents of equal sets stand as one from the start.
 """
 
@@ -155,6 +157,100 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int, width: int, share:
     return rows.mapInPandas(_verified(percent, width), "a long, b long, shared long, united long")
 
 
+def _block(percent: int, width: int, columns: int = 4096):
+    """Links between the documents of two buckets (or within one), as a spanning forest."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q = int(pdf["p"].iat[0]), int(pdf["q"].iat[0])
+        ids, bucket = pdf["id"].to_numpy(), pdf["bucket"].to_numpy()
+        sets = [shingles(t, width) for t in pdf["text"]]
+        n = np.array([len(x) for x in sets], np.int64)
+        one, two = (np.arange(len(ids)),) * 2 if p == q else (np.flatnonzero(bucket == p), np.flatnonzero(bucket == q))
+        if not len(one) or not len(two):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        doc = np.repeat(np.arange(len(ids)), n)
+        _, inverse, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        common = held >= 2  # others meet nobody
+        number = np.cumsum(common) - 1
+        use = common[inverse]
+        doc, column = doc[use], number[inverse[use]]
+        order = np.argsort(column, kind="stable")
+        doc, column = doc[order], column[order]
+        both = np.zeros((len(one), len(two)), np.float32)
+        for first in range(0, int(common.sum()), columns):
+            lo, hi = np.searchsorted(column, [first, first + columns])
+            part = np.zeros((len(ids), columns), np.float32)
+            part[doc[lo:hi], column[lo:hi] - first] = 1
+            both += part[one] @ part[two].T
+        union = n[one][:, None] + n[two][None, :] - both
+        hit = 100.0 * both >= float(percent) * union
+        if p == q:
+            np.fill_diagonal(hit, False)
+        return _forest(hit, ids[one], ids[two], p == q)
+
+    return run
+
+
+def _forest(hit: np.ndarray, one: np.ndarray, two: np.ndarray, same: bool) -> pd.DataFrame:
+    """Edges that join what hit joins: each node reached is linked to the one it was reached from."""
+    a, b = [], []
+    if same:
+        left = np.ones(len(one), bool)
+        for start in np.flatnonzero(hit.any(axis=1)):
+            if not left[start]:
+                continue
+            left[start] = False
+            stack = [start]
+            while stack:
+                i = stack.pop()
+                new = np.flatnonzero(hit[i] & left)
+                left[new] = False
+                a += [one[i]] * len(new)
+                b += one[new].tolist()
+                stack += new.tolist()
+    else:
+        rows, cols = np.ones(len(one), bool), np.ones(len(two), bool)
+        for start in np.flatnonzero(hit.any(axis=1)):
+            if not rows[start]:
+                continue
+            rows[start] = False
+            stack = [(True, start)]
+            while stack:
+                row, i = stack.pop()
+                new = np.flatnonzero(hit[i] & cols) if row else np.flatnonzero(hit[:, i] & rows)
+                (cols if row else rows)[new] = False
+                a += [(one if row else two)[i]] * len(new)
+                b += (two if row else one)[new].tolist()
+                stack += [(not row, j) for j in new]
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+def across(shared: DataFrame, parts: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int, width: int, documents: int = 384, shingles_: int = 300_000) -> DataFrame | None:
+    """Links (a, b) between components that some key holds together; None where no key holds two.
+
+    A bucket has about documents members and shingles_ shingles, so a task's memory does not depend on the cluster.
+    """
+    member = shared.select("key", "hub", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("key", "hub", "rep", F.coalesce("component", "rep").alias("part"))
+    split = member.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+    open_ = staged(member.join(split, "key").select("hub", "rep", "part").distinct(), "open")
+    if not open_.take(1):
+        return None
+    clusters = staged(connected_components(open_.where("hub <> rep"), "hub", "rep"), "clusters").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    rows = open_.select(F.col("rep").alias("id"), "part").distinct().join(clusters, "id").join(sizes.select(F.col("rep").alias("id"), "n"), "id")
+    per = staged(rows.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")), "open-parts")
+    main = per.groupBy("cluster").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.max(F.struct("m", "part", "n")).alias("x"), F.sum("m").alias("m"), F.sum("n").alias("n"))
+    buckets = lambda m, n: F.ceil(F.greatest(m / documents, n / shingles_)).cast("int")
+    main = main.select("cluster", "main", buckets(F.col("x.m"), F.col("x.n")).alias("of_main"), buckets(F.col("m") - F.col("x.m"), F.col("n") - F.col("x.n")).alias("of_rest"))
+    rows = rows.join(main, "cluster").withColumn("is_main", F.col("part") == F.col("main"))
+    h = F.xxhash64("id")
+    rows = rows.withColumn("bucket", F.when(F.col("is_main"), F.pmod(h, F.col("of_main"))).otherwise(F.col("of_main") + F.pmod(h, F.col("of_rest"))).cast("int"))
+    rows = rows.select("id", "cluster", "bucket", "is_main", "of_main", "of_rest").join(texts, "id")
+    first = F.when(F.col("is_main"), F.col("of_main")).otherwise(F.lit(0))
+    rows = rows.withColumn("other", F.explode(F.sequence(first, F.col("of_main") + F.col("of_rest") - 1)))
+    rows = rows.select("cluster", "id", "bucket", F.least("bucket", "other").alias("p"), F.greatest("bucket", "other").alias("q"), "text")
+    return rows.groupBy("cluster", "p", "q").applyInPandas(_block(percent, width), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = SHINGLE) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
@@ -181,18 +277,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = some.select("id", "text")
     first = staged(verify(stars, texts, percent, width), "links")
     parts = staged(connected_components(first), "parts")
-    # keys that hold several components: what their members have not been compared with yet
-    member = shared.select("key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    split = member.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    open_ = staged(member.join(split, "key").join(sizes, "rep"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.part") != F.col("y.part")) & _alike("x", "y", percent))
-    across = across.select(F.col("x.rep").alias("hub"), F.col("y.rep").alias("id")).distinct().join(stars, ["hub", "id"], "left_anti")
-    across = staged(across, "across")
-    links = first.select("a", "b")
-    if across.take(1):
-        links = links.union(staged(verify(across, texts, percent, width), "links").select("a", "b"))
-        parts = staged(connected_components(links), "parts")
+    more = across(shared, parts, sizes, texts, percent, width)
+    if more is not None:
+        parts = staged(connected_components(first.select("a", "b").union(staged(more, "links"))), "parts")
     named = classes.select("d1", "d2", "rep", "n").join(parts, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     found = signed.select("id", "d1", "d2").join(named, ["d1", "d2"]).groupBy("id").agg(F.max("n").alias("n"), F.min("component").alias("component"))
     out = docs.select(F.col(id_col).alias("__id")).join(found, F.col("__id").cast("long") == F.col("id"), "left")
