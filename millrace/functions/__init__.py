@@ -1 +1 @@
-
+"""Column expressions and pure text functions."""
