@@ -1 +1 @@
-
+"""Readers, connectors that a deployment fills in, and sinks."""
