@@ -240,7 +240,7 @@ def records(pages: DataFrame, markdown: str = "markdown", url: str = "url", titl
         sanitize_content("chunk.text").alias("content"),
         F.struct(
             sanitize_label(url, 2048).alias("source_url"), sanitize_label(title).alias("title"),
-            F.transform("chunk.headings_path", sanitize_label).alias("headings_path"), sanitize_label("chunk.section").alias("section"),
+            F.transform("chunk.headings_path", lambda h: sanitize_label(h)).alias("headings_path"), sanitize_label("chunk.section").alias("section"),
             F.col("chunk.word_count").alias("word_count"), F.col("chunk_index").alias("chunk_index"),
         ).alias("metadata"),
     )

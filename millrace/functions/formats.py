@@ -46,7 +46,7 @@ def markdown_table(rows: Iterable[Sequence[object]]) -> str:
 
 def table_lines(grid: Column) -> Column:
     """The same table from array<array<string>>, JVM-side; rows over the cap are for the caller to cut."""
-    clean = F.transform(grid, lambda row: F.transform(row, clean_cell))
+    clean = F.transform(grid, lambda row: F.transform(row, lambda c: clean_cell(c)))
     full = F.filter(clean, lambda row: F.exists(row, lambda c: c != ""))
     width = F.array_max(F.transform(full, F.size))
     even = F.transform(full, lambda row: F.concat(row, F.array_repeat(F.lit(""), width - F.size(row))))

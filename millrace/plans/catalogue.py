@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.plans import accounts, texts, web
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**web.QUERIES, **texts.QUERIES, **accounts.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**web.SQL, **texts.SQL, **accounts.SQL}
