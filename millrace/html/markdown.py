@@ -57,13 +57,14 @@ class Writer:
         if isinstance(n, str):
             return escaped(re.sub(r"\s+", " ", n))
         if n.name == "br":
-            return "  \n"
+            return "\x00"  # becomes a break once blanks are settled
         if n.name == "img":
             return self.image(n)
         if n.name in ("code", "kbd", "samp", "tt"):
             body = re.sub(r"\s+", " ", n.raw_text()).strip()
             tick = "`" * (max(map(len, re.findall("`+", body)), default=0) + 1)
-            return f"{tick}{body}{tick}" if body else ""
+            pad = " " if body[:1] == "`" or body[-1:] == "`" else ""
+            return f"{tick}{pad}{body}{pad}{tick}" if body else ""
         body = "".join(map(self.inline, n.children))
         if n.name == "a":
             return self._around(body, lambda x: self.link(n, x), empty=True)
@@ -87,7 +88,8 @@ class Writer:
         run: list = []
 
         def close() -> None:
-            text = re.sub(r" *\n *", "\n", re.sub(r"[ \t]+(?!\n)", " ", "".join(map(self.inline, run)))).strip()
+            text = re.sub(r"\s+", " ", "".join(map(self.inline, run))).strip(" \x00")
+            text = re.sub(r" *\x00 *", "  \n", text)
             text = re.sub(r"(?m)^(\s*)([#>+=-]|\d+[.)])(?=\s)", r"\1\\\2", text)
             if text:
                 out.append(text)
@@ -108,7 +110,7 @@ class Writer:
 
     def block(self, n: Node) -> list[str]:
         if n.name in HEADINGS:
-            text = re.sub(r"\s+", " ", "".join(map(self.inline, self._plain_heading(n).children))).strip()
+            text = re.sub(r"[\s\x00]+", " ", "".join(map(self.inline, self._plain_heading(n).children))).strip()
             return [f"{'#' * int(n.name[1])} {text}"] if text else []
         if n.name == "hr":
             return ["---"]
@@ -155,7 +157,7 @@ class Writer:
         for tr in n.all("tr"):
             if next((a for a in tr.above() if a.name == "table"), None) is not n:
                 continue
-            rows.append([re.sub(r"\s+", " ", "".join(map(self.inline, c.children))).strip().replace("|", "\\|") for c in tr.children if isinstance(c, Node) and c.name in ("td", "th")])
+            rows.append([re.sub(r"[\s\x00]+", " ", "".join(map(self.inline, c.children))).strip().replace("|", "\\|") for c in tr.children if isinstance(c, Node) and c.name in ("td", "th")])
         rows = [r for r in rows if any(r)]
         if not rows:
             return []

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 def fold(df: DataFrame, key: str, order: list, start: Callable[[], object], step: Callable[[object, object], dict], adds: str) -> DataFrame:
@@ -14,7 +15,7 @@ def fold(df: DataFrame, key: str, order: list, start: Callable[[], object], step
     A key's rows meet in one task, as a sequence must, and pass through it with the state alone held.
     """
     names = [x.strip().split(" ")[0] for x in adds.split(",")]
-    schema = df.schema
+    schema = T.StructType(list(df.schema.fields))
     for field in adds.split(","):
         name, kind = field.strip().split(" ", 1)
         schema = schema.add(name, kind)

@@ -62,11 +62,11 @@ def credit_rollover(periods: DataFrame, project: str, order: str, spent: str, gr
     A project's periods (months, so few) are folded in order; amounts are decimal(18,4).
     """
     money = "decimal(18,4)"
-    rows = periods.groupBy(project).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(spent).cast(money).alias("spent"), grant.cast(money).alias("grant")))).alias("p"))
+    rows = periods.groupBy(project).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(spent).cast(money).alias("spent"), grant.cast(money).alias("grant")))).alias("__periods"))
     kind = f"array<struct<at:{periods.schema[order].dataType.simpleString()},spent:{money},granted:{money}>>"
     last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["granted"] - F.try_element_at(acc, F.lit(-1))["spent"], F.lit(0).cast(money))
-    walked = F.aggregate("p", F.array().cast(kind), lambda acc, x: F.concat(acc, F.array(F.struct(x["at"].alias("at"), x["spent"].alias("spent"), (x["grant"] + F.greatest(last(acc), F.lit(0).cast(money))).cast(money).alias("granted")))))
-    return rows.select(project, F.explode(walked).alias("x")).select(project, F.col("x.at").alias(order), "x.spent", "x.granted")
+    walked = F.aggregate("__periods", F.array().cast(kind), lambda acc, x: F.concat(acc, F.array(F.struct(x["at"].alias("at"), x["spent"].alias("spent"), (x["grant"] + F.greatest(last(acc), F.lit(0).cast(money))).cast(money).alias("granted")))))
+    return rows.select(project, F.explode(walked).alias("__x")).select(project, F.col("__x.at").alias(order), "__x.spent", "__x.granted")
 
 
 def overage_amount(ops: Column, rate: Column) -> Column:

@@ -83,7 +83,7 @@ def rendered(urls: DataFrame, renderer: Renderer, url: str = "url") -> DataFrame
     """urls with html, final_url, render_quality, is_blocked, warnings and error, each page apart."""
     from pyspark.sql import types as T
 
-    schema = urls.schema
+    schema = T.StructType(list(urls.schema.fields))
     for name, kind in (("html", "string"), ("final_url", "string"), ("render_quality", "double"), ("is_blocked", "boolean"), ("warnings", T.ArrayType(T.StringType())), ("error", "string")):
         schema = schema.add(name, kind)
 
