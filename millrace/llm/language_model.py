@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,22 @@ from millrace.llm.common import fold_of, mixed, staged, word_hashes
 
 #: Counts up to LOW are discounted. A word is frequent from a HOT-th part of all tokens.
 LOW, HOT = 5, 1000
-VOCABULARY, BLOCK, PART = 1 << 20, 2_000_000, 4_000_000
+VOCABULARY, BLOCK, PART = 1 << 20, 1_000_000, 3_000_000
+
+
+def packed(a: np.ndarray, delta: bool = False) -> bytes:
+    """Non-negative integers in as few bytes as their largest needs (of their steps, if they ascend), compressed."""
+    a = a.astype(np.uint64)
+    if delta and len(a):
+        a = np.concatenate([a[:1], np.diff(a)])
+    top = int(a.max()) if len(a) else 0
+    kind = "B" if top < 1 << 8 else "H" if top < 1 << 16 else "I" if top < 1 << 32 else "Q"
+    return kind.encode() + zstandard.ZstdCompressor(level=1).compress(a.astype(kind).tobytes())
+
+
+def unpacked(raw: bytes, delta: bool = False) -> np.ndarray:
+    a = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), raw[:1].decode()).astype(np.uint64)
+    return np.cumsum(a, dtype=np.uint64) if delta else a
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -148,10 +164,10 @@ def _dealt(lex: Lexicon, parts: int):
         starts = np.concatenate([[0], np.cumsum(lens)])
         bounds = np.flatnonzero(np.diff(part[order], prepend=-1))
         for a, b in zip(bounds, [*bounds[1:], len(order)], strict=True):
-            own = order[a:b]
+            own = order[a:b]  # keys stay in order
             yield {
-                "part": int(part[own[0]]), "kind": kind, "block": block, "keys": keys[own].tobytes(), "counts": counts[own].astype(np.uint32).tobytes(),
-                "lens": lens[own].astype(np.uint32).tobytes(), "docs": docs[_spread(starts[own], lens[own])].tobytes(), "extra": b"",
+                "part": int(part[own[0]]), "kind": kind, "block": block, "keys": packed(keys[own], delta=True), "counts": packed(counts[own]),
+                "lens": packed(lens[own]), "docs": packed(docs[_spread(starts[own], lens[own])]), "extra": b"",
             }
 
     def grouped(keys: np.ndarray, doc: np.ndarray, training: np.ndarray) -> tuple:
@@ -234,10 +250,11 @@ def _merged(lex: Lexicon, rows: int = 300_000):
             own = pdf[pdf["kind"] == kind]
             if not len(own):
                 continue
-            keys = np.concatenate([np.frombuffer(x, np.uint64) for x in own["keys"]])
-            counts = np.concatenate([np.frombuffer(x, np.uint32) for x in own["counts"]]).astype(np.int64)
-            lens = np.concatenate([np.frombuffer(x, np.uint32) for x in own["lens"]]).astype(np.int64)
-            slots = np.concatenate([np.frombuffer(d, np.uint16).astype(np.int64) + (b << 16) for d, b in zip(own["docs"], own["block"], strict=True)])
+            keys = np.concatenate([unpacked(x, delta=True) for x in own["keys"]])
+            counts = np.concatenate([unpacked(x) for x in own["counts"]]).astype(np.int64)
+            lens = np.concatenate([unpacked(x) for x in own["lens"]]).astype(np.int64)
+            blocks = np.unique(own["block"].to_numpy(np.int64))
+            slots = np.concatenate([unpacked(d).astype(np.int64) + (int(np.searchsorted(blocks, b)) << 16) for d, b in zip(own["docs"], own["block"], strict=True)])
             order = np.argsort(keys, kind="stable")
             slots = slots[_spread((np.cumsum(lens) - lens)[order], lens[order])]
             k = keys[order]
@@ -256,9 +273,10 @@ def _merged(lex: Lexicon, rows: int = 300_000):
                     low = c[a:b][whole & (c[a:b] > 0) & (c[a:b] <= LOW + 1)]
                     ones += np.bincount(low, minlength=LOW + 2)
                 first = ends[a - 1] if a else 0
+                # slots count blocks by their place in extra
                 out.append({
-                    "kind": kind, "keys": k[a:b].tobytes(), "counts": c[a:b].tobytes(), "lens": n[a:b].astype(np.uint32).tobytes(),
-                    "slots": slots[first : ends[b - 1]].tobytes(), "extra": b"", "ones": ones.tolist(),
+                    "kind": kind, "keys": packed(k[a:b], delta=True), "counts": packed(c[a:b]), "lens": packed(n[a:b]),
+                    "slots": packed(slots[first : ends[b - 1]]), "extra": packed(blocks, delta=True), "ones": ones.tolist(),
                 })
                 a = b
         for block, extra in zip(pdf.loc[pdf["kind"] == 2, "block"], pdf.loc[pdf["kind"] == 2, "extra"], strict=True):
@@ -275,7 +293,7 @@ def _hot_sums(lex: Lexicon):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for raw_k, raw_c in zip(pdf["keys"], pdf["counts"], strict=True):
-                k, c = np.frombuffer(raw_k, np.uint64).astype(np.int64), np.frombuffer(raw_c, np.int64)
+                k, c = unpacked(raw_k, delta=True).astype(np.int64), unpacked(raw_c).astype(np.int64)
                 h, w = k // lex.base, k % lex.base
                 use = hot[h] & (c > 0)
                 k, c, h, w = k[use], c[use], h[use], w[use]
@@ -373,9 +391,10 @@ def _scored(lex: Lexicon, wt: Weights):
                     slot = (int.from_bytes(keys, "little") << 16) + np.arange(len(about))
                     yield pd.DataFrame({"slot": slot, "id": about["id"].astype(np.int64), "no_id": about["null"].astype(bool), "train": about["train"].astype(bool), "n": about["n"].astype(np.int64), "known": about["known"].astype(np.int64), "base": about["base"].astype(float), "score": 0.0})
                     continue
-                c, n, s = np.frombuffer(counts, np.int64), np.frombuffer(lens, np.uint32).astype(np.int64), np.frombuffer(slots, np.int64)
+                c, n, s = (unpacked(x).astype(np.int64) for x in (counts, lens, slots))
+                s = (unpacked(extra, delta=True).astype(np.int64)[s >> 16] << 16) | (s & 0xFFFF)
                 if kind == 0:
-                    yield summed(s, score=np.repeat(pairs(np.frombuffer(keys, np.uint64).astype(np.int64), c), n))
+                    yield summed(s, score=np.repeat(pairs(unpacked(keys, delta=True).astype(np.int64), c), n))
                 else:
                     yield summed(s, score=np.repeat(lex.rare_log(c), n), base=np.repeat(lex.base_log(c), n), known=np.repeat((c > 0).astype(float), n))
 
