@@ -274,7 +274,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = shared.where("rep <> hub").select("hub", F.col("rep").alias("id")).distinct()
     stars = stars.join(sizes.alias("x"), F.col("id") == F.col("x.rep")).join(sizes.alias("y"), F.col("hub") == F.col("y.rep")).where(_alike("x", "y", percent)).select("hub", "id")
     stars = staged(stars, "stars")
-    texts = some.select("id", "text")
+    # texts of documents that share a key with another, once: all that follows reads them alone
+    texts = staged(some.join(shared.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts")
     first = staged(verify(stars, texts, percent, width), "links")
     parts = staged(connected_components(first), "parts")
     more = across(shared, parts, sizes, texts, percent, width)
