@@ -18,10 +18,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import staged
 from millrace.llm.unigram import NEVER as UNREACHED
-from millrace.llm.unigram import Pieces, pieces
+from millrace.llm.unigram import Pieces, byte_table, joined, pieces
 
 CHUNK, GIANT, SPAN = 32_768, 65_536, 64
 NEVER = -(1 << 62)
@@ -112,23 +113,23 @@ def scan(matrices: list[np.ndarray], start: int = 0, end: int = 0) -> list[int]:
     return states[::-1]
 
 
-def _ids(path: str):
+def _ids(path: str, text: int, batch_chars: int = 1_000_000):
+    """Adds a column of ids; text is the place of the text's column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for batch in batches:
-            at = 0
-            texts = batch.column(1)
-            while at < len(texts):  # some millions of characters at a time
+            at, texts, names = 0, batch.column(text), [*batch.schema.names, "__ids"]
+            while at < len(texts):  # a million characters at a time
                 ids, size, begun = [], 0, at
-                while at < len(texts) and size < 4_000_000:
-                    text = texts[at].as_py() or ""
-                    ids.append(p.encode(text))
-                    size += len(text)
+                while at < len(texts) and size < batch_chars:
+                    one = texts[at].as_py() or ""
+                    ids.append(p.encode(one))
+                    size += len(one)
                     at += 1
-                lengths = np.array([len(x) for x in ids], np.int32)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-                column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begun, at - begun), column], ["row", "ids"])
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
+                part = batch.slice(begun, at - begun)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))], names)
 
     return run
 
@@ -210,9 +211,9 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
     kept = [c for c in docs.columns if c != ids_col]
     docs = docs.select(*kept)
     long = F.coalesce(F.length(text_col) > giant, F.lit(False))
-    row = F.struct(*[F.col(c) for c in kept]).alias("row")
-    schema = docs.where(~long).select(row).schema.simpleString()[len("struct<row:") : -1]
-    short = docs.where(~long).select(row, F.col(text_col).alias("__text")).mapInArrow(_ids(model), f"row {schema}, ids array<int>").select("row.*", F.col("ids").alias(ids_col))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__ids", T.ArrayType(T.IntegerType()))])
+    # the column's own name may be taken inside, so it gets its name outside
+    short = docs.where(~long).mapInArrow(_ids(model, kept.index(text_col)), schema).toDF(*kept, ids_col)
     some = docs.where(long).withColumn("__sha", F.sha2(F.col(text_col), 256))
     if not some.take(1):
         return short
@@ -223,9 +224,11 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
 def decode(docs: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """docs with the text of their ids; null ids give null, none an empty text."""
 
-    @F.pandas_udf("string")
-    def texts(ids: pd.Series) -> pd.Series:
-        p = pieces(model)
-        return pd.Series([None if x is None else p.decode(x.tolist()) for x in ids], dtype=object)
+    @F.arrow_udf(T.StringType())
+    def texts(ids: pa.Array) -> pa.Array:
+        table, flat = byte_table(model), ids.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
+        return pa.array([joined(table, flat[a:b].tolist()) if v else None for a, b, v in zip(starts, ends, ids.is_valid().to_pylist(), strict=True)], pa.string())
 
     return docs.withColumn(text_col, texts(F.col(ids_col)))

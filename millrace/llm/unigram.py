@@ -17,6 +17,8 @@ SPACE = "▁"
 NEVER = -(1 << 100)
 #: Lower scores in a file count as this: beyond any sum of ordinary pieces, yet sums of many fit 64 bits.
 LEAST = -(1 << 20)
+#: Spans remembered.
+ROOM = 200_000
 
 
 class Pieces:
@@ -99,7 +101,7 @@ class Pieces:
         best, piece, back = self.forward(span, {0: 0}, len(span))
         got = best[-1], np.array(self.walk(span, piece, back, len(span), 0), np.int32).tobytes()
         if len(span) <= 64:
-            if len(self.cache) >= 300_000:
+            if len(self.cache) >= ROOM:
                 self.cache.clear()
             self.cache[span] = got
         return got
@@ -113,8 +115,26 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of ids that encode gave."""
-        table = self.bytes_of
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")[1:]
+        return joined(self.bytes_of, ids)
+
+
+def joined(table: list[bytes], ids) -> str:
+    return b"".join([table[i] for i in ids]).decode("utf-8", "replace")[1:]
+
+
+@lru_cache(maxsize=2)
+def byte_table(path: str) -> list[bytes]:
+    """Bytes of every piece: all that decoding needs."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def one(i: int) -> bytes:
+        if m.is_byte(i):
+            return bytes([int(m.id_to_piece(i)[3:5], 16)])
+        return b"" if m.is_control(i) or m.is_unknown(i) or m.is_unused(i) else m.id_to_piece(i).replace(SPACE, " ").encode()
+
+    return [one(i) for i in range(m.get_piece_size())]
 
 
 @lru_cache(maxsize=2)
