@@ -29,7 +29,7 @@ from millrace.llm.common import fold_of, mixed, staged, word_hashes
 
 #: Counts up to LOW are discounted. A word is frequent from a HOT-th part of all tokens.
 LOW, HOT = 5, 1000
-VOCABULARY, BLOCK, PART = 1 << 20, 1_000_000, 3_000_000
+VOCABULARY, BLOCK, PART = 1 << 18, 1_000_000, 3_000_000
 
 
 def packed(a: np.ndarray, delta: bool = False) -> bytes:
@@ -322,13 +322,15 @@ class Weights:
 def _normal(seen: np.ndarray, mass: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scale of the seen words' discounted probabilities and backoff weight, from their sum, their backoff mass and the history's count.
 
-    Where discounts free less than one count would, the seen words are scaled so that they do.
+    Where discounts free less than one count would, the seen words are scaled so that they do; where every word has been
+    seen, so that they sum to one.
     """
     safe = np.maximum(total, 1)
     a = np.where(total > 0, seen / safe, 0.0)
     most = safe / (safe + 1.0)
-    scale = np.where(a > most, most / np.maximum(a, 1e-300), 1.0)
-    return scale, (1 - a * scale) / np.maximum(1 - mass, 1e-12)
+    rest = 1 - mass
+    scale = np.where(rest < 1e-9, 1 / np.maximum(a, 1e-300), np.where(a > most, most / np.maximum(a, 1e-300), 1.0))
+    return scale, (1 - a * scale) / np.maximum(rest, 1e-9)
 
 
 def _weights(lex: Lexicon, table: DataFrame) -> Weights:
