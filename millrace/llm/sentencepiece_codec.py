@@ -113,20 +113,20 @@ def scan(matrices: list[np.ndarray], start: int = 0, end: int = 0) -> list[int]:
     return states[::-1]
 
 
-def _ids(path: str, text: int, batch_chars: int = 1_000_000):
+def _ids(path: str, text: int, batch_chars: int = 2_000_000):
     """Adds a column of ids; text is the place of the text's column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for batch in batches:
             at, texts, names = 0, batch.column(text), [*batch.schema.names, "__ids"]
-            while at < len(texts):  # a million characters at a time
-                ids, size, begun = [], 0, at
+            while at < len(texts):  # so many characters at a time
+                some, size, begun = [], 0, at
                 while at < len(texts) and size < batch_chars:
-                    one = texts[at].as_py() or ""
-                    ids.append(p.encode(one))
-                    size += len(one)
+                    some.append(texts[at].as_py() or "")
+                    size += len(some[-1])
                     at += 1
+                ids = p.encode_all(some)
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
                 part = batch.slice(begun, at - begun)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))], names)
@@ -214,11 +214,12 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
     schema = T.StructType([*docs.schema.fields, T.StructField("__ids", T.ArrayType(T.IntegerType()))])
     # the column's own name may be taken inside, so it gets its name outside
     short = docs.where(~long).mapInArrow(_ids(model, kept.index(text_col)), schema).toDF(*kept, ids_col)
-    some = docs.where(long).withColumn("__sha", F.sha2(F.col(text_col), 256))
+    some = docs.where(long).withColumn("__key", F.sha2(F.col(text_col), 256))
     if not some.take(1):
         return short
-    by_scan = giant_ids(some.select(F.col("__sha").alias("sha"), F.col(text_col).alias("text")), model, chunk)
-    return short.unionByName(some.join(by_scan, F.col("__sha") == F.col("sha")).select(*kept, F.col("ids").alias(ids_col)))
+    by_scan = giant_ids(some.select(F.col("__key").alias("sha"), F.col(text_col).alias("text")), model, chunk)
+    by_scan = by_scan.select(F.col("sha").alias("__scanned"), F.col("ids").alias("__ids"))
+    return short.unionByName(some.join(by_scan, F.col("__key") == F.col("__scanned")).select(*kept, F.col("__ids").alias(ids_col)))
 
 
 def decode(docs: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

@@ -9,6 +9,7 @@ holds it, is a character without a piece, so decoding gives every text back.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -18,7 +19,7 @@ NEVER = -(1 << 100)
 #: Lower scores in a file count as this: beyond any sum of ordinary pieces, yet sums of many fit 64 bits.
 LEAST = -(1 << 20)
 #: Spans remembered.
-ROOM = 200_000
+ROOM = 300_000
 
 
 class Pieces:
@@ -58,6 +59,7 @@ class Pieces:
         self.span = re.compile(rf" *[^ {alone}]+|[{alone}]| +" if alone else r" *[^ ]+| +") if not crossing else re.compile(r"(?s).+")
         self.crossing = crossing
         self.cache: dict[str, tuple[int, bytes]] = {}
+        self.known: dict[str, bytes] = {}
 
     def ids_of(self, c: str) -> list[int]:
         return [self.single[c][1]] if c in self.single else [self.byte_id[b] for b in c.encode("utf-8", "replace")]
@@ -101,17 +103,65 @@ class Pieces:
         best, piece, back = self.forward(span, {0: 0}, len(span))
         got = best[-1], np.array(self.walk(span, piece, back, len(span), 0), np.int32).tobytes()
         if len(span) <= 64:
-            if len(self.cache) >= ROOM:
+            if len(self.cache) >= ROOM // 10:
                 self.cache.clear()
             self.cache[span] = got
         return got
 
+    def learn(self, spans: list[str]) -> None:
+        """Puts the ids of spans, which must be sorted, where encode_all finds them. What sorted neighbours share of a prefix is computed once."""
+        root, single, unknown, known = self.root, self.single, self.unknown, self.known
+        room = max(map(len, spans), default=0) + 1
+        scores, pieces_, starts, open_ = [0] * room, [-1] * room, [0] * room, [[]] * room
+        last = ""
+        for span in spans:
+            depth = 0
+            for a, b in zip(last, span, strict=False):
+                if a != b:
+                    break
+                depth += 1
+            last = span
+            for c in span[depth:]:
+                best, piece, start, still = NEVER, -1, depth, []
+                for score, begun, node in open_[depth]:  # pieces that began before, the longest first
+                    if (node := node.get(c)) is not None:
+                        still.append((score, begun, node))
+                        if (end := node.get(0)) and score + end[0] > best:
+                            best, piece, start = score + end[0], end[1], begun
+                score = scores[depth]
+                if (node := root.get(c)) is not None:
+                    still.append((score, depth, node))
+                    if (end := node.get(0)) and score + end[0] > best:
+                        best, piece, start = score + end[0], end[1], depth
+                if c not in single and score + unknown > best:
+                    best, piece, start = score + unknown, -1, depth
+                depth += 1
+                scores[depth], pieces_[depth], starts[depth], open_[depth] = best, piece, start, still
+            out, j = [], len(span)
+            while j:
+                i = starts[j]
+                if pieces_[j] >= 0:
+                    out.append(pieces_[j])
+                else:
+                    out += reversed(self.ids_of(span[i:j]))
+                j = i
+            out.reverse()
+            known[span] = array("i", out).tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts, a leading space added to each as the models do; none for an empty one."""
+        split = self.span.findall
+        docs = [split(" " + t) if t else [] for t in texts]
+        spans = set().union(*docs)
+        fresh = spans - self.known.keys()
+        if len(self.known) + len(fresh) > ROOM:  # what this batch uses stays
+            self.known = {s: self.known[s] for s in spans if s in self.known}
+        self.learn(sorted(fresh))
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, d)), np.int32) for d in docs]
+
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text, a leading space added as the models do; none for an empty one."""
-        if not text:
-            return np.empty(0, np.int32)
-        best = self.best
-        return np.frombuffer(b"".join([best(s)[1] for s in self.span.findall(" " + text)]), np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         """The text of ids that encode gave."""
