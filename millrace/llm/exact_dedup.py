@@ -39,7 +39,8 @@ def _summaries(k: int):
             for d, c in pdf["digest"].value_counts().items():
                 counts[d] = counts.get(d, 0) + int(c)
             counts = trimmed(counts, k)
-        yield pd.DataFrame({"digest": list(counts), "n": list(counts.values())})
+        if counts:
+            yield pd.DataFrame({"digest": list(counts), "n": list(counts.values())})
 
     return run
 
@@ -84,6 +85,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 1024) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns. A row goes by its id, so rows of a null id all stay."""
     gone = exact_dedup(docs, id_col, text_col, k).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

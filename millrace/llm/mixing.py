@@ -60,9 +60,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     targets = staged(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     t = targets.select(
         F.col("source").alias("s"), "source_size", "target",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long").alias("whole"),
+        F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long").alias("whole"),
     )
-    t = t.withColumn("residual", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("p", F.col("residual") / F.col("source_size"))
+    t = t.withColumn("residual", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("p", F.try_divide("residual", "source_size"))
     u = uniform("doc_id", seed)
     odds = F.when((F.col("size") > 0) & (F.col("p") > 0), (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
     ranked = rows.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rank", odds)
