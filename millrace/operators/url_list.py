@@ -34,6 +34,8 @@ def frontier(
     once = rows.groupBy(*by, "canonical").agg(F.min(order).alias(order))
     if most is None:
         return once
+    if not by:  # a plain top-k first: no task orders the whole list
+        once = once.orderBy(order, "canonical").limit(most + 1)
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, "canonical")))
     ranked = ranked.where(F.col("rank") <= most + 1)
     over = F.max(F.col("rank")).over(Window.partitionBy(*by)) > most

@@ -101,9 +101,11 @@ def heading_paths(blocks: DataFrame, doc: str, pos: str, level: str, text: str)
 
 def cooled_down(offers: DataFrame, history: DataFrame, key: str, at: str, days: int = 30, lifetime: int = 3) -> DataFrame:
     """Offers whose key had none in the days before and fewer than lifetime ever before."""
-    h = history.select(F.col(key).alias("__k"), F.col(at).alias("__at"))
-    before = offers.join(h, (F.col(key) == F.col("__k")) & (F.col("__at") < F.col(at)), "left")
     names = offers.columns
-    counted = before.groupBy(*names).agg(F.count("__at").alias("__n"), F.max("__at").alias("__last"))
+    # one sorted pass over both; at one time offers stand first, so that only earlier history counts
+    both = offers.withColumn("__offer", F.lit(1)).unionByName(history.select(key, at).withColumn("__offer", F.lit(0)), allowMissingColumns=True)
+    before = Window.partitionBy(key).orderBy(at, F.desc("__offer")).rowsBetween(Window.unboundedPreceding, -1)
+    old = F.when(F.col("__offer") == 0, F.col(at))
+    seen = both.withColumn("__n", F.count(old).over(before)).withColumn("__last", F.max(old).over(before)).where("__offer = 1")
     fresh = F.col("__last").isNull() | (F.col("__last") <= F.col(at) - F.expr(f"interval {days} days"))
-    return counted.where((F.col("__n") < lifetime) & fresh).select(*names)
+    return seen.where((F.col("__n") < lifetime) & fresh).select(*names)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import extract, folds, joins, ledger, status, windows
@@ -221,8 +221,8 @@ def due_topk(spark, sf_dir):
 def page_has_more(spark, sf_dir):
     """Newest first, rows 21-40 and whether there are more: one row over the page is read."""
     page = _table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).offset(20).limit(21).select("o_orderkey", "o_orderdate")
-    n = page.agg(F.count(F.lit(1)).alias("n"))
-    return page.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(20).join(n, F.lit(True)).select("o_orderkey", (F.col("n") > 20).alias("has_more"))
+    place = F.row_number().over(Window.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))  # over 21 rows
+    return page.select("o_orderkey", place.alias("place"), (F.count(F.lit(1)).over(Window.partitionBy()) > 20).alias("has_more")).where("place <= 20").drop("place")
 
 
 def weekly_activity(spark, sf_dir):
