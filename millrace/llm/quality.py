@@ -3,7 +3,7 @@
 Trusted positives are documents labelled of quality 1; the unlabelled side is web text as it comes. The risk
     prior * R(positives as positive) + max(0, R(unlabelled as negative) - prior * R(positives as negative))
 is minimised by Adam for a small network over text statistics; where the second part falls below zero its
-gradient is turned round. The class prior is the share of quality 1 among labelled training documents, and where
+gradient is turned round. The class prior also places the score 0.5 among the unlabelled scores. It is the share of quality 1 among labelled training documents, and where
 these hold positives alone, the share estimated from the scores of held-back positives (Elkan and Noto).
 
 Fitting reads a bounded sample (parameter sample) of each side, chosen by hash; scoring reads every whole text.
@@ -116,9 +116,25 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden:
     return net
 
 
+def calibrated(net: Network, positive: np.ndarray, unlabelled: np.ndarray, slack: float = 0.15) -> Network:
+    """The same network with the score 0.5 where the class prior puts it: at the share 1 - prior of the unlabelled scores.
+
+    Within slack of that share the widest gap between scores is taken, so that a class prior a little off cuts into neither class; it
+    lies below all but a hundredth of the trusted positives.
+    """
+    g = np.sort(net.logits(unlabelled.astype(np.float64)))
+    share = 1 - net.prior
+    lo, hi = int(len(g) * share * (1 - slack)), min(len(g) - 1, int(len(g) * share * (1 + slack)) + 1)
+    top = np.quantile(net.logits(positive.astype(np.float64)), 0.01)
+    if hi > lo:
+        at = lo + int(np.argmax(np.diff(g[lo : hi + 1])))
+        net.b2 -= min(float(g[at] + g[at + 1]) / 2, float(top))
+    return net
+
+
 def _featurised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"positive": pdf["positive"], "x": [features(t).tolist() for t in pdf["text"]]})
+        yield pd.DataFrame({"rank": pdf["rank"], "positive": pdf["positive"], "x": [features(t).tolist() for t in pdf["text"]]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held_out: int = 1, sample: int = 20_000, prior: float | None = None, seed: int = 11) -> Network | None:
@@ -133,13 +149,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n, share = marks.agg(F.count(F.lit(1)), F.avg(F.col("positive").cast("double"))).first()
     if not n or not share:
         return None
-    order = F.xxhash64(F.lit(seed), "id")
     total = max(1, train.count())
-    near = lambda rows, many: rows.where(F.abs(F.xxhash64(F.lit(seed), "id") % 1_000_000) < int(min(1_000_000, 1_300_000 * sample / max(1, many) + 50)))  # noqa: E731  about sample rows of many, by hash
-    positives = near(marks.where("positive"), n * share).orderBy(order).limit(sample)
-    positives = train.join(positives.select("id"), "id").select(F.lit(True).alias("positive"), "text")
-    unlabelled = near(train, total).orderBy(order).limit(sample).select(F.lit(False).alias("positive"), "text")
-    got = positives.union(unlabelled).mapInPandas(_featurised, "positive boolean, x array<float>").toPandas()
+    rank = F.xxhash64(F.lit(seed), "id").bitwiseAND(F.lit((1 << 62) - 1))
+
+    def some(rows: DataFrame, many: float) -> DataFrame:
+        """A little over sample of many rows, by hash."""
+        return rows.withColumn("rank", rank).where(F.col("rank") < int(min(1.0, 1.2 * sample / max(1.0, many)) * (1 << 62)))
+
+    # about 1.2 * sample ids: that bounds what is broadcast, and the rows of either side that reach the driver as features
+    chosen = F.broadcast(some(marks.where("positive"), n * share).select("id"))
+    positives = train.join(chosen, "id").select(rank.alias("rank"), F.lit(True).alias("positive"), "text")
+    unlabelled = some(train, total).select("rank", F.lit(False).alias("positive"), "text")
+    got = positives.union(unlabelled).mapInPandas(_featurised, "rank long, positive boolean, x array<float>").toPandas()
+    got = got.sort_values(["positive", "rank"]).groupby("positive", sort=False).head(sample)
     x, is_positive = np.array(got["x"].tolist(), np.float32).reshape(len(got), N_FEATURES), got["positive"].to_numpy(bool)
     if not is_positive.any() or is_positive.all():
         return None
@@ -148,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     p, u = x[is_positive], x[~is_positive]
     if prior is None:
         prior = share if share < 1 else _estimated_prior(p, u, seed)
-    return fit_nnpu(p, u, float(np.clip(prior, 0.02, 0.98)), seed=seed)
+    return calibrated(fit_nnpu(p, u, float(np.clip(prior, 0.02, 0.98)), seed=seed), p, u)
 
 
 def _estimated_prior(p: np.ndarray, u: np.ndarray, seed: int) -> float:
