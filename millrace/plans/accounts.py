@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.operators import extract, folds, joins, ledger, status, windows
+from millrace.functions import geometry
+from millrace.operators import extract, folds, jobs, joins, ledger, status, windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -250,6 +251,35 @@ def heading_stack(spark, sf_dir):
     return windows.heading_paths(e, "user_id", "event_id", "level", "text").select("user_id", "event_id", F.array_join("path", ">").alias("path"))
 
 
+def period_rotation(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("project_id")).agg(F.max("o_orderdate").cast("timestamp").alias("current_period_end"))
+    subs = o.withColumn("status", F.when(F.col("project_id") % 7 == 0, "canceled").otherwise("active")).withColumn("plan_id", F.lit(1)).withColumn("pending_plan_id", F.when(F.col("project_id") % 3 == 0, 2))
+    return jobs.rotation(subs, F.lit("1999-01-01").cast("timestamp"), 60).withColumn("n", F.col("n").cast("long"))
+
+
+def retention_queue(spark, sf_dir):
+    d = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("object_key"), F.col("o_orderdate").cast("timestamp").alias("delete_at"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("timestamp")).alias("deleted_at"))
+    return jobs.retention_due(d, F.lit("1997-06-01").cast("timestamp"), 2000).select("object_key", "delete_at")
+
+
+def policy_hosts(spark, sf_dir):
+    v = jobs.policy_verdict(F.col("url"), ["example.org"], ["net"], [r"^m\."])
+    return _table(spark, sf_dir, "pages").select("page_id", v["rule"].alias("rule"), v["detail"].alias("detail"))
+
+
+def page_dimensions(spark, sf_dir):
+    names = F.array(*[F.lit(n) for n in ("a4", "Letter", "LEDGER", "none")])
+    p = _table(spark, sf_dir, "part").withColumn("paper", F.element_at(names, (F.col("p_partkey") % 4 + 1).cast("int")))
+    custom = F.when(F.col("p_partkey") % 5 == 0, F.col("p_size"))
+    d = geometry.page_dimensions(F.col("paper"), custom, F.lit(25), F.when(F.col("p_partkey") % 2 == 0, "landscape").otherwise("portrait"))
+    return p.select("p_partkey", d["width"].alias("width"), d["height"].alias("height"))
+
+
+def ingest_pages(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 50).cast("long").alias("job_id"), F.col("doc_id").alias("pos"), F.concat(F.lit("u"), F.col("doc_id")).alias("final_url"), F.sha2("text", 256).alias("content_hash"), F.lit(1).alias("n_chunks"), F.col("text").alias("markdown"))
+    return jobs.ingest(d).select("job_id", "pos", "status", "note", "billed_key", "chunk_count")
+
+
 def activity_billing(spark, sf_dir):
     e = _events(spark, sf_dir).withColumn("state", F.when(F.col("event_type") == "purchase", "Success").otherwise(F.col("event_type")))
     return status.first_success(e, "user_id", "state", "ts")
@@ -322,6 +352,40 @@ SQL = {
         p as (select *, last_value(case when l = 1 then event_id end ignore nulls) over w p1, last_value(case when l = 2 then event_id end ignore nulls) over w p2, last_value(case when l = 3 then event_id end ignore nulls) over w p3 from e
           window w as (partition by user_id order by event_id rows unbounded preceding))
         select user_id, event_id, array_to_string(list_filter(['h' || p1, case when p1 is null or p2 > p1 then 'h' || p2 end, case when p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) then 'h' || p3 end], lambda x: x is not null), '>') as path from p""",
+    "throttle_24h": """with recursive e as (select event_id, user_id, epoch(ts) t, row_number() over (partition by user_id order by ts) n from events),
+        r as (select event_id, user_id, n, true passes, t last from e where n = 1 union all
+          select e.event_id, e.user_id, e.n, e.t - r.last >= 86400, case when e.t - r.last >= 86400 then e.t else r.last end from r join e on e.user_id = r.user_id and e.n = r.n + 1)
+        select event_id, passes from r""",
+    "cache_hit_asof": """with recursive e as (select event_id, user_id, event_type, epoch(ts) t, row_number() over (partition by user_id, event_type order by ts, event_id) n from events),
+        r as (select event_id, user_id, event_type, n, false is_hit, t made from e where n = 1 union all
+          select e.event_id, e.user_id, e.event_type, e.n, e.t - r.made <= 86400, case when e.t - r.made <= 86400 then r.made else e.t end from r join e on e.user_id = r.user_id and e.event_type = r.event_type and e.n = r.n + 1)
+        select event_id, is_hit from r""",
+    "rate_limit_fold": """with recursive e as (select event_id, user_id, floor(epoch(ts) / 3600)::bigint h, floor(epoch(ts) / 86400)::bigint d, row_number() over (partition by user_id order by ts) n from events),
+        r as (select event_id, user_id, n, true allowed, h, 1 ch, d, 1 cd from e where n = 1 union all
+          select event_id, user_id, n, ok, case when ok then eh else h end, case when ok then case when eh = h then ch else 0 end + 1 else ch end, case when ok then ed else d end, case when ok then case when ed = d then cd else 0 end + 1 else cd end
+          from (select e.event_id, e.user_id, e.n, e.h eh, e.d ed, r.h, r.ch, r.d, r.cd, (e.h <> r.h or r.ch < 1) and (e.d <> r.d or r.cd < 4) ok from r join e on e.user_id = r.user_id and e.n = r.n + 1))
+        select event_id, allowed from r""",
+    "breaker_states": """with recursive e as (select event_id, user_id, epoch(ts) t, event_type <> 'error' ok, row_number() over (partition by user_id order by ts) n from events),
+        r as (select null::bigint event_id, user_id, 0::bigint n, null::boolean admitted, 'closed' s, 0 c, 0.0::double since from (select distinct user_id from events) union all
+          select event_id, user_id, n, s1 <> 'open', case when s1 = 'open' then 'open' when s1 = 'half_open' then case when not ok then 'open' when c1 + 1 >= 2 then 'closed' else 'half_open' end when ok then 'closed' when c1 + 1 >= 2 then 'open' else 'closed' end,
+            case when s1 = 'open' then c1 when s1 = 'half_open' then case when not ok then c1 when c1 + 1 >= 2 then 0 else c1 + 1 end when ok then 0 else c1 + 1 end,
+            case when (s1 = 'half_open' and not ok) or (s1 = 'closed' and not ok and c1 + 1 >= 2) then t else since end
+          from (select e.event_id, e.user_id, e.n, e.t, e.ok, r.since, case when r.s = 'open' and e.t - r.since >= 86400 then 'half_open' else r.s end s1, case when r.s = 'open' and e.t - r.since >= 86400 then 0 else r.c end c1 from r join e on e.user_id = r.user_id and e.n = r.n + 1))
+        select event_id, admitted, s as breaker from r where n > 0""",
+    "period_rotation": """with recursive s as (select o_custkey project_id, max(o_orderdate)::timestamp e, case when o_custkey % 3 = 0 then 2 else 1 end::int plan_id from orders where o_custkey % 7 <> 0 group by 1),
+        w as (select project_id, plan_id, 0::bigint n, e period_start, e + interval 1 month period_end from s where e <= timestamp '1999-01-01' union all
+          select project_id, plan_id, n + 1, period_end, period_end + interval 1 month from w where period_end <= timestamp '1999-01-01' and n < 59)
+        select project_id, n, period_start, period_end, plan_id from w""",
+    "retention_queue": "select o_orderkey as object_key, o_orderdate::timestamp as delete_at from orders where o_orderstatus <> 'F' and o_orderdate <= timestamp '1997-06-01' order by o_orderdate, o_orderkey limit 2000",
+    "policy_hosts": """with h as (select page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) h from pages)
+        select page_id, case when h = 'example.org' or ends_with(h, '.example.org') then 'domain' when ends_with(h, '.net') then 'tld' when starts_with(h, 'm.') then 'pattern' end as rule,
+          case when h = 'example.org' or ends_with(h, '.example.org') then 'example.org' when ends_with(h, '.net') then 'net' when starts_with(h, 'm.') then '^m\\.' end as detail from h""",
+    "page_dimensions": """with d as (select p_partkey, case when p_partkey % 5 = 0 then p_size else case p_partkey % 4 when 0 then 210 when 1 then 216 when 2 then 432 end end::double w,
+          case when p_partkey % 5 = 0 then 25 else case p_partkey % 4 when 0 then 297 when 1 then 279 when 2 then 279 end end::double h from part)
+        select p_partkey, case when w is null then null when p_partkey % 2 = 0 then greatest(w, h) else least(w, h) end as width, case when w is null then null when p_partkey % 2 = 0 then least(w, h) else greatest(w, h) end as height from d""",
+    "ingest_pages": """with d as (select floor(doc_id / 50)::bigint job_id, doc_id pos, 'u' || doc_id u, text, row_number() over (partition by floor(doc_id / 50), text order by doc_id) r from documents)
+        select job_id, pos, case when trim(text) = '' then 'skipped' else 'completed' end as status, case when trim(text) = '' then 'no extractable content' when r > 1 then 'DUPLICATE' end as note,
+          case when trim(text) <> '' and r = 1 then 'ingest:' || job_id || ':' || substr(md5(u), 1, 16) end as billed_key, case when trim(text) <> '' and r = 1 then 1 else 0 end as chunk_count from d""",
     "activity_billing": "select user_id, min(ts) filter (event_type = 'purchase') as billed_at, arg_max(case when event_type = 'purchase' then 'Success' else event_type end, ts) as last_state from events group by 1",
 }
 
@@ -329,5 +393,5 @@ QUERIES = {f.__name__: f for f in (
     status_rollup, batch_verdict, failure_classes, suppression_list, mode_first_tie, interval_period_join, interval_bucket_join, tolerance_join, asof_previous, baseline_change,
     failure_streak_pause, first_use_stamp, distinct_on_topk, latest_per_key, first_n_per_key, lateral_top1, lateral_agg, exists_recent, not_exists_orders, subscription_joins, cast_join,
     known_or_default, upsert_owned, oldest_until_freed, idempotent_ledger, quota_gates, credit_rollover, month_walk, overage_amounts, high_water, fixed_window_rate, rate_limit_fold, throttle_24h,
-    money_ledger, breaker_states, cache_hit_asof, cooldown_offers, due_topk, page_has_more, weekly_activity, send_window, props_json, search_results, heading_stack, activity_billing,
+    money_ledger, breaker_states, cache_hit_asof, cooldown_offers, due_topk, page_has_more, weekly_activity, send_window, props_json, search_results, heading_stack, period_rotation, retention_queue, policy_hosts, page_dimensions, ingest_pages, activity_billing,
 )}
