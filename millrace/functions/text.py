@@ -102,6 +102,18 @@ def code_fence(body: Column | str, language: str = "") -> Column:
     return F.concat(fence, F.lit(f"{language}\n"), F.regexp_replace(c, r"\n+$", ""), F.lit("\n"), fence)
 
 
+def fenced_document(body: Column | str, language: str, url: Column | str, content_type: Column | str) -> Column:
+    """A fenced body under a front matter of its URL and content type (without parameters)."""
+    kind = F.trim(F.split(F.coalesce(_col(content_type), F.lit("")), ";")[0])
+    head = F.concat(F.lit("---\nurl: "), _col(url), F.lit("\ncontent_type: "), F.when(kind == "", F.lit("''")).otherwise(kind), F.lit("\n---\n\n"))
+    return F.concat(head, code_fence(body, language), F.lit("\n"))
+
+
+def flow_quality(html: Column | str) -> Column:
+    """The coarse score: 1.0 for a page of more than 500 characters, else 0.5."""
+    return F.when(F.length(F.coalesce(_col(html), F.lit(""))) > 500, F.lit(1.0)).otherwise(F.lit(0.5))
+
+
 def normalize_markdown(text: Column | str) -> Column:
     """Line feeds alone end lines, other controls are blanks, blank lines do not pile up."""
     c = F.regexp_replace(F.coalesce(_col(text), F.lit("")), r"\r\n?", "\n")
@@ -110,8 +122,9 @@ def normalize_markdown(text: Column | str) -> Column:
 
 
 def strip_line_ends(text: Column | str) -> Column:
-    """Lines lose their trailing blanks, but for the two that mean a break."""
-    return F.regexp_replace(F.regexp_replace(_col(text), r"(?m)(?<=\S)[ \t]$|(?<=\S)[ \t]{3,}$|(?<=\S)\t[ \t]$|(?<=\S) \t$", ""), r"(?m)^[ \t]+$", "")
+    """Lines lose their trailing blanks, but for those that end with the two that mean a break."""
+    lines = F.transform(F.split(_col(text), "\n"), lambda x: F.when(x.endswith("  "), x).otherwise(F.regexp_replace(x, f"{SPACE}+$", "")))
+    return F.array_join(lines, "\n")
 
 
 def clean_cell(cell: Column | str, limit: int = 500) -> Column:

@@ -9,6 +9,8 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
 
 from millrace.html.tree import Node, parse
 
@@ -98,6 +100,15 @@ def extract_css(pages: DataFrame, page: str, html: str, schema: dict) -> DataFra
     return pages.select(page, F.posexplode(run(F.col(html))).alias("pos", "record"))
 
 
+@udtf(returnType=T.StructType().add("pos", "integer").add("record", "string"))
+class ExtractCss:
+    """SQL table function: SELECT ... FROM pages, LATERAL extract_css(html, schema as JSON)."""
+
+    def eval(self, html: str, schema: str):
+        for i, r in enumerate(records(html, json.loads(schema))):
+            yield i, json.dumps(r, ensure_ascii=False)
+
+
 def properties(schema: dict) -> dict:
     """Names to properties of a JSON Schema, or of a flat map of names to descriptions."""
     if isinstance(found := schema.get("properties"), dict) and found:

@@ -123,3 +123,53 @@ def feed_urls(xml: Column | str) -> Column:
 
     entries = F.transform(F.regexp_extract_all(c, F.lit(r"(?s)<entry\b[^>]*>(.*?)</entry>"), F.lit(1)), entry)
     return F.filter(F.concat(items, entries), lambda x: x != "")
+
+
+#: Paths a crawl of a whole site leaves out unless told otherwise.
+CRAWL_EXCLUDES = (r"/(login|logout|signin|signup|register|cart|checkout|account)(/|$)", r"[?&](replytocom|share|print)=")
+
+
+def crawl(links_of: Callable[[str], list[str]], start: str, most: int, depth: int = 10, same_domain: bool = True, exclude: tuple[str, ...] = CRAWL_EXCLUDES, per_pattern: int = 20) -> list[str]:
+    """URLs fetched from start, first found first: at most most fetches and depth steps, each page once (a trailing slash tells none apart).
+
+    The frontier holds at most five times most; repeated segments and the twenty-first page of a path's pattern are left out. A page that
+    cannot be fetched has no links.
+    """
+    import re
+    from collections import Counter, deque
+    from urllib.parse import urljoin, urlsplit
+
+    from millrace.functions.urls import canonical
+
+    def pattern(u: str) -> str:
+        return "/".join("{N}" if p.isdigit() else "{DATE}" if re.fullmatch(r"\d{4}-\d{2}(-\d{2})?", p) else p for p in urlsplit(u).path.split("/"))
+
+    def is_trap(u: str) -> bool:
+        parts = [p for p in urlsplit(u).path.split("/") if p]
+        return len(parts) > 4 and len(set(parts)) < len(parts)
+
+    home, out, seen, patterns = (urlsplit(start).hostname or "").lower(), [], set(), Counter()
+    frontier = deque([(start, 0)])
+    while frontier and len(out) < most:
+        url, at = frontier.popleft()
+        key = canonical(url).rstrip("/")
+        if key in seen or is_trap(url) or any(re.search(e, url) for e in exclude) or patterns[pattern(url)] >= per_pattern:
+            continue
+        seen.add(key)
+        patterns[pattern(url)] += 1
+        out.append(url)
+        if at == depth:
+            continue
+        try:
+            found = links_of(url)
+        except OSError:
+            continue
+        for href in found:
+            try:
+                full = urljoin(url, href)
+                host = (urlsplit(full).hostname or "").lower()
+            except ValueError:
+                continue
+            if urlsplit(full).scheme in ("http", "https") and (not same_domain or host == home or host.endswith(f".{home}")) and len(frontier) < 5 * most:
+                frontier.append((full, at + 1))
+    return out
