@@ -29,7 +29,7 @@ from millrace.llm.common import fold_of, mixed, staged, word_hashes
 
 #: Counts up to LOW are discounted. A word is frequent from a HOT-th part of all tokens.
 LOW, HOT = 5, 1000
-VOCABULARY, BLOCK, PART = 1 << 18, 1_000_000, 3_000_000
+VOCABULARY, BLOCK, PART, HELD = 1 << 18, 700_000, 2_000_000, 1_500_000
 
 
 def packed(a: np.ndarray, delta: bool = False) -> bytes:
@@ -379,30 +379,64 @@ def _scored(lex: Lexicon, wt: Weights):
         with np.errstate(divide="ignore"):
             return np.where(c > 0, np.log10(scale * weight / total), np.log10(np.maximum(backoff, 1e-300)) + log1[w])
 
-    def summed(slots: np.ndarray, **values: np.ndarray) -> pd.DataFrame:
-        distinct, inverse = np.unique(slots, return_inverse=True)
-        sums = {k: np.bincount(inverse, v, len(distinct)) for k, v in values.items()}
-        zero = np.zeros(len(distinct))
-        return pd.DataFrame({"slot": distinct, "id": None, "no_id": None, "train": None, "n": 0, "known": sums.get("known", zero).astype(np.int64), "base": sums.get("base", zero), "score": sums["score"]})
+    def sums(slots: list[np.ndarray], **values: list[np.ndarray]) -> Iterator[dict]:
+        """A row a block: its texts' places here and their sums."""
+        distinct, inverse = np.unique(np.concatenate(slots), return_inverse=True)
+        totals = {k: np.bincount(inverse, np.concatenate(v), len(distinct)) for k, v in values.items()}
+        block = distinct >> 16
+        at = np.flatnonzero(np.diff(block, prepend=-1))
+        for a, b in zip(at, [*at[1:], len(block)], strict=True):
+            row = {"block": int(block[a]), "places": packed(distinct[a:b] & 0xFFFF, delta=True), "about": b""}
+            yield row | {k: totals[k][a:b].tobytes() if k in totals else b"" for k in ("score", "base", "known")}
+
+    def emptied(held: dict, kind: int) -> list[dict]:
+        slots, *values = held[kind]
+        out = list(sums(slots, **dict(zip(("score", "base", "known"), values, strict=False)))) if slots else []
+        held[kind] = tuple([] for _ in held[kind])
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            rows, held = [], {0: ([], []), 1: ([], [], [], [])}
             for kind, keys, counts, lens, slots, extra in zip(pdf["kind"], pdf["keys"], pdf["counts"], pdf["lens"], pdf["slots"], pdf["extra"], strict=True):
                 if kind == 2:
-                    about = np.frombuffer(extra, _ABOUT)
-                    slot = (int.from_bytes(keys, "little") << 16) + np.arange(len(about))
-                    yield pd.DataFrame({"slot": slot, "id": about["id"].astype(np.int64), "no_id": about["null"].astype(bool), "train": about["train"].astype(bool), "n": about["n"].astype(np.int64), "known": about["known"].astype(np.int64), "base": about["base"].astype(float), "score": 0.0})
+                    rows.append({"block": int.from_bytes(keys, "little"), "places": b"", "about": extra, "score": b"", "base": b"", "known": b""})
                     continue
                 c, n, s = (unpacked(x).astype(np.int64) for x in (counts, lens, slots))
-                s = (unpacked(extra, delta=True).astype(np.int64)[s >> 16] << 16) | (s & 0xFFFF)
-                if kind == 0:
-                    yield summed(s, score=np.repeat(pairs(unpacked(keys, delta=True).astype(np.int64), c), n))
-                else:
-                    yield summed(s, score=np.repeat(lex.rare_log(c), n), base=np.repeat(lex.base_log(c), n), known=np.repeat((c > 0).astype(float), n))
+                values = [pairs(unpacked(keys, delta=True).astype(np.int64), c)] if kind == 0 else [lex.rare_log(c), lex.base_log(c), (c > 0).astype(float)]
+                held[kind][0].append((unpacked(extra, delta=True).astype(np.int64)[s >> 16] << 16) | (s & 0xFFFF))
+                for to, v in zip(held[kind][1:], values, strict=True):
+                    to.append(np.repeat(v, n))
+                if sum(map(len, held[kind][0])) >= HELD:
+                    rows += emptied(held, kind)
+            for kind in held:
+                rows += emptied(held, kind)
+            if rows:
+                yield pd.DataFrame(rows)
 
     return run
 
 
+_SUMS = "block long, places binary, about binary, score binary, base binary, known binary"
+_TEXT = "id long, no_id boolean, train boolean, n long, known long, base double, score double"
+
+
+def _texts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The texts of a block with all their sums."""
+    about = np.concatenate([np.frombuffer(x, _ABOUT) for x in pdf["about"] if len(x)])
+    total = {"score": np.zeros(len(about)), "base": about["base"].astype(float), "known": about["known"].astype(float)}
+    for places, *sums in zip(pdf["places"], pdf["score"], pdf["base"], pdf["known"], strict=True):
+        if len(places):
+            at = unpacked(places, delta=True).astype(np.int64)
+            for name, raw in zip(total, sums, strict=True):
+                if len(raw):
+                    total[name][at] += np.frombuffer(raw, np.float64)
+    return pd.DataFrame({
+        "id": about["id"].astype(np.int64), "no_id": about["null"].astype(bool), "train": about["train"].astype(bool), "n": about["n"].astype(np.int64),
+        "known": np.rint(total["known"]).astype(np.int64), "base": total["base"], "score": total["score"],
+    })
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_out: int = 0, vocabulary: int = VOCABULARY) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -418,8 +452,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = rows.mapInPandas(lambda it: _dealt(shared.value, parts)(it), _DEALT)
     table = staged(dealt.groupBy("part").applyInPandas(lambda pdf: _merged(shared.value)(pdf), _MERGED), "pairs")
     weights = spark.sparkContext.broadcast(_weights(lex, table))
-    scored = table.select("kind", "keys", "counts", "lens", "slots", "extra").mapInPandas(lambda it: _scored(shared.value, weights.value)(it), "slot long, id long, no_id boolean, train boolean, n long, known long, base double, score double")
-    texts = scored.groupBy("slot").agg(F.max("id").alias("id"), F.max("no_id").alias("no_id"), F.max("train").alias("train"), F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
+    scored = table.select("kind", "keys", "counts", "lens", "slots", "extra").mapInPandas(lambda it: _scored(shared.value, weights.value)(it), _SUMS)
+    texts = scored.groupBy("block").applyInPandas(_texts, _TEXT)
     return texts.select(
         F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), (~F.col("train")).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),
         F.lit(lex.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",
