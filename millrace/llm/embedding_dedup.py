@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import partitions, staged
+from millrace.llm.common import discard, partitions, staged
 from millrace.llm.graph import connected_components
 
 PASSES, BITS, WINDOW, BLOCK = 12, 48, 32, 1024
@@ -144,6 +144,7 @@ def near_duplicate_vectors(
     seams = found.where("seam >= 0").groupBy("seam").applyInPandas(seam, "a long, b long")
     links = found.where("a is not null").select("a", "b").union(seams).distinct()
     parts = staged(connected_components(links), "parts")
+    discard(found)
     members = classes.join(parts, classes["rep"] == parts["node"]).select("rep", "component", "copies", "vec")
     blocks = parts.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     members = members.join(blocks, "component").withColumn("bucket", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))

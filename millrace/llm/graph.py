@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import staged
+from millrace.llm.common import discard, staged
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -32,8 +32,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = staged(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, e = e, staged(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = _state(e)
+        discard(last)
         if now == was:
             break
         was = now

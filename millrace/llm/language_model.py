@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold_of, mixed, staged, word_hashes
+from millrace.llm.common import discard, fold_of, lean, mixed, staged, word_hashes
 
 #: Counts up to LOW are discounted. A word is frequent from a HOT-th part of all tokens.
 LOW, HOT = 5, 1000
@@ -122,13 +122,14 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def lexicon(train: DataFrame, vocabulary: int = VOCABULARY) -> Lexicon:
     """From texts (column text). The driver gets one row per distinct count (under sqrt(2N)) and the vocabulary."""
-    words = staged(train.select("text").mapInPandas(_word_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
+    words = staged(train.select("text").mapInPandas(lean(_word_counts), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
     texts = train.count()
     of = np.array([tuple(r) for r in words.groupBy("c").count().collect()], np.int64).reshape(-1, 2)
     of = of[np.argsort(-of[:, 0])]
     fits = np.cumsum(of[:, 1]) <= vocabulary
     least = int(of[fits][-1, 0]) if fits.any() else (int(of[0, 0]) + 1 if len(of) else 1)
     top = words.where(F.col("c") >= least).toPandas()
+    discard(words)
     h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     order = np.argsort(h)
     h, c = h[order], c[order]
@@ -449,10 +450,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lex = lexicon(rows.where("train"), vocabulary)
     parts = max(1, math.ceil(lex.total * folds / max(1, folds - 1) / PART))
     shared = spark.sparkContext.broadcast(lex)
-    dealt = rows.mapInPandas(lambda it: _dealt(shared.value, parts)(it), _DEALT)
+    dealt = rows.mapInPandas(lean(lambda it: _dealt(shared.value, parts)(it)), _DEALT)
     table = staged(dealt.groupBy("part").applyInPandas(lambda pdf: _merged(shared.value)(pdf), _MERGED), "pairs")
     weights = spark.sparkContext.broadcast(_weights(lex, table))
-    scored = table.select("kind", "keys", "counts", "lens", "slots", "extra").mapInPandas(lambda it: _scored(shared.value, weights.value)(it), _SUMS)
+    scored = table.select("kind", "keys", "counts", "lens", "slots", "extra").mapInPandas(lean(lambda it: _scored(shared.value, weights.value)(it)), _SUMS)
     texts = scored.groupBy("block").applyInPandas(_texts, _TEXT)
     return texts.select(
         F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), (~F.col("train")).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),

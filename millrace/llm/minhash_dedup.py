@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import mixed, staged, word_hashes
+from millrace.llm.common import discard, lean, mixed, staged, word_hashes
 from millrace.llm.graph import connected_components
 
 SHINGLE, CHUNKS, PLACES = 5, 8, 6
@@ -73,7 +73,7 @@ def _nibbles(sig: np.ndarray) -> np.ndarray:
 
 def _signed(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (part.iloc[i : i + 1000] for part in batches for i in range(0, len(part), 1000)):
             sets = [shingles(t, width) for t in pdf["text"]]
             n = np.array([len(s) for s in sets], np.int64)
             has = np.flatnonzero(n)
@@ -154,7 +154,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int, width: int, share:
     hubs = many.select("hub", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("hub").alias("id"))
     rows = ask.union(hubs).join(texts, "id")
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role").select("hub", "salt", "role", "id", "text")
-    return rows.mapInPandas(_verified(percent, width), "a long, b long, shared long, united long")
+    return rows.mapInPandas(lean(_verified(percent, width)), "a long, b long, shared long, united long")
 
 
 def _block(percent: int, width: int, columns: int = 4096):
@@ -261,12 +261,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     some = ids.where("id is not null")
-    signed = staged(some.where("text is not null").mapInPandas(_signed(width), "id long, n long, d1 long, d2 long, sig binary, s1 long, s2 long, s3 long"), "signatures")
+    signed = staged(some.where("text is not null").mapInPandas(lean(_signed(width)), "id long, n long, d1 long, d2 long, sig binary, s1 long, s2 long, s3 long"), "signatures")
     classes = staged(
         signed.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("s3").alias("s3")),
         "classes",
     )
-    keys = classes.select("rep", "sig").mapInPandas(_indexed, "key long, rep long")
+    keys = classes.select("rep", "sig").mapInPandas(lean(_indexed), "key long, rep long")
     # members of keys with company, with the key's smallest one: the rest of the index is read no more
     lowest = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").drop("top")
     shared = staged(keys.join(lowest.hint("shuffle_hash"), "key"), "index")
@@ -280,7 +280,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = staged(connected_components(first), "parts")
     more = across(shared, parts, sizes, texts, percent, width)
     if more is not None:
-        parts = staged(connected_components(first.select("a", "b").union(staged(more, "links"))), "parts")
+        more = staged(more, "links")
+        last, parts = parts, staged(connected_components(first.select("a", "b").union(more)), "parts")
+        discard(more, last)
+    discard(shared, stars, texts, first)
     named = classes.select("d1", "d2", "rep", "n").join(parts, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     found = signed.select("id", "d1", "d2").join(named, ["d1", "d2"]).groupBy("id").agg(F.max("n").alias("n"), F.min("component").alias("component"))
     out = docs.select(F.col(id_col).alias("__id")).join(found, F.col("__id").cast("long") == F.col("id"), "left")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import staged
+from millrace.llm.common import lean, staged
 from millrace.llm.unigram import NEVER as UNREACHED
 from millrace.llm.unigram import Pieces, byte_table, joined, pieces
 
@@ -213,7 +213,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
     long = F.coalesce(F.length(text_col) > giant, F.lit(False))
     schema = T.StructType([*docs.schema.fields, T.StructField("__ids", T.ArrayType(T.IntegerType()))])
     # the column's own name may be taken inside, so it gets its name outside
-    short = docs.where(~long).mapInArrow(_ids(model, kept.index(text_col)), schema).toDF(*kept, ids_col)
+    short = docs.where(~long).mapInArrow(lean(_ids(model, kept.index(text_col)), pieces.cache_clear), schema).toDF(*kept, ids_col)
     some = docs.where(long).withColumn("__key", F.sha2(F.col(text_col), 256))
     if not some.take(1):
         return short
@@ -227,9 +227,15 @@ def decode(docs: DataFrame, model: str, ids_col: str = "ids", text_col: str = "d
 
     @F.arrow_udf(T.StringType())
     def texts(ids: pa.Array) -> pa.Array:
-        table, flat = byte_table(model), ids.flatten().to_numpy(zero_copy_only=False)
-        ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-        return pa.array([joined(table, flat[a:b].tolist()) if v else None for a, b, v in zip(starts, ends, ids.is_valid().to_pylist(), strict=True)], pa.string())
+        table = byte_table(model)
+
+        def some(part: pa.Array) -> pa.Array:
+            """UTF-8 of a few rows, without Python texts."""
+            flat, lengths = part.flatten().to_numpy(zero_copy_only=False), part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lengths, dtype=np.int64)
+            raw = [joined(table, flat[b - n : b].tolist()) if v else None for b, n, v in zip(ends, lengths, part.is_valid().to_pylist(), strict=True)]
+            return pa.array(raw, pa.binary()).cast(pa.string())
+
+        return pa.concat_arrays([some(ids.slice(i, 500)) for i in range(0, len(ids), 500)] or [pa.array([], pa.string())])
 
     return docs.withColumn(text_col, texts(F.col(ids_col)))

@@ -165,11 +165,17 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of ids that encode gave."""
-        return joined(self.bytes_of, ids)
+        return joined(self.bytes_of, ids).decode()
 
 
-def joined(table: list[bytes], ids) -> str:
-    return b"".join([table[i] for i in ids]).decode("utf-8", "replace")[1:]
+def joined(table: list[bytes], ids) -> bytes:
+    """UTF-8 of a text's ids, without the leading space; what is no text (ids cut within a character) is mended."""
+    raw = b"".join([table[i] for i in ids])[1:]
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("utf-8", "replace").encode()
+    return raw
 
 
 @lru_cache(maxsize=2)
