@@ -232,15 +232,17 @@ class ChunkMarkdown:
 def records(pages: DataFrame, markdown: str = "markdown", url: str = "url", title: str = "title", max_words: int = MAX_WORDS, overlap: int = OVERLAP) -> DataFrame:
     """Retrieval records (id, content, metadata), one a chunk; other columns of pages stay. Ids come from the URL alone."""
     rows = pages.select("*", F.posexplode(chunks_of(markdown, max_words, overlap)).alias("chunk_index", "chunk"))
-    from millrace.functions.text import page_slug, sanitize_content, sanitize_label
+    from millrace.functions.text import nfc, page_slug, sanitize_content, sanitize_label
+
+    source = sanitize_label(nfc(F.col(url)), 2048)
 
     return rows.select(
         *[c for c in pages.columns if c != markdown],
-        page_slug(url, "chunk_index").alias("id"),
+        page_slug(source, "chunk_index").alias("id"),
         sanitize_content("chunk.text").alias("content"),
         F.struct(
-            sanitize_label(url, 2048).alias("source_url"), sanitize_label(title).alias("title"),
-            F.transform("chunk.headings_path", lambda h: sanitize_label(h)).alias("headings_path"), sanitize_label("chunk.section").alias("section"),
+            source.alias("source_url"), sanitize_label(nfc(F.col(title))).alias("title"),
+            F.col("chunk.headings_path").alias("headings_path"), F.col("chunk.section").alias("section"),
             F.col("chunk.word_count").alias("word_count"), F.col("chunk_index").alias("chunk_index"),
         ).alias("metadata"),
     )

@@ -47,14 +47,13 @@ def sanitize_content(text: Column | str) -> Column:
     return F.translate(_col(text), "\u2028\u2029", "\n\n")
 
 
-#: Bidirectional controls and separators that a label may not hold.
-BIDI = "\u061c\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
+#: Bidirectional controls, which a label may not hold.
+BIDI = "\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
 
 
 def sanitize_label(text: Column | str, limit: int = 512) -> Column:
-    """A one-line label: no bidirectional or control characters but tabs, blanks collapsed, cut to limit and stripped."""
-    c = F.regexp_replace(F.coalesce(_col(text), F.lit("")), f"[{BIDI}]", "")
-    c = F.regexp_replace(F.regexp_replace(c, "[\u2028\u2029\r\n]", " "), r"[\x00-\x08\x0b-\x1f\x7f-\x9f]", "")
+    """A one-line label: bidirectional and control characters but tabs, and line separators, go; blanks collapse; cut to limit and stripped. See nfc for composition."""
+    c = F.regexp_replace(F.coalesce(_col(text), F.lit("")), rf"[{BIDI}\u2028\u2029\x00-\x08\x0a-\x1f\x7f-\x9f]", "")
     return F.regexp_replace(F.substring(stripped(F.regexp_replace(c, f"{SPACE}+", " ")), 1, limit), f"{SPACE}+$", "")
 
 

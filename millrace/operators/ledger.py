@@ -12,10 +12,10 @@ def effective_cap(override: str, effective: str, plan: str) -> Column:
 
 
 def quota_gate(cap: Column, bonus: Column, used: Column, units: Column, overage_allowed: Column, overage_enabled: Column) -> Column:
-    """ok, overage or denied; a null used (no period) is denied."""
+    """ok, overage or denied. No cap is ok whatever was used; else a null used (no period) is denied."""
     limit = cap + F.coalesce(bonus, F.lit(0))
     return (
-        F.when(used.isNull(), "denied").when(cap == 0, "ok").when(used + units <= limit, "ok")
+        F.when(cap == 0, "ok").when(used.isNull(), "denied").when(used + units <= limit, "ok")
         .when(F.coalesce(overage_allowed & overage_enabled, F.lit(False)), "overage").otherwise("denied")
     )
 

@@ -330,7 +330,7 @@ SQL = {
     "idempotent_ledger": """with e as (select user_id, date_trunc('month', ts) period, case when event_type = 'error' then 0 else 1 end d, event_type from events)
         select user_id, period, sum(d)::bigint as total, count(*) as entries, greatest(sum(d) - 40, 0)::bigint as overage, coalesce(sum(d) filter (event_type = 'click'), 0)::bigint as clicks from e group by 1, 2""",
     "quota_gates": """with c as (select c_custkey, coalesce(case when c_custkey % 4 = 0 then c_custkey % 3 * 100 end, nullif(c_custkey % 2 * 200, 0), c_nationkey)::bigint cap, case when c_custkey % 11 > 0 then c_custkey % 500 end u from customer)
-        select c_custkey, cap, case when u is null then 'denied' when cap = 0 then 'ok' when u + 1 <= cap + 50 then 'ok' when c_custkey % 10 = 0 then 'overage' else 'denied' end as gate from c""",
+        select c_custkey, cap, case when cap = 0 then 'ok' when u is null then 'denied' when u + 1 <= cap + 50 then 'ok' when c_custkey % 10 = 0 then 'overage' else 'denied' end as gate from c""",
     "credit_rollover": """with recursive m as (select o_custkey, date_trunc('month', o_orderdate)::timestamp as month, sum(o_totalprice::decimal(18,4))::decimal(18,4) spent from orders group by 1, 2), n as (select *, row_number() over (partition by o_custkey order by month) i from m),
         r as (select o_custkey, month, spent, i, 150000::decimal(18,4) granted from n where i = 1 union all
           select n.o_custkey, n.month, n.spent, n.i, (150000 + greatest(r.granted - r.spent, 0))::decimal(18,4) from r join n on n.o_custkey = r.o_custkey and n.i = r.i + 1)

@@ -159,7 +159,7 @@ SQL = {
     "word_count": f"select doc_id, len({_WORDS.format(t='text')}) as n_words from documents",
     "sentence_split": r"""with s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(trim(text, e' \t\n\r\f\v'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, e' \t\n\r\f\v')), lambda x: x <> '') s from documents)
         select doc_id, i - 1 as pos, s[i] as sentence from (select *, unnest(range(1, len(s) + 1)) i from s)""",
-    "label_sanitize": r"select doc_id, rtrim(substr(trim(regexp_replace(regexp_replace(regexp_replace(text, '[\r\n]', ' ', 'g'), '[\x00-\x08\x0b-\x1f\x7f-\x{9f}]', '', 'g'), '\s+', ' ', 'g')), 1, 64)) as label from documents",
+    "label_sanitize": r"select doc_id, rtrim(substr(trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0a-\x1f\x7f-\x{9f}]', '', 'g'), '\s+', ' ', 'g')), 1, 64)) as label from documents",
     "metric_probe": f"""with l as (select doc_id, unnest(string_split(text, chr(10))) t from documents), w as (select doc_id, {_WORDS.format(t='t')} w from l)
         select doc_id, count(*) filter (len(w) >= 10 and len(list_distinct(w)) = 1) as probes, count(*) as lines from w group by doc_id""",
     "array_truncate": """with a as (select l_suppkey, list(l_quantity::int order by l_orderkey, l_linenumber, l_quantity::int) a from lineitem group by 1)
