@@ -143,11 +143,12 @@ def fingerprint(value: Column) -> Column:
 
 
 def truncated_middle(text: Column | str, cap: int = 8000, head: float = 0.6) -> Column:
-    """Long messages lose their middle; the marker counts toward the cap."""
-    c, marker = _col(text), "\n... [truncated] ...\n"
-    room = cap - len(marker)
-    first = int(room * head)
-    return F.when(F.length(c) <= cap, c).otherwise(F.concat(F.substring(c, 1, first), F.lit(marker), F.right(c, F.lit(room - first))))
+    """Long messages lose their middle; a marker says how many characters the text has over the cap, and counts toward it."""
+    c = _col(text)
+    marker = F.concat(F.lit("\n\n... ["), (F.length(c) - cap).cast("string"), F.lit(" characters omitted] ...\n\n"))
+    room = F.lit(cap) - F.length(marker)
+    first = F.floor(room * head).cast("int")
+    return F.when(F.length(c) <= cap, c).otherwise(F.concat(F.substring(c, F.lit(1), first), marker, F.right(c, room - first)))
 
 
 def capped(value: Column | str, limit: int = 2000) -> Column:
@@ -157,16 +158,16 @@ def capped(value: Column | str, limit: int = 2000) -> Column:
 
 
 def title_slug(title: Column | str, limit: int = 50, default: str = "capture") -> Column:
-    """Letters, digits, blanks, - and _ of a title, at most limit of them."""
-    kept = stripped(F.substring(F.regexp_replace(F.coalesce(_col(title), F.lit("")), r"(?U)[^\p{Alnum} _-]", ""), 1, limit))
-    return F.when(kept == "", F.lit(default)).otherwise(kept)
+    """Letters, digits, blanks, - and _ of a title, at most limit of them; the default where there is no title."""
+    kept = F.substring(stripped(F.regexp_replace(_col(title), r"(?U)[^\p{Alnum} _-]", "")), 1, limit)
+    return F.when(F.coalesce(_col(title), F.lit("")) == "", F.lit(default)).otherwise(kept)
 
 
-def member_name(index: Column | str, slug: Column | str, extension: str = "md") -> Column:
-    """Name of a bundle's member: three digits, slug of at most 80 characters."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(_col(slug), F.lit(""))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    s = F.when(s == "", F.lit("page")).otherwise(F.substring(s, 1, 80))
-    return F.format_string(f"%03d_%s_output.{extension}", _col(index).cast("int"), s)
+def member_name(index: Column | str, url: Column | str, output: str = "markdown", suffix: str = ".md") -> Column:
+    """Name of a bundle's member: its place from 1 in three digits, the URL without scheme as a slug of at most 80 characters, and the output."""
+    s = F.regexp_replace(F.regexp_replace(F.coalesce(_col(url), F.lit("")), "https?://", ""), "[^A-Za-z0-9._-]+", "-")
+    s = F.substring(F.regexp_replace(s, "^-+|-+$", ""), 1, 80)
+    return F.format_string(f"%03d_%s_{output}{suffix}", (_col(index) + 1).cast("int"), s)
 
 
 def overage_marker(project: Column | str, at: Column | str) -> Column:
@@ -187,18 +188,23 @@ def human_bytes(n: Column | str) -> Column:
 
 
 def host_name(url: Column | str) -> Column:
-    """First label of a URL's host, without www."""
-    host = F.regexp_extract(F.lower(_col(url)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    """First label of a URL's host, without www., for a file's name."""
+    host = F.regexp_extract(_col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)
     label = F.split(F.regexp_replace(host, r"^www\.", ""), r"\.")[0]
-    return F.when(label == "", F.lit("page")).otherwise(label)
+    return F.when(F.coalesce(label, F.lit("")) == "", F.lit("output")).otherwise(label)
 
 
 def object_key(name: Column | str) -> Column:
     """A safe object name from a path (non-ASCII must have been folded, see ascii_fold)."""
-    c = F.replace(source_label(_col(name)), F.lit(".."), F.lit(""))
-    c = F.regexp_replace(c, r"[<>:\"|?*\x00-\x1f\x7f]", "")
-    c = F.regexp_replace(c, " ", "_")
-    return F.when(F.coalesce(c, F.lit("")) == "", F.lit("output.bin")).otherwise(c)
+    c = F.replace(F.element_at(F.split(_col(name), "/"), -1), F.lit(".."), F.lit(""))
+    c = F.replace(F.regexp_replace(c, r"[<>:\"|?*\x00-\x1f\x7f]", ""), F.lit(" "), F.lit("_"))
+    return F.when(F.coalesce(c, F.lit("")).isin("", "."), F.lit("output.bin")).otherwise(c)
+
+
+def object_path(env: str, project: Column | str, endpoint: str, name: Column | str) -> Column:
+    """Where an object is kept: environment, files, project, endpoint (its route's last part, slashes as dashes), name."""
+    where = endpoint.replace("/v1/convert/", "").replace("/", "-")
+    return F.concat(F.lit(f"{env}/files/"), _col(project).cast("string"), F.lit(f"/{where}/"), object_key(name))
 
 
 @F.pandas_udf(T.StringType())

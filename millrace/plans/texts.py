@@ -187,8 +187,8 @@ SQL = {
         select n.n_regionkey, '| ' || rpad('n_nationkey', any_value(a)::int, ' ') || ' | ' || rpad('n_name', any_value(b)::int, ' ') || ' |' || chr(10) || '|' || repeat('-', any_value(a)::int + 2) || '|' || repeat('-', any_value(b)::int + 2) || '|' || chr(10)
           || string_agg('| ' || rpad(n_nationkey::varchar, a::int, ' ') || ' | ' || rpad(n_name, b::int, ' ') || ' |', chr(10) order by n_nationkey) as "table" from nation n join w using (n_regionkey) group by 1""",
     "code_fences": "select doc_id, greatest(3, case when doc_id % 6 > 0 then doc_id % 6 + 1 else 0 end, coalesce(list_max(list_transform(regexp_extract_all(substr(text, 1, 20), '`+'), lambda x: length(x))), 0) + 1)::bigint as fence from documents",
-    "error_truncate": r"""with m as (select chr(10) || '... [truncated] ...' || chr(10) as m)
-        select doc_id, case when length(text) <= 1000 then text else substr(text, 1, floor((1000 - length(m)) * 0.6)::int) || m || right(text, 1000 - length(m) - floor((1000 - length(m)) * 0.6)::int) end as message from documents, m""",
+    "error_truncate": r"""with m as (select doc_id, text, chr(10) || chr(10) || '... [' || (length(text) - 1000) || ' characters omitted] ...' || chr(10) || chr(10) as m from documents)
+        select doc_id, case when length(text) <= 1000 then text else substr(text, 1, floor((1000 - length(m)) * 0.6)::int) || m || right(text, 1000 - length(m) - floor((1000 - length(m)) * 0.6)::int) end as message from m""",
 }
 
 QUERIES = {f.__name__: f for f in (

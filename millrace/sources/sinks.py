@@ -54,7 +54,7 @@ def bundles(files: DataFrame, key: str, order: str, name: str, body: str) -> Dat
         return pd.DataFrame({key: [pdf[key].iat[0]], "content": [out.getvalue()]})
 
     place = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    rows = files.withColumn("__i", place).withColumn("__m", member_name("__i", name))
+    rows = files.withColumn("__i", place).withColumn("__m", member_name(F.col("__i") - 1, name))
     return rows.select(key, "__i", "__m", body).groupBy(key).applyInPandas(pack, f"{key} {files.schema[key].dataType.simpleString()}, content binary")
 
 

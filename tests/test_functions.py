@@ -89,11 +89,12 @@ def test_text_helpers(spark):
     assert one(text.source_label("_1"), "a/b\\c.pdf") == "c.pdf"
     assert one(text.code_fence("_1"), "x ```` y").startswith("`````\n")
     assert one(text.clean_cell("_1"), " a|b\n") == "a\\|b" and one(text.clean_cell("_1", 3), "abcdef") == "abc…"
-    assert one(text.truncated_middle("_1", 100), "x" * 101).__len__() == 100 and one(text.truncated_middle("_1", 100), "x" * 100) == "x" * 100
-    assert one(text.object_key("_1"), "../a b<c>.txt") == "a_bc.txt" and one(text.object_key("_1"), "..") == "output.bin"
+    assert one(text.truncated_middle("_1", 100), "x" * 1010).__len__() == 100 and one(text.truncated_middle("_1", 100), "x" * 100) == "x" * 100
+    assert one(text.object_key("_1"), "../a b<c>.txt") == "a_bc.txt" and one(text.object_key("_1"), "..") == "output.bin" and one(text.title_slug("_1"), "") == "capture"
     assert one(text.human_bytes("_1"), 1536) == "1.5 KB" and one(text.human_bytes("_1"), 5) == "5 B"
     assert one(text.host_name("_1"), "https://www.docs.x.com/a") == "docs"
-    assert one(text.member_name(F.lit(7), "_1"), "Hello, World!") == "007_hello-world_output.md"
+    assert one(text.member_name(F.lit(6), "_1"), "https://x.com/Hello, World!") == "007_x.com-Hello-World_markdown.md"
+    assert one(text.object_path("dev", F.lit(3), "/v1/convert/url-to-markdown", "_1"), "a/b c.md") == "dev/files/3/url-to-markdown/b_c.md"
     assert one(text.title_slug("_1"), "A/b: c_d-é!") == "Ab c_d-é"
     assert one(text.render_quality("_1"), "<p>" + "w " * 19) == 0.3 and one(text.render_quality("_1"), "<p>" + "w " * 20 + "<script>x y</script>") == 1.0
     assert one(text.nfc("_1"), "e\u0301") == "\u00e9" and one(text.ascii_fold("_1"), "\u00e9\u00b2") == "e2"

@@ -129,7 +129,7 @@ def test_sinks(spark, tmp_path):
     lines = [x for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().splitlines()]
     assert lines == ['{"i":1,"t":"é","n":"x"}', '{"i":2,"t":"b","n":null}']
     zipped = sinks.bundles(df.withColumn("job", F.lit(1)), "job", "i", "t", "t").first()
-    assert zipfile.ZipFile(io.BytesIO(bytes(zipped.content))).namelist() == ["001_page_output.md", "002_b_output.md"]
+    assert zipfile.ZipFile(io.BytesIO(bytes(zipped.content))).namelist() == ["001__markdown.md", "002_b_markdown.md"]
     naps, answers = [], iter([500, 503, 204])
     assert sinks.deliver(lambda u, b, h: next(answers), "u", b"", {}, naps.append) == (True, 3) and naps == [0, 1, 4]
     assert sinks.deliver(lambda u, b, h: 500, "u", b"", {}, naps.append) == (False, 4)
