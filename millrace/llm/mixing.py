@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's rate is target / size. Every document gets floor(rate) whole copies for certain; what
-remains of the target is filled by a Pareto sample: documents are ranked by
+A source's rate is target / size. Every document gets floor(rate) whole copies for certain (of rate times its weight,
+where documents have weights); what remains of the target is filled by a Pareto sample: documents are ranked by
 [u / (1 - u)] / [p / (1 - p)], u a hash of the id, p the inclusion probability, and taken in that
 order while their words fit (the last one if that comes nearer). The sample's size is fixed in
 words, so a source misses its residual target by half a document at most.
@@ -49,23 +49,28 @@ def source_targets(sizes: DataFrame, weights: list[float] | None = None, most: i
     return levels.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: list[float] | None = None, most: int = MOST, bins: int = 4096, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: list[float] | None = None, most: int = MOST, bins: int = 4096, seed: str = "mix", weight_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, copies, taken.
 
     size counts words; null and empty texts have size 0 and are never taken. A null source is a source of its own,
     the last. A null id hashes like the text "null". Rows that repeat an id keep their own size and copies.
+    weight_col: a document's share of its source against the others' (null and less than 0: 0; by default all 1), so that inclusion
+    probabilities differ within a source too; no document gets more than most copies.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
+    w = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), w.alias("w"))
     rows = staged(rows, "sizes")
-    targets = staged(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
-    t = targets.select(
-        F.col("source").alias("s"), "source_size", "target",
-        F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long").alias("whole"),
-    )
-    t = t.withColumn("residual", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("p", F.try_divide("residual", "source_size"))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("w")).alias("weighted"))
+    targets = source_targets(sizes.select("source", "source_size"), weights, most)
+    t = targets.withColumnRenamed("source", "s").join(sizes.select(F.col("source").alias("s2"), "weighted"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
+    t = staged(t.withColumn("rate", F.coalesce(F.try_divide("target", "weighted"), F.lit(0.0))), "targets")
+    expected = F.least(F.col("rate") * F.col("w"), F.lit(float(most)))
+    rated = rows.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s", "weighted").withColumn("whole", F.floor(expected).cast("long")).withColumn("p", expected - F.col("whole"))
+    certain = rated.groupBy(F.col("source").alias("s")).agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("residual"))
+    ranked = rated.join(certain, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     u = uniform("doc_id", seed)
     odds = F.when((F.col("size") > 0) & (F.col("p") > 0), (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
-    ranked = rows.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rank", odds)
+    ranked = ranked.withColumn("rank", odds)
     # rank / (1 + rank) lies in (0, 1) and keeps the order
     ranked = ranked.withColumn("bin", F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * bins), F.lit(bins - 1)).cast("int"))
     # one sum per source and bin: bins rows a source, however many documents

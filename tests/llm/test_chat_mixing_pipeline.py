@@ -102,6 +102,21 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mix_with_document_weights(spark):
+    rows = [(i, f"s{i // 4 % 2}", "w " * (1 + i % 7), [None, 0.0, 1.0, 3.0][i % 4]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, quality double")
+    got = mixing.mix(df, weights=[1.0, 1.0], weight_col="quality").collect()
+    by = {}
+    for r in got:
+        n, taken = by.get(rows[r.doc_id][3], (0, 0))
+        by[rows[r.doc_id][3]] = (n + r.size, taken + r.taken)
+        assert r.taken <= 3 * r.size
+    assert by[None][1] == 0 == by[0.0][1] and by[3.0][1] / by[3.0][0] > 1.2 * by[1.0][1] / by[1.0][0] > 0
+    for s in ("s0", "s1"):
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 4
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
