@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from millrace.html.content import registrable
 from millrace.html.pages import main_markdown
 from millrace.html.tree import HEADINGS, Node, parse
+from millrace.session import spread
 
 TEXT_CHARS, VALUE_CHARS, TABLE_ROWS = 200_000, 2_000, 2
 
@@ -154,7 +155,7 @@ def captures(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
         return pd.DataFrame([(c["text"], json.dumps(c["structured"], ensure_ascii=False, sort_keys=True), capture_hash(c)) for c in made], columns=["text", "structured", "content_hash"])
 
     kept = [c for c in pages.columns if c != html]
-    return pages.select(*kept, run(html, url).alias("c")).select(*kept, F.col("c.text").alias("capture_text"), "c.structured", "c.content_hash")
+    return spread(pages).select(*kept, run(html, url).alias("c")).select(*kept, F.col("c.text").alias("capture_text"), "c.structured", "c.content_hash")
 
 
 _CHANGE = "array<struct<section:string,kind:string,key:string,field:string,before:string,after:string>>"

@@ -15,6 +15,7 @@ from millrace.html.election import Selected, elect
 from millrace.html.markdown import html_to_markdown, markdown
 from millrace.html.prepare import prepare_html
 from millrace.html.tree import parse
+from millrace.session import spread
 
 #: A body of another kind is cut at so many characters, with a note.
 RAW_CAP = 8 << 20
@@ -86,7 +87,7 @@ def to_markdown(pages: DataFrame, html: str = "html", url: str = "url", category
         done = [body_markdown(b or "", k, u or "") for b, u, k in zip(body, at, kind, strict=True)]
         return pd.DataFrame(done, columns=["markdown", "markdown_source", "warnings"])
 
-    return rows.withColumn("m", convert("body", "at", "category")).select("row.*", "m.*")
+    return spread(rows).withColumn("m", convert("body", "at", "category")).select("row.*", "m.*")
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,4 +102,4 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def candidates(pages: DataFrame, page: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
     """page, candidates (array of source and markdown), full_page, baseline: what the election is held over."""
     rows = pages.select(F.col(page).cast("long").alias("page"), F.col(html).alias("html"), F.col(url).alias("url"))
-    return rows.mapInPandas(_candidates, "page long, candidates array<struct<source:string,markdown:string>>, full_page string, baseline string")
+    return spread(rows).mapInPandas(_candidates, "page long, candidates array<struct<source:string,markdown:string>>, full_page string, baseline string")

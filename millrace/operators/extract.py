@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from millrace.html.tree import Node, parse
+from millrace.session import spread
 
 FIELD_TYPES = ("text", "attribute", "html", "regex", "nested", "list", "nested_list")
 TRANSFORMS = {"lowercase": str.lower, "uppercase": str.upper, "strip": str.strip}
@@ -97,7 +98,7 @@ def extract_css(pages: DataFrame, page: str, html: str, schema: dict) -> DataFra
         s = json.loads(raw)
         return texts.map(lambda t: [json.dumps(r, ensure_ascii=False) for r in records(t, s)])
 
-    return pages.select(page, F.posexplode(run(F.col(html))).alias("pos", "record"))
+    return spread(pages.select(page, html)).select(page, F.posexplode(run(F.col(html))).alias("pos", "record"))
 
 
 @udtf(returnType=T.StructType().add("pos", "integer").add("record", "string"))
@@ -173,7 +174,7 @@ def distill(pages: DataFrame, page: str, html: str, css: dict, schema: dict, tar
             out.append((json.dumps(shaped(props, data), ensure_ascii=False), len(found), missing(props, data), tier(n, 0)))
         return pd.DataFrame(out, columns=["data", "n_records", "missing", "tier"])
 
-    return pages.select(page, run(F.col(html)).alias("r")).select(page, "r.*")
+    return spread(pages.select(page, html)).select(page, run(F.col(html)).alias("r")).select(page, "r.*")
 
 
 #: Where each kind of search result keeps its fields (payload list, then our name and the payload's).
