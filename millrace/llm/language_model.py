@@ -29,7 +29,7 @@ from millrace.llm.common import discard, fold_of, lean, mixed, staged, word_hash
 
 #: Counts up to LOW are discounted. A word is frequent from a HOT-th part of all tokens.
 LOW, HOT = 5, 1000
-VOCABULARY, BLOCK, PART, HELD = 1 << 18, 700_000, 2_000_000, 1_500_000
+VOCABULARY, BLOCK, PART, HELD = 1 << 18, 500_000, 1_500_000, 700_000
 
 
 def packed(a: np.ndarray, delta: bool = False) -> bytes:
