@@ -242,12 +242,12 @@ def props_json(spark, sf_dir):
 
 
 def search_results(spark, sf_dir):
-    p = _events(spark, sf_dir).where("event_id < 200").select(F.col("event_id").cast("string").alias("query"), F.concat(F.lit('{"organic":[{"title":"t'), F.col("event_id"), F.lit('","link":"https://x/'), F.col("user_id"), F.lit('","position":1,"sitelinks":"s"}]}')).alias("payload"))
+    p = _events(spark, sf_dir).select(F.col("event_id").cast("string").alias("query"), F.concat(F.lit('{"organic":[{"title":"t'), F.col("event_id"), F.lit('","link":"https://x/'), F.col("user_id"), F.lit('","position":1,"sitelinks":"s"}]}')).alias("payload"))
     return extract.search_results(p, "query", "payload", "search").select("query", "title", "url", "position", F.col("extra")["sitelinks"].alias("sitelinks"))
 
 
 def heading_stack(spark, sf_dir):
-    e = _events(spark, sf_dir).where("user_id < 20").select("user_id", "event_id", (F.col("event_id") % 4).cast("int").alias("level"), F.concat(F.lit("h"), F.col("event_id")).alias("text"))
+    e = _events(spark, sf_dir).select("user_id", "event_id", (F.col("event_id") % 4).cast("int").alias("level"), F.concat(F.lit("h"), F.col("event_id")).alias("text"))
     return windows.heading_paths(e, "user_id", "event_id", "level", "text").select("user_id", "event_id", F.array_join("path", ">").alias("path"))
 
 

@@ -14,3 +14,27 @@ def test_layout_holds_every_document(spark, tmp_path):
     for r in texts.word_lines_layout(spark, documents(spark, tmp_path, bodies)).orderBy("doc", "page", "line").collect():
         got.setdefault(r["doc"], []).append(r["text"])
     assert {d: " ".join(t) for d, t in got.items()} == bodies
+
+
+def events(spark, path, rows):
+    spark.createDataFrame([(*r, "2024-01-01 00:00:00") for r in rows], "event_id long, user_id long, ts string").write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_search_results_hold_every_event(spark, tmp_path):
+    rows = [(i, i % 7) for i in range(150, 420)]
+    got = accounts.search_results(spark, events(spark, tmp_path, rows)).collect()
+    assert sorted(map(tuple, got)) == sorted((str(i), f"t{i}", f"https://x/{u}", 1, "s") for i, u in rows)
+
+
+def test_heading_stack_holds_every_user(spark, tmp_path):
+    rows = [(i, i * 7 % 40) for i in range(600)]
+    stacks, want = {}, []
+    for i, u in rows:
+        stack = stacks.setdefault(u, {})
+        if i % 4:
+            for k in [k for k in stack if k >= i % 4]:
+                del stack[k]
+            stack[i % 4] = f"h{i}"
+        want.append((u, i, ">".join(stack[k] for k in sorted(stack))))
+    assert sorted(map(tuple, accounts.heading_stack(spark, events(spark, tmp_path, rows)).collect())) == sorted(want)
