@@ -130,7 +130,7 @@ def format_round_trips(spark, sf_dir):
 
 def code_fences(spark, sf_dir):
     ticks = F.repeat(F.lit("`"), (F.col("doc_id") % 6).cast("int"))
-    return _docs(spark, sf_dir).select("doc_id", F.length(F.regexp_extract(text.code_fence(F.concat(ticks, F.lit(" "), F.substring("text", 1, 20)), "md"), "^(`+)", 1)).cast("long").alias("fence"))
+    return _docs(spark, sf_dir).select("doc_id", F.length(F.regexp_extract(text.code_fence(F.concat(ticks, F.lit(" "), F.col("text")), "md"), "^(`+)", 1)).cast("long").alias("fence"))
 
 
 def error_truncate(spark, sf_dir):

@@ -38,3 +38,9 @@ def test_heading_stack_holds_every_user(spark, tmp_path):
             stack[i % 4] = f"h{i}"
         want.append((u, i, ">".join(stack[k] for k in sorted(stack))))
     assert sorted(map(tuple, accounts.heading_stack(spark, events(spark, tmp_path, rows)).collect())) == sorted(want)
+
+
+def test_code_fence_counts_the_whole_text(spark, tmp_path):
+    bodies = {0: "a" * 30 + "`" * 9 + " b", 6: "plain", 13: "x " * 40 + "````", 4: "`" * 7}
+    got = {r["doc_id"]: r["fence"] for r in texts.code_fences(spark, documents(spark, tmp_path, bodies)).collect()}
+    assert got == {0: 10, 6: 3, 13: 5, 4: 8}
