@@ -82,7 +82,7 @@ def boilerplate_lines(spark, sf_dir):
 
 def benchmark_overlap(spark, sf_dir):
     """Share of each benchmark item's distinct words of four letters that a document holds, where it holds half: an inverted-index join."""
-    four = lambda c: F.array_distinct(F.filter(text.words(F.lower(c)), lambda w: F.length(w) >= 8))
+    four = lambda c: F.array_distinct(F.filter(text.words(F.lower(c)), lambda w: F.length(w) >= 4))
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.explode(four(F.col("text"))).alias("w"))
     sizes = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     docs = _docs(spark, sf_dir).select("doc_id", F.explode(four(F.col("text"))).alias("w"))

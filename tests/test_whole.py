@@ -44,3 +44,13 @@ def test_code_fence_counts_the_whole_text(spark, tmp_path):
     bodies = {0: "a" * 30 + "`" * 9 + " b", 6: "plain", 13: "x " * 40 + "````", 4: "`" * 7}
     got = {r["doc_id"]: r["fence"] for r in texts.code_fences(spark, documents(spark, tmp_path, bodies)).collect()}
     assert got == {0: 10, 6: 3, 13: 5, 4: 8}
+
+
+def test_overlap_counts_words_of_four_letters(spark, tmp_path):
+    bodies = {1: "Some word here stands alone", 2: "some WORD and the rest", 3: "extraordinary circumstances"}
+    items = {1: "some word here that", 2: "extraordinary thing with more", 3: "a of the"}
+    sf = documents(spark, tmp_path, bodies)
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    long = lambda t: {w for w in t.lower().split() if len(w) >= 4}
+    want = {(d, i, len(long(b) & long(t)), len(long(t))) for d, b in bodies.items() for i, t in items.items() if long(b) & long(t) and 2 * len(long(b) & long(t)) >= len(long(t))}
+    assert want == {(1, 1, 3, 4), (2, 1, 2, 4)} and set(map(tuple, texts.benchmark_overlap(spark, sf).collect())) == want
