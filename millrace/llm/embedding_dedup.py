@@ -1,8 +1,9 @@
 """Near-duplicate embeddings by sorted projection passes.
 
-Each pass gives every vector a key of concatenated random-hyperplane bits, sorts all vectors by
-(group, key) and compares each with its next neighbours in that order. Verified pairs of all passes
-are joined into components. A window is bounded, so inside the components found, all members are
+Each pass gives every vector a key of concatenated random-hyperplane bits, taken from the mean of its
+group, sorts all vectors by (group, key) and compares each with its next neighbours in that order. The
+number of passes grows with the group, so that a pair at the threshold is missed by all with a stated
+probability. Verified pairs of all passes are joined into components. A window is bounded, so inside the components found, all members are
 then compared block by block: no partner is lost to the window in a dense group, and no pair is
 ever written out for it.
 
@@ -23,22 +24,67 @@ from millrace.llm.common import discard, partitions, staged
 from millrace.llm.graph import connected_components
 
 PASSES, BITS, WINDOW, BLOCK = 12, 48, 32, 1024
+#: Probability that a pair at the threshold meets in no pass. Prefixes are taken SLACK bits longer than even buckets need.
+MISS, SLACK = 1e-4, 2
 
 
-def _keys(passes: int, bits: int, seed: int):
+def _unit(vecs: pd.Series) -> np.ndarray:
+    x = np.stack([np.asarray(v, dtype=np.float64) for v in vecs])
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Number and sum of unit vectors by group."""
+    held: dict = {}
+
+    def flush() -> pd.DataFrame:
+        rows = [(g, d, n, x) for (g, d), (n, x) in held.items()]
+        held.clear()
+        return pd.DataFrame(rows, columns=["grp", "dim", "n", "total"])
+
+    for pdf in batches:
+        for key, part in pdf.groupby(["grp", "dim"]):
+            n, x = held.get(key, (0, 0.0))
+            held[key] = n + len(part), x + _unit(part["vec"]).sum(axis=0)
+        if len(held) > 10_000:
+            yield flush()
+    if held:
+        yield flush()
+
+
+def _passes(n: int, spread: float, threshold: float, window: int, least: int) -> int:
+    """So many that a pair at the threshold shares the prefix of a window in one of them but for MISS. spread: root mean square distance from the mean."""
+    chord = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    differs = min(0.25, 2 * float(np.arcsin(min(1.0, chord / 2 / max(spread, 1e-9)))) / np.pi)
+    meets = (1 - differs) ** max(0.0, np.log2(n / window) + SLACK)
+    return max(least, int(np.ceil(np.log(MISS) / np.log1p(-min(meets, 1 - MISS)))))
+
+
+def _centres(threshold: float, window: int, least: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf["n"].sum())
+        mean = np.sum(np.stack(list(pdf["total"])), axis=0) / n
+        passes = _passes(n, float(np.sqrt(max(0.0, 1 - mean @ mean))), threshold, window, least)
+        return pd.DataFrame({"grp": [pdf["grp"].iat[0]], "dim": [pdf["dim"].iat[0]], "passes": [passes], "mean": [mean]})
+
+    return run
+
+
+def _keys(bits: int, seed: int):
     weights = (np.uint64(1) << np.arange(bits - 1, -1, -1, dtype=np.uint64))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict = {}
         for pdf in batches:
-            for dim, part in pdf.groupby("dim"):
+            for (dim, passes), part in pdf.groupby(["dim", "passes"]):
                 dim = int(dim)
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((passes, dim, bits))
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in part["vec"]])
-                raw = [r.tobytes() for r in x]
-                for p in range(passes):
-                    key = ((x @ planes[dim][p] >= 0).astype(np.uint64) * weights).sum(axis=1)
+                x = _unit(part["vec"]) - np.stack(list(part["mean"]))
+                raw = [np.asarray(v, dtype=np.float64).tobytes() for v in part["vec"]]
+                for p in range(int(passes)):
+                    if (dim, p) not in planes:
+                        planes[dim, p] = np.random.default_rng([seed, dim, p]).standard_normal((dim, bits))
+                    key = ((x @ planes[dim, p] >= 0).astype(np.uint64) * weights).sum(axis=1)
                     yield pd.DataFrame({"pass": p, "grp": part["grp"].values, "dim": dim, "key": key.astype(np.int64), "rep": part["rep"].values, "raw": raw})
 
     return run
@@ -119,7 +165,7 @@ def near_duplicate_vectors(
     Vectors of equal, non-null group and equal length link at a cosine (double precision) of threshold or more. Vectors
     that are null, empty, zero or hold null or non-finite components, and those of a null group, link with nothing.
     Rows that repeat an id count as vectors of their own; a null id never names a component that has another. An empty
-    table gives an empty result. Other columns are not read.
+    table gives an empty result. Other columns are not read. Passes are the least; larger groups get more.
     """
     spark = df.sparkSession
     v = F.col("vec")
@@ -132,7 +178,11 @@ def near_duplicate_vectors(
     )
     classes = staged(classes, "vectors")
     n = partitions(spark)
-    keyed = classes.select("grp", "dim", "vec", "rep").mapInPandas(_keys(passes, bits, seed), f"pass int, grp {classes.schema['grp'].dataType.simpleString()}, dim int, key long, rep long, raw binary")
+    kind = classes.schema["grp"].dataType.simpleString()
+    centres = classes.select("grp", "dim", "vec").mapInPandas(_sums, f"grp {kind}, dim int, n long, total array<double>")
+    centres = staged(centres.groupBy("grp", "dim").applyInPandas(_centres(threshold, window, passes), f"grp {kind}, dim int, passes int, mean array<double>"), "centres")
+    centred = classes.select("grp", "dim", "vec", "rep").join(centres, ["grp", "dim"])
+    keyed = centred.mapInPandas(_keys(bits, seed), f"pass int, grp {kind}, dim int, key long, rep long, raw binary")
     order = ["pass", "grp", "dim", "key", "rep"]
     run, seam = _windows(threshold, window)
     schema = keyed.select("pass", "grp", "dim", "rep", "raw").schema
@@ -144,7 +194,7 @@ def near_duplicate_vectors(
     seams = found.where("seam >= 0").groupBy("seam").applyInPandas(seam, "a long, b long")
     links = found.where("a is not null").select("a", "b").union(seams).distinct()
     parts = staged(connected_components(links), "parts")
-    discard(found)
+    discard(found, centres)
     members = classes.join(parts, classes["rep"] == parts["node"]).select("rep", "component", "copies", "vec")
     blocks = parts.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     members = members.join(blocks, "component").withColumn("bucket", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
