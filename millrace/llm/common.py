@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,54 @@ def lean(run: Callable, *forget: Callable[[], None]) -> Callable:
     return wrapped
 
 
+#: Rows of a narrow table (ids, hashes) that are broadcast at most: some 50 MB.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """df, a staged table of narrow rows, for a join against whole texts: broadcast if it is counted to be small enough, else
+    hashed partition by partition. Either way the texts' side streams past it and is not sorted."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of df has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, marks: DataFrame, id_col: str, mark: Column) -> DataFrame:
+    """docs, with all their columns, less the rows of which marks speak.
+
+    marks: (id, mark, stays), one row for each id and mark it speaks of; mark is a hash of a row's text. Where stays holds, one of the rows with
+    that id and mark is left, else none. Ids may be null.
+    """
+    marks = staged(marks, "marks")
+    own, i, m, s = unused(docs, "own", "id", "mark", "stays")
+    side = small_side(marks.toDF(i, m, s))
+    found = docs.withColumn(own, mark).join(side, F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (F.col(own) == F.col(m)), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = found.where(F.col(s).isNull()).select(columns)
+    if marks.where("stays").take(1):
+        out = out.union(found.where(F.col(s)).dropDuplicates([i, m]).select(columns))
+    return out
+
+
+def pieces(batch: pa.RecordBatch, text: str, rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of bounded rows and bytes of the binary column text, one row at least."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64))
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, min(a + rows, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right"))))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -97,11 +146,11 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of a text's words, A-Z lowered, in order."""
+def word_hashes(text: str | bytes | None) -> np.ndarray:
+    """64-bit hashes of a text's words, A-Z lowered, in order. bytes are UTF-8."""
     if not text:
         return np.empty(0, np.uint64)
-    words = text.encode("utf-8", "replace").lower().split()
+    words = (text if isinstance(text, bytes) else text.encode("utf-8", "replace")).lower().split()
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 

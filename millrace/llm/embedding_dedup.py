@@ -98,15 +98,21 @@ def _windows(threshold: float, window: int):
         return x / np.linalg.norm(x, axis=1, keepdims=True), pdf["rep"].to_numpy()
 
     def pairs(pdf: pd.DataFrame, fresh: int) -> pd.DataFrame:
-        """fresh: index of the first row not compared with its predecessors before."""
+        """Links that join what is similar here, a forest of them. fresh: index of the first row not compared with its predecessors before."""
         found_a, found_b = [], []
         for _, part in pdf.reset_index(drop=True).groupby(["pass", "grp", "dim"], sort=False):
             x, rep = rows(part)
             new = part.index.to_numpy() >= fresh
+            root = np.arange(len(part))
             for k in range(1, min(window, len(part) - 1) + 1):
-                hit = (np.einsum("ij,ij->i", x[:-k], x[k:]) >= threshold) & new[k:]
-                found_a.append(rep[:-k][hit])
-                found_b.append(rep[k:][hit])
+                apart = np.flatnonzero(new[k:] & (root[:-k] != root[k:]))
+                hit = apart[np.einsum("ij,ij->i", x[apart], x[apart + k]) >= threshold]
+                found_a.append(rep[hit])
+                found_b.append(rep[hit + k])
+                np.minimum.at(root, root[hit], root[hit + k])
+                np.minimum.at(root, root[hit + k], root[hit])
+                while (root != root[root]).any():
+                    root = root[root]
         if not found_a:
             return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
         a, b = np.concatenate(found_a), np.concatenate(found_b)

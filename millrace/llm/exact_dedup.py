@@ -1,11 +1,11 @@
 """Exact deduplication with a heavy-hitter split.
 
-1. One pass makes a narrow table: id, SHA-256 of the normalised text, code points.
+1. One pass makes a narrow table: id, hash of the text, SHA-256 of the normalised text, code points.
 2. Misra-Gries summaries (k counters a partition) are summed by digest. A digest held by more
    than 2N/k rows is surely among the k largest sums; only its exact, verified count decides.
 3. The winners of those few digests (at most k) are broadcast and decide their copies map-side,
    so the largest groups never meet in one task.
-4. Every other digest has at most 2N/k rows and goes through one ordinary shuffle.
+4. Every other digest goes through ordinary shuffles of that narrow table, pre-aggregated; no task holds a group.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BLANKS, staged
+from millrace.llm.common import BLANKS, staged, without
 
 
 def normalised(text: str) -> F.Column:
@@ -51,40 +51,48 @@ def frequent(digests: DataFrame, k: int = 1024) -> DataFrame:
     return parts.groupBy("digest").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "digest").limit(k).select("digest")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 1024) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Of equal normalised texts the row with most code points in the original, then the smallest id, stays
-    (null ids last). Null and blank texts are equal to one another. Rows that repeat an id share its verdict.
-    An empty table gives an empty result; other columns are not read.
-    """
+def _decided(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """doc_id, mark (a hash of the original text), digest, group_size, keep_id and keep_mark of every row."""
     narrow = staged(
         docs.select(
             F.col(id_col).alias("doc_id"),
+            F.xxhash64(text_col).alias("mark"),
             F.sha2(normalised(text_col), 256).alias("digest"),
             F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n"),
         ),
         "digests",
     )
     total = narrow.count()
-    best = F.struct((-F.col("n")).alias("minus_n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
-    candidates = F.broadcast(frequent(narrow, k))
-    winners = (
-        narrow.join(candidates, "digest")
-        .groupBy("digest")
-        .agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("size"))
-        .where(F.col("size") * F.lit(k) > F.lit(2 * total))
-        .select("digest", F.col("best.id").alias("keep_id"), F.col("size").alias("group_size"))
-    )
+    best = F.struct((-F.col("n")).alias("minus_n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "mark")
+    decided = lambda rows: rows.groupBy("digest").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    winners = decided(narrow.join(F.broadcast(frequent(narrow, k)), "digest")).where(F.col("group_size") * F.lit(k) > F.lit(2 * total))
     winners = F.broadcast(staged(winners, "winners"))  # at most k rows
     hot = narrow.join(winners, "digest")
-    w = Window.partitionBy("digest").orderBy(F.desc("n"), F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cold = narrow.join(winners, "digest", "left_anti").select("*", F.first("doc_id").over(w).alias("keep_id"), F.count(F.lit(1)).over(w).alias("group_size"))
-    columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")]
+    cold = narrow.join(winners.select("digest"), "digest", "left_anti")
+    cold = cold.join(decided(cold), "digest")
+    columns = ["doc_id", "mark", "digest", "group_size", F.col("best.id").alias("keep_id"), F.col("best.mark").alias("keep_mark")]
     return hot.select(*columns).unionByName(cold.select(*columns))
 
 
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 1024) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Of equal normalised texts the row with most code points in the original, then the smallest id, stays
+    (null ids last). Null and blank texts are equal to one another. Rows of a group that share the id that stays are all marked as kept.
+    An empty table gives an empty result; other columns are not read.
+    """
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return _decided(docs, id_col, text_col, k).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 1024) -> DataFrame:
-    """The rows of docs that stay, with all their columns. A row goes by its id, so rows of a null id all stay."""
-    gone = exact_dedup(docs, id_col, text_col, k).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows of docs that stay, one of each group of equal texts, with all their columns.
+
+    Rows are judged one by one: of rows that repeat an id each goes or stays by its own text, and of wholly equal rows,
+    or rows of a null id with equal texts, one stays. Texts are neither shuffled nor sorted while the rows that go are few enough
+    to be broadcast, and then only hashed past them. Any column names may stand in docs. An empty table stays empty.
+    """
+    rows = _decided(docs, id_col, text_col, k).where("group_size > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("keep_mark"))
+    marks = rows.groupBy("doc_id", "mark").agg(F.bool_or(stays).alias("stays"), F.count(F.lit(1)).alias("rows")).where("not stays or rows > 1")
+    return without(docs, marks.select("doc_id", "mark", "stays"), id_col, F.xxhash64(text_col))

@@ -1,23 +1,41 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a pre-aggregated minimum and an equi-join, so a node with very many
-neighbours costs no task more than its share. Edges live in shared-folder tables
+Every step is a pre-aggregated minimum and an equi-join; where edges are many, those of the few nodes with very many
+neighbours are joined in place with a broadcast of these, so none costs a task more than its share. Edges live in shared-folder tables
 between rounds; the driver sees a count and a checksum a round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import discard, staged
 
+#: A node with more than a HUBS-th part of all edges is a hub, where there are LARGE edges or more.
+HUBS, LARGE = 1000, 20_000
+
 
 def _state(edges: DataFrame) -> tuple:
     r = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first()
     return tuple(r)
 
 
+def _lowest(edges: DataFrame, value: Column) -> DataFrame:
+    """(u, m, edges): the value of each u and how many edges it has."""
+    return edges.groupBy("u").agg(value.alias("m"), F.count(F.lit(1)).alias("edges"))
+
+
+def _beside(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """edges (u, v) with the m of u. Edges of a hub stay where they are, beside a broadcast of the hubs (at most 2 * HUBS rows); the others meet their m by a join."""
+    if total < LARGE:
+        return edges.join(low.drop("edges"), "u")
+    most = max(1, total // HUBS)
+    hubs = F.broadcast(staged(low.where(F.col("edges") > most).drop("edges"), "hubs"))
+    rest = low.where(F.col("edges") <= most).drop("edges")
+    return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(rest, "u"))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
@@ -28,10 +46,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     was = _state(e)
     while was[0]:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = _lowest(both, F.least(F.min("v"), F.first("u")))
+        large = _beside(both, low, 2 * was[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = _lowest(large, F.min("v"))
+        small = _beside(large, low, was[0]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, e = e, staged(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = _state(e)
         discard(last)

@@ -6,10 +6,14 @@ is indexed under every key that leaves out one place: all pairs within that dist
 
 Within a key nobody is paired with everybody. First each member meets the key's smallest one; candidates are verified
 on full shingle sets and joined to components. Keys that still hold several components are gathered into
-clusters, and in these every document outside the cluster's main component is compared on full sets with every other, in blocks whose
-intersection sizes are matrix products: no link that matters is lost and no pair is written out but a spanning forest of links. That
+clusters, and in these every document outside the cluster's main component meets every other in blocks: first by signature, which leaves
+the documents that may be similar to one of another component, then these on full sets, whose
+intersection sizes are matrix products. No pair is written out but a spanning forest of links. That
 work (not its rows) is quadratic in what the first step leaves open of one cluster; it is spread over tasks of bounded size.
-Documents of equal sets stand as one from the start.
+Documents of equal sets stand as one from the start, a node with a number of its own.
+
+Texts are read twice, in bounded slices, and never sorted or dealt out: once for signatures, and once, where a document shares a key,
+for its sorted shingle hashes, which are what is verified.
 """
 
 from __future__ import annotations
@@ -18,17 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, lean, mixed, staged, word_hashes
+from millrace.llm.common import discard, lean, mixed, pieces, small_side, staged, without, word_hashes
 from millrace.llm.graph import connected_components
 
 SHINGLE, CHUNKS, PLACES = 5, 8, 6
 K = CHUNKS * PLACES
-#: Signature places that may differ for a candidate to be verified: four deviations above the mean at 0.85.
-SLACK = 20
+#: Signature places that may differ for a candidate to be verified: four deviations above the mean at 0.85; five above that at 0.80 in blocks.
+SLACK, BLOCK_SLACK = 20, 24
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 2**63, K, dtype=np.uint64) | np.uint64(1)
@@ -72,22 +77,43 @@ def _nibbles(sig: np.ndarray) -> np.ndarray:
 
 
 def _signed(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in (part.iloc[i : i + 1000] for part in batches for i in range(0, len(part), 1000)):
-            sets = [shingles(t, width) for t in pdf["text"]]
+    """Of every row its id and mark, the size and digest of its set, and its signature; a text without words has size 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in pieces(batch, "text")):
+            sets = [shingles(t.as_py(), width) for t in part.column("text")]
             n = np.array([len(s) for s in sets], np.int64)
             has = np.flatnonzero(n)
             sig = signatures([sets[i] for i in has]) if len(has) else np.empty((0, K), np.uint16)
-            nib = _nibbles(sig)
-            out = pd.DataFrame({"id": pdf["id"].to_numpy()[has], "n": n[has], "sig": [s.tobytes() for s in sig], "s1": nib[:, 0], "s2": nib[:, 1], "s3": nib[:, 2]})
-            digests = [xxhash.xxh3_128_digest(sets[i].tobytes()) for i in has]
-            out["d1"] = [int.from_bytes(d[:8], "big", signed=True) for d in digests]
-            out["d2"] = [int.from_bytes(d[8:], "big", signed=True) for d in digests]
-            yield out[["id", "n", "d1", "d2", "sig", "s1", "s2", "s3"]]
+            digests = np.zeros((len(n), 2), np.int64)
+            nib = np.zeros((len(n), 3), np.int64)
+            raw: list[bytes | None] = [None] * len(n)
+            nib[has] = _nibbles(sig)
+            for i, own in zip(has, sig, strict=True):
+                digests[i] = np.frombuffer(xxhash.xxh3_128_digest(sets[i].tobytes()), ">i8")
+                raw[i] = own.tobytes()
+            columns = [part.column("id"), part.column("mark"), *map(pa.array, (n, digests[:, 0], digests[:, 1])), pa.array(raw, pa.binary()), *(pa.array(nib[:, j]) for j in range(3))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "n", "d1", "d2", "sig", "s1", "s2", "s3"])
+
+    return run
+
+
+def _sets(width: int):
+    """Sorted shingle hashes of a node's text, once a task however often the text stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for part in (p for batch in batches for p in pieces(batch, "text")):
+            new = [i for i, x in enumerate(part.column("node").to_pylist()) if not (x in done or done.add(x))]
+            yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(new, pa.int64())), pa.array([shingles(part.column("text")[i].as_py(), width).tobytes() for i in new], pa.binary())], names=["node", "shingles"])
 
     return run
 
 
+def _set(raw: pa.Scalar | bytes) -> np.ndarray:
+    return np.frombuffer(raw if isinstance(raw, bytes) else raw.as_buffer(), np.uint64)
+
+
 def _indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row for each chunk and left-out place: CHUNKS * PLACES keys a signature."""
     for pdf in batches:
@@ -118,52 +144,72 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return size & (_nibble_distance(a, b) <= SLACK)
 
 
-def _verified(percent: int, width: int):
-    """Streams rows sorted by (hub, salt, role): a hub's own text, then its candidates'."""
+def _verified(percent: int):
+    """Streams rows sorted by (hub, salt, role): a hub's own set, then its candidates'."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, None
-        for pdf in batches:
-            a, b, same, union = [], [], [], []
-            for hub, salt, role, node, text in zip(pdf["hub"], pdf["salt"], pdf["role"], pdf["id"], pdf["text"], strict=True):
+        for batch in batches:
+            a, b = [], []
+            hubs, salts, roles, nodes = (batch.column(c).to_pylist() for c in ("hub", "salt", "role", "node"))
+            raw = batch.column("shingles")
+            for i, (hub, salt, role, node) in enumerate(zip(hubs, salts, roles, nodes, strict=True)):
                 if role == 0:
                     if at != (hub, salt):
-                        at, own = (hub, salt), shingles(text, width)
+                        at, own = (hub, salt), _set(raw[i]).copy()
                     continue
-                other = shingles(text, width)
+                other = _set(raw[i])
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 if 100 * both >= percent * (len(own) + len(other) - both):
                     a.append(hub)
                     b.append(node)
-                    same.append(both)
-                    union.append(len(own) + len(other) - both)
-            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64), "shared": np.array(same, np.int64), "united": np.array(union, np.int64)})
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, percent: int, width: int, share: int = 500) -> DataFrame:
-    """(a, b, shared, united) of the pairs (hub, id) whose full shingle sets are similar enough.
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, share: int = 500) -> DataFrame:
+    """(a, b) of the pairs (hub, node) whose full shingle sets are similar enough.
 
-    A hub's text goes out once for each share of its candidates, not once a pair.
+    A hub's set goes out once for each share of its candidates, not once a pair.
     """
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(1 << 20)))
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(1 << 20)))
     many = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / share).alias("shares"))
     pairs = pairs.join(many, "hub").withColumn("salt", (F.col("salt") % F.col("shares")).cast("int"))
-    ask = pairs.select("hub", "salt", F.lit(1).alias("role"), "id")
-    hubs = many.select("hub", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("hub").alias("id"))
-    rows = ask.union(hubs).join(texts, "id")
-    rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role").select("hub", "salt", "role", "id", "text")
-    return rows.mapInPandas(lean(_verified(percent, width)), "a long, b long, shared long, united long")
+    ask = pairs.select("hub", "salt", F.lit(1).alias("role"), "node")
+    hubs = many.select("hub", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("hub").alias("node"))
+    rows = sets.join(small_side(staged(ask.union(hubs), "asked")), "node")
+    rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role").select("hub", "salt", "role", "node", "shingles")
+    return rows.mapInArrow(lean(_verified(percent)), "a long, b long")
+
+
+def _promising(percent: int):
+    """Of two buckets (or one), the nodes whose signature and size allow a link to one of another part."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q = int(pdf["p"].iat[0]), int(pdf["q"].iat[0])
+        bucket, part, n = (pdf[c].to_numpy() for c in ("bucket", "part", "n"))
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), K)
+        one, two = (np.arange(len(pdf)),) * 2 if p == q else (np.flatnonzero(bucket == p), np.flatnonzero(bucket == q))
+        differ = np.zeros((len(one), len(two)), np.uint8)
+        for k in range(K):
+            differ += sig[one, k][:, None] != sig[two, k][None, :]
+        small, large = np.minimum(n[one][:, None], n[two][None, :]), np.maximum(n[one][:, None], n[two][None, :])
+        hit = (differ <= BLOCK_SLACK) & (part[one][:, None] != part[two][None, :]) & (100 * small >= percent * large)
+        use = np.unique(np.concatenate([one[hit.any(axis=1)], two[hit.any(axis=0)]]))
+        return pdf.iloc[use][["cluster", "p", "q", "bucket", "node"]]
 
+    return run
 
-def _block(percent: int, width: int, columns: int = 4096):
+
+def _block(percent: int, columns: int = 4096):
     """Links between the documents of two buckets (or within one), as a spanning forest."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node")
         p, q = int(pdf["p"].iat[0]), int(pdf["q"].iat[0])
-        ids, bucket = pdf["id"].to_numpy(), pdf["bucket"].to_numpy()
-        sets = [shingles(t, width) for t in pdf["text"]]
+        ids, bucket = pdf["node"].to_numpy(), pdf["bucket"].to_numpy()
+        sets = [_set(x) for x in pdf["shingles"]]
         n = np.array([len(x) for x in sets], np.int64)
         one, two = (np.arange(len(ids)),) * 2 if p == q else (np.flatnonzero(bucket == p), np.flatnonzero(bucket == q))
         if not len(one) or not len(two):
@@ -225,30 +271,69 @@ def _forest(hit: np.ndarray, one: np.ndarray, two: np.ndarray, same: bool) -> pd
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def across(shared: DataFrame, parts: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int, width: int, documents: int = 384, shingles_: int = 300_000) -> DataFrame | None:
+def across(shared: DataFrame, parts: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, documents: int = 384, shingles_: int = 300_000) -> DataFrame | None:
     """Links (a, b) between components that some key holds together; None where no key holds two.
 
     A bucket has about documents members and shingles_ shingles, so a task's memory does not depend on the cluster.
     """
-    member = shared.select("key", "hub", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("key", "hub", "rep", F.coalesce("component", "rep").alias("part"))
+    member = shared.select("key", "hub", "node").join(parts.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("key", "hub", "node", F.coalesce("component", "node").alias("part"))
     split = member.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    open_ = staged(member.join(split, "key").select("hub", "rep", "part").distinct(), "open")
+    open_ = staged(member.join(split, "key").select("hub", "node", "part").distinct(), "open")
     if not open_.take(1):
+        discard(open_)
         return None
-    clusters = staged(connected_components(open_.where("hub <> rep"), "hub", "rep"), "clusters").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    rows = open_.select(F.col("rep").alias("id"), "part").distinct().join(clusters, "id").join(sizes.select(F.col("rep").alias("id"), "n"), "id")
+    clusters = staged(connected_components(open_.where("hub <> node"), "hub", "node"), "clusters").select("node", F.col("component").alias("cluster"))
+    rows = open_.select("node", "part").distinct().join(clusters, "node").join(classes.select("node", "n"), "node")
     per = staged(rows.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")), "open-parts")
     main = per.groupBy("cluster").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.max(F.struct("m", "part", "n")).alias("x"), F.sum("m").alias("m"), F.sum("n").alias("n"))
     buckets = lambda m, n: F.ceil(F.greatest(m / documents, n / shingles_)).cast("int")
     main = main.select("cluster", "main", buckets(F.col("x.m"), F.col("x.n")).alias("of_main"), buckets(F.col("m") - F.col("x.m"), F.col("n") - F.col("x.n")).alias("of_rest"))
     rows = rows.join(main, "cluster").withColumn("is_main", F.col("part") == F.col("main"))
-    h = F.xxhash64("id")
+    h = F.xxhash64("node")
     rows = rows.withColumn("bucket", F.when(F.col("is_main"), F.pmod(h, F.col("of_main"))).otherwise(F.col("of_main") + F.pmod(h, F.col("of_rest"))).cast("int"))
-    rows = rows.select("id", "cluster", "bucket", "is_main", "of_main", "of_rest").join(texts, "id")
+    rows = rows.select("node", "cluster", "part", "bucket", "is_main", "of_main", "of_rest").join(classes.select("node", "n", "sig"), "node")
     first = F.when(F.col("is_main"), F.col("of_main")).otherwise(F.lit(0))
     rows = rows.withColumn("other", F.explode(F.sequence(first, F.col("of_main") + F.col("of_rest") - 1)))
-    rows = rows.select("cluster", "id", "bucket", F.least("bucket", "other").alias("p"), F.greatest("bucket", "other").alias("q"), "text")
-    return rows.groupBy("cluster", "p", "q").applyInPandas(_block(percent, width), "a long, b long")
+    rows = rows.select("cluster", "node", "part", "bucket", F.least("bucket", "other").alias("p"), F.greatest("bucket", "other").alias("q"), "n", "sig")
+    met = staged(rows.groupBy("cluster", "p", "q").applyInPandas(_promising(percent), "cluster long, p int, q int, bucket int, node long"), "promising")
+    discard(open_)
+    return sets.join(small_side(met), "node").groupBy("cluster", "p", "q").applyInPandas(_block(percent), "a long, b long")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int, nulls: bool) -> DataFrame:
+    """id, mark (a hash of the text), n, and of the row's component keep (no_id, id, mark) of its smallest row; null where the row takes part in none."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("binary").alias("text"))
+    signed = staged(rows.mapInArrow(lean(_signed(width)), "id long, mark long, n long, d1 long, d2 long, sig binary, s1 long, s2 long, s3 long"), "signatures")
+    some = signed.where("n > 0") if nulls else signed.where("n > 0 and id is not null")
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")).alias("least")
+    classes = some.groupBy("d1", "d2").agg(least, F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("sig", "s1", "s2", "s3")])
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbered once, as it is written
+    keys = classes.select(F.col("node").alias("rep"), "sig").mapInPandas(lean(_indexed), "key long, rep long").withColumnRenamed("rep", "node")
+    # members of keys with company, with the key's smallest one: the rest of the index is read no more
+    lowest = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").drop("top")
+    shared = staged(keys.join(lowest.hint("shuffle_hash"), "key"), "index")
+    sizes = classes.select("node", "n", "s1", "s2", "s3")
+    stars = shared.where("node <> hub").select("hub", "node").distinct().alias("p")
+    stars = stars.join(sizes.alias("x"), F.col("p.node") == F.col("x.node")).join(sizes.alias("y"), F.col("hub") == F.col("y.node"))
+    stars = staged(stars.where(_alike("x", "y", percent)).select("hub", "p.node"), "stars")
+    wanted = classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("least.id").alias("wanted_id"), F.col("least.mark").alias("wanted_mark"))
+    wanted = small_side(staged(wanted, "wanted"))
+    found = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("mark") == F.col("wanted_mark"))).select("node", "text")
+    sets = staged(found.mapInArrow(lean(_sets(width)), "node long, shingles binary"), "sets")
+    first = staged(verify(stars, sets, percent), "links")
+    parts = staged(connected_components(first), "parts")
+    more = across(shared, parts, classes, sets, percent)
+    if more is not None:
+        more = staged(more, "links")
+        last, parts = parts, staged(connected_components(first.union(more)), "parts")
+        discard(more, last)
+    discard(shared, stars, sets, first)
+    linked = classes.join(parts, "node").select("d1", "d2", "component", "least")
+    keep = linked.groupBy("component").agg(F.min("least").alias("keep"))
+    linked = linked.join(keep, "component").select("d1", "d2", "keep")
+    named = classes.select("d1", "d2", "least").join(linked, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("keep", "least").alias("keep"))
+    rest = signed.where("n = 0") if nulls else signed.where("n = 0 or id is null")
+    return some.select("id", "mark", "n", "d1", "d2").join(named, ["d1", "d2"]).select("id", "mark", "n", "keep").union(rest.select("id", "mark", "n", F.lit(None).cast(named.schema["keep"].dataType)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = SHINGLE) -> DataFrame:
@@ -256,42 +341,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Links: 100 * intersection >= percent * union, on full sets of shingles of width words, A-Z lowered. Documents without
     words have no shingles and link with nothing, not even with one another. Ids are integers; rows of a null id
-    link with nothing; rows that repeat an id are one document if their sets are equal (else the id's texts
-    all count as it). An empty table gives an empty result. Other columns are not read.
+    link with nothing; rows that repeat an id are documents of their own, each linked by its own text. An empty table
+    gives an empty result. Other columns are not read.
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    some = ids.where("id is not null")
-    signed = staged(some.where("text is not null").mapInPandas(lean(_signed(width)), "id long, n long, d1 long, d2 long, sig binary, s1 long, s2 long, s3 long"), "signatures")
-    classes = staged(
-        signed.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("s3").alias("s3")),
-        "classes",
-    )
-    keys = classes.select("rep", "sig").mapInPandas(lean(_indexed), "key long, rep long")
-    # members of keys with company, with the key's smallest one: the rest of the index is read no more
-    lowest = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").drop("top")
-    shared = staged(keys.join(lowest.hint("shuffle_hash"), "key"), "index")
-    sizes = classes.select("rep", "n", "s1", "s2", "s3")
-    stars = shared.where("rep <> hub").select("hub", F.col("rep").alias("id")).distinct()
-    stars = stars.join(sizes.alias("x"), F.col("id") == F.col("x.rep")).join(sizes.alias("y"), F.col("hub") == F.col("y.rep")).where(_alike("x", "y", percent)).select("hub", "id")
-    stars = staged(stars, "stars")
-    # texts of documents that share a key with another, once: all that follows reads them alone
-    texts = staged(some.join(shared.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts")
-    first = staged(verify(stars, texts, percent, width), "links")
-    parts = staged(connected_components(first), "parts")
-    more = across(shared, parts, sizes, texts, percent, width)
-    if more is not None:
-        more = staged(more, "links")
-        last, parts = parts, staged(connected_components(first.select("a", "b").union(more)), "parts")
-        discard(more, last)
-    discard(shared, stars, texts, first)
-    named = classes.select("d1", "d2", "rep", "n").join(parts, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
-    found = signed.select("id", "d1", "d2").join(named, ["d1", "d2"]).groupBy("id").agg(F.max("n").alias("n"), F.min("component").alias("component"))
-    out = docs.select(F.col(id_col).alias("__id")).join(found, F.col("__id").cast("long") == F.col("id"), "left")
-    component = F.coalesce("component", "__id")
-    return out.select(F.col("__id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), component.alias("component_id"), F.col("__id").eqNullSafe(component).alias("kept"))
+    component = F.coalesce("keep.id", "id")
+    return _judged(docs, id_col, text_col, percent, width, nulls=False).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = SHINGLE) -> DataFrame:
-    """The rows of docs that stay, one document a component, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col, percent, width).where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows of docs that stay, one a component, with all their columns.
+
+    The row with the smallest id stays (null ids last). Rows are judged one by one, those of a null id too: of rows that repeat an id each
+    goes or stays by its own text, and of wholly equal rows with words one stays. Rows without words all stay. Any column names may stand in
+    docs. An empty table stays empty.
+    """
+    rows = _judged(docs, id_col, text_col, percent, width, nulls=True).where("keep is not null")
+    stays = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("mark") == F.col("keep.mark"))
+    marks = rows.groupBy("id", "mark").agg(F.bool_or(stays).alias("stays"), F.count(F.lit(1)).alias("rows")).where("not stays or rows > 1")
+    return without(docs, marks.select("id", "mark", "stays"), id_col, F.xxhash64(text_col))

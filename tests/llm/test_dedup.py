@@ -47,7 +47,7 @@ def test_exact_dedup_rules(spark):
         assert [got[i].keep_id for i in (5, 3, 4, 1, None)] == [4] * 5 and got[4].kept and not got[5].kept and got[4].group_size == 5
         assert [got[i].keep_id for i in (9, 8, 7)] == [7] * 3 and got[2].kept
         assert got[1].text_sha256 == hashlib.sha256(b"ab").hexdigest()
-    assert {r.doc_id for r in exact_dedup.drop_copies(df).collect()} == {4, 7, 2, None} and "digest" in exact_dedup.drop_copies(df).columns
+    assert {r.doc_id for r in exact_dedup.drop_copies(df).collect()} == {4, 7, 2} and "digest" in exact_dedup.drop_copies(df).columns
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
 
 
@@ -64,6 +64,56 @@ def test_exact_dedup_against_brute_force(spark):
         assert (r.keep_id, r.group_size) == (min(group)[1], len(group))
 
 
+#: (id, text, tag): repeated ids with other and with equal texts, null ids, wholly equal rows; columns named like the operators' own.
+AWKWARD = [
+    (1, "a b c d e f", "x"), (2, "a b c d e  f", "x"), (2, "unique to this row of two", "x"), (3, "q r s t u v", "x"), (3, "q r s t u v", "x"), (4, None, "x"), (4, "", "x"),
+    (None, "p q r s t u", "x"), (None, "p q r s t u", "y"), (None, "a b c d e f", "x"), (5, "only five has these words", "x"), (5, "only five has these words", "y"), (5, "q r s t u v", "z"), (6, None, None),
+]
+
+
+@pytest.mark.parametrize("most", [500_000, 0])  # what goes is broadcast, or hashed
+def test_drops_judge_rows_and_not_ids(spark, monkeypatch, most):
+    from millrace.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    df = spark.createDataFrame(AWKWARD, "doc_id long, text string, id string").selectExpr("doc_id", "text", "id", "1 as mark", "2 as stays", "3 as own", "4 as node").repartition(3)
+    for drop, bare in ((exact_dedup.drop_copies, True), (minhash_dedup.drop_near_duplicates, False)):
+        out = drop(df)
+        assert out.columns == df.columns
+        got = [(r.doc_id, r.text, r.id) for r in out.collect()]
+        words = sorted(("".join((t or "").split()), -1 if i is None else i) for i, t, _ in got if t)
+        # one row of each text, of the smallest id unless another has more characters
+        assert words == sorted([("abcdef", 2 if bare else 1), ("uniquetothisrowoftwo", 2), ("qrstuv", 3), ("pqrstu", -1), ("onlyfivehasthesewords", 5)])
+        assert sum(not t for _, t, _ in got) == (1 if bare else 3) and set(got) <= set(AWKWARD)
+        assert drop(df.limit(0)).collect() == []
+
+
+def test_drops_leave_wholly_equal_rows_once_however_many(spark):
+    df = spark.range(400).selectExpr("7L as doc_id", "'one two three four five six' as text", "id % 2 as tag").repartition(5)
+    assert exact_dedup.drop_copies(df).count() == 1 == minhash_dedup.drop_near_duplicates(df).count()
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, long.replace("w1 ", "w1  ")), (4, long[: len(long) // 2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(df).collect()} == {1: (3, 2), 2: (2, 1), 3: (3, 2), 4: (4, 1)}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(df).collect()} == {i: (n, c) for i, (n, c) in brute_documents(rows, 80).items()}
+    assert {r.doc_id for r in minhash_dedup.drop_near_duplicates(exact_dedup.drop_copies(df)).collect()} == {2, 4}
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    from millrace.llm import graph
+
+    monkeypatch.setattr(graph, "LARGE", 10)
+    monkeypatch.setattr(graph, "HUBS", 5)
+    rng = random.Random(9)
+    edges = [(5, 100 + i) for i in range(300)] + [(600, 601 + i) for i in range(200)] + [(rng.randrange(400), rng.randrange(400)) for _ in range(60)]
+    want = components(900, edges)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: want[x] for e in edges if e[0] != e[1] for x in e}
+
+
 def test_misra_gries_keeps_what_is_frequent():
     counts = {}
     stream = ["a"] * 400 + ["b"] * 300 + [f"x{i}" for i in range(300)]
@@ -161,6 +211,9 @@ def test_documents_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(df).collect()), key=str)
     assert got == sorted([(None, None, True), (1, 1, True), (1, 1, True), (2, 1, False)], key=str)
+    other = df.union(spark.createDataFrame([(2, "quite another text of six words here"), (3, "Quite another text of six words here")], "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(other).collect()), key=str)  # rows of one id go by their own texts
+    assert got == sorted([(None, None, True), (1, 1, True), (1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False)], key=str)
     assert minhash_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
