@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import pandas as pd
@@ -133,18 +134,11 @@ def parse_blocks(markdown: str) -> list[Block]:
 
 def list_items(text: str) -> list[str]:
     """Items as deep as the first; what is indented further belongs to the item above."""
-    items: list[list[str]] = []
-    depth = None
-    for line in text.split("\n"):
-        indent = len(line) - len(line.lstrip())
-        if _ITEM.match(line) and (depth is None or indent <= depth):
-            depth = indent if depth is None else depth
-            items.append([line])
-        elif items:
-            items[-1].append(line)
-        else:
-            items.append([line])
-    return [x for x in map("\n".join, items) if x.strip()]
+    lines = text.split("\n")
+    marked = [(at, len(line) - len(line.lstrip())) for at, line in enumerate(lines) if _ITEM.match(line)]
+    starts = [at for at, indent in marked if indent <= marked[0][1]]
+    bounds = sorted({0, *starts, len(lines)})
+    return [item for a, b in pairwise(bounds) if (item := "\n".join(lines[a:b])).strip()]
 
 
 def atoms(blocks: list[Block]) -> Iterator[Atom]:

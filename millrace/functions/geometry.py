@@ -41,22 +41,35 @@ def unsupported_geometry(given: dict, supported: bool) -> list[str]:
     return [] if supported else [k for k in GEOMETRY if k in given]
 
 
+#: What stands between braces in a running header or footer: a counter, or a value of the page.
+_COUNTERS = {"page": "page", "total_pages": "pages"}
+
+
 def css_string(text: str) -> str:
-    return text.replace("\\", "\\\\").replace('"', '\\"')
+    """A CSS string literal's inside."""
+    return re.sub(r'(["\\])', r"\\\1", text)
 
 
-def page_rule(width: float, height: float, margins: tuple[float, float, float, float], scale: float = 1.0, header: str = "", footer: str = "", title: str = "", url: str = "", date: str = "") -> str:
-    """CSS @page of a size; text is escaped before placeholders become counters."""
+def running_text(template: str, values: dict[str, str]) -> str:
+    """A template's CSS content value: literals and counters side by side. Tags go; unknown placeholders stay as they are."""
+    literal, out = "", []
+    for part in re.split(r"(\{\{\w+\}\})", re.sub(r"<[^>]+>", "", template).strip()):
+        name = part.strip("{}")
+        if part.startswith("{{") and name in _COUNTERS:
+            out += [f'"{literal}"', f"counter({_COUNTERS[name]})"]
+            literal = ""
+        else:
+            literal += css_string(values.get(name, part) if part.startswith("{{") else part)
+    return " ".join([*out, f'"{literal}"'])
 
-    def content(template: str) -> str:
-        text = css_string(template)
-        for mark, value in (("{{date}}", date), ("{{title}}", css_string(title)), ("{{url}}", css_string(url)), ("{{page}}", '" counter(page) "'), ("{{total_pages}}", '" counter(pages) "')):
-            text = text.replace(mark, value)
-        return re.sub(r"<[^>]+>", "", text).strip()
 
-    parts = [f"size: {width / scale}mm {height / scale}mm;", "margin: " + " ".join(f"{m / scale}mm" for m in margins) + ";"]
-    parts += [f'@{place} {{ content: "{content(t)}"; font-size: 10px; }}' for place, t in (("top-center", header), ("bottom-center", footer)) if t]
-    return "@page { " + " ".join(parts) + " }"
+def page_rule(width: float, height: float, margins: tuple[float, float, float, float], scale: float = 1.0, header: str = "", footer: str = "", title: str = "", url: str = "", date: str = "") -> str:
+    """CSS @page of a size in millimetres, with running header and footer; a scale above 1 is a smaller page."""
+    values = {"date": date, "title": title, "url": url}
+    mm = lambda *lengths: " ".join(f"{x / scale}mm" for x in lengths)
+    rules = {"size": mm(width, height), "margin": mm(*margins)}
+    boxes = {f"@{at}": running_text(text, values) for at, text in (("top-center", header), ("bottom-center", footer)) if text}
+    return "@page { " + " ".join([f"{k}: {v};" for k, v in rules.items()] + [f"{k} {{ content: {v}; font-size: 10px; }}" for k, v in boxes.items()]) + " }"
 
 
 def svg_length(value: Column) -> Column:

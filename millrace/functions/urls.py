@@ -16,14 +16,14 @@ from pyspark.sql import types as T
 
 #: Query parameters that name a campaign or a session, compared in lower case.
 DROPPED_PARAMS = (
-    "fbclid", "gclid", "jsessionid", "mc_cid", "mc_eid", "phpsessid", "sessionid", "sid",
-    "utm_campaign", "utm_content", "utm_id", "utm_medium", "utm_source", "utm_term", "ysclid",
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "fbclid", "gclid", "ysclid", "mc_cid", "mc_eid",
+    "phpsessid", "jsessionid", "sessionid", "sid",
 )
 #: Endings of paths that are not pages.
 ASSET_ENDINGS = (
-    "7z", "aac", "apk", "atom", "avi", "bmp", "css", "deb", "dmg", "doc", "docx", "eot", "exe", "flac", "flv", "gif", "gz", "ico", "jpeg", "jpg", "js", "json",
-    "map", "mjs", "mkv", "mov", "mp3", "mp4", "ogg", "otf", "pdf", "png", "ppt", "pptx", "rar", "rpm", "rss", "svg", "tar", "tiff", "ttf", "wav", "webm", "webp",
-    "woff", "woff2", "xls", "xlsx", "xml", "zip",
+    "pdf", "zip", "gz", "tar", "rar", "7z", "jpg", "jpeg", "png", "gif", "svg", "webp", "ico", "bmp", "tiff", "mp4", "webm", "avi", "mov", "mkv", "flv", "mp3",
+    "ogg", "wav", "flac", "aac", "css", "js", "mjs", "map", "woff", "woff2", "ttf", "eot", "otf", "xml", "json", "rss", "atom", "doc", "docx", "xls", "xlsx",
+    "ppt", "pptx", "exe", "dmg", "apk", "deb", "rpm",
 )
 #: Second-level labels under which a country's registrations lie one label deeper.
 SHARED_LABELS = ("ac", "co", "com", "edu", "gov", "net", "org")

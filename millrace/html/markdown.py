@@ -6,7 +6,8 @@ import re
 from urllib.parse import urljoin
 
 from millrace.html.prepare import code_language
-from millrace.html.tree import HEADINGS, Node, parse
+from millrace.html.sieve import drop
+from millrace.html.tree import HEADINGS, Node, tree
 
 #: What article and faithful conversion drop.
 ARTICLE_DROPS = ("script", "style", "noscript", "iframe", "form", "nav", "footer", "aside", "button", "svg", "canvas", "template")
@@ -110,7 +111,7 @@ class Writer:
 
     def block(self, n: Node) -> list[str]:
         if n.name in HEADINGS:
-            text = re.sub(r"[\s\x00]+", " ", "".join(map(self.inline, self._plain_heading(n).children))).strip()
+            text = re.sub(r"[\s\x00]+", " ", "".join(map(self.inline, self._unstressed(n.children)))).strip()
             return [f"{'#' * int(n.name[1])} {text}"] if text else []
         if n.name == "hr":
             return ["---"]
@@ -128,13 +129,13 @@ class Writer:
         return self.flow(n.children)
 
     @staticmethod
-    def _plain_heading(h: Node) -> Node:
-        """Emphasis over a whole heading says nothing."""
-        while True:
-            full = [c for c in h.children if (c if isinstance(c, str) else c.raw_text()).strip()]
-            if len(full) != 1 or isinstance(full[0], str) or full[0].name not in ("strong", "b", "em", "i"):
-                return h
-            full[0].unwrap()
+    def _unstressed(children: list) -> list:
+        """A heading's children, without emphasis that covers the whole of them: it says nothing."""
+        only = [c for c in children if (c if isinstance(c, str) else c.raw_text()).strip()]
+        match only:
+            case [Node(name="strong" | "b" | "em" | "i") as stress]:
+                return Writer._unstressed(stress.children)
+        return children
 
     def items(self, n: Node) -> list[str]:
         out, number = [], int(n.get("start") or 1) if (n.get("start") or "1").isdigit() else 1
@@ -169,21 +170,19 @@ class Writer:
 
 def markdown(root: Node, base: str = "", images_to_alt: bool = False, drops: tuple[str, ...] = FAITHFUL_DROPS) -> str:
     """The tree as Markdown; elements named in drops are left out, the tree loses them."""
-    for n in root.all(*drops, "head"):
-        if not n.gone:
-            n.remove()
+    drop(root, root.all(*drops, "head"))
     lines = [x if x.endswith("  ") and not x.endswith("   ") else x.rstrip() for x in "\n\n".join(Writer(base, images_to_alt).flow(root.children)).split("\n")]
     text = re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
     return f"{text}\n" if text else ""
 
 
-def html_to_markdown(html: str | None, base: str = "", article_only: bool = False) -> str:
+def html_to_markdown(html: Node | str | None, base: str = "", article_only: bool = False) -> str:
     """Faithful conversion of a document, or of its reader view."""
     from millrace.html.content import article
 
-    if not html or not html.strip():
+    if not html or (isinstance(html, str) and not html.strip()):
         return ""
     if article_only:
         found = article(html)
         return markdown(found, base, drops=ARTICLE_DROPS) if found is not None else ""
-    return markdown(parse(html), base)
+    return markdown(tree(html), base)

@@ -13,8 +13,8 @@ from millrace.functions.tidy import tidy_markdown
 from millrace.html.content import guard_baseline, main_content, main_region
 from millrace.html.election import Selected, elect
 from millrace.html.markdown import html_to_markdown, markdown
-from millrace.html.prepare import prepare_html
-from millrace.html.tree import parse
+from millrace.html.prepare import prepared
+from millrace.html.tree import Node
 from millrace.session import spread
 
 #: A body of another kind is cut at so many characters, with a note.
@@ -23,25 +23,33 @@ FELL_BACK = "main content could not be told apart: the full page was kept"
 TRUNCATED = "long numeric arrays were truncated"
 
 
-def renditions(html: str, url: str, images_to_alt: bool = True) -> tuple[list[tuple[str, str]], str, str]:
-    """Candidates (source, markdown), the full page and the baseline, of a prepared page."""
+def renditions(page: Node, url: str, images_to_alt: bool = True) -> tuple[list[tuple[str, str]], str, str]:
+    """Candidates (source, markdown), the full page and the baseline, of a prepared page, which is left as it is."""
     write = lambda root: markdown(root, url, images_to_alt)
-    found, out = main_content(html), []
-    if not found.aborted:
+    found, out = main_content(page), []
+    if found.aborted:
+        stripped = write(found.stripped)
+    else:
         out.append(("structural", write(found.root)))
-    out.append(("readability", html_to_markdown(html, url, article_only=True)))
-    region = main_region(html)
+    out.append(("readability", html_to_markdown(page, url, article_only=True)))
+    region = main_region(page)
     if region is not None:
-        inner = main_content(region.html())
-        out.append(("main_region", write(parse(region.html()) if inner.aborted else inner.root)))
+        out.append(("main_region", write(main_content(_rooted(region)).root)))
     if found.aborted:
-        out.append(("structural_unguarded", write(found.stripped)))
-    return [c for c in out if c[1].strip()], write(parse(html)), write(guard_baseline(html))
+        out.append(("structural_unguarded", stripped))
+    return [c for c in out if c[1].strip()], write(page.copy()), write(guard_baseline(page))
+
+
+def _rooted(n: Node) -> Node:
+    """The element as the only one of a page."""
+    root = Node("#root")
+    root.append(n.copy())
+    return root
 
 
 def main_markdown(html: str, url: str, truncate_arrays: bool = True, images_to_alt: bool = True) -> tuple[str, Selected, list[str]]:
     """The elected rendition, tidied; what was elected; warnings."""
-    candidates, full, baseline = renditions(prepare_html(html), url, images_to_alt)
+    candidates, full, baseline = renditions(prepared(html), url, images_to_alt)
     chosen = elect(candidates, full, baseline)
     text = tidy_markdown(chosen.markdown, truncate_arrays) or ""
     warnings = [FELL_BACK] * chosen.fell_back
@@ -52,7 +60,7 @@ def main_markdown(html: str, url: str, truncate_arrays: bool = True, images_to_a
 
 def full_markdown(html: str, url: str, truncate_arrays: bool = False) -> str:
     """The page with its furniture."""
-    return tidy_markdown(markdown(parse(prepare_html(html, chrome=False)), url), truncate_arrays) or ""
+    return tidy_markdown(markdown(prepared(html, chrome=False), url), truncate_arrays) or ""
 
 
 def body_markdown(body: str, category: str | None, url: str) -> tuple[str, str, list[str]]:
@@ -94,7 +102,7 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for page, html, url in zip(pdf["page"], pdf["html"], pdf["url"], strict=True):
-            found, full, baseline = renditions(prepare_html(html or ""), url or "")
+            found, full, baseline = renditions(prepared(html), url or "")
             rows.append((page, [{"source": s, "markdown": m} for s, m in found], full, baseline))
         yield pd.DataFrame(rows, columns=["page", "candidates", "full_page", "baseline"])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from millrace.html.sieve import REGION, kind
 from millrace.html.tree import Node
 
 #: Inline styles, without blanks, that hide an element.
@@ -16,13 +17,8 @@ def hides(style: str | None) -> bool:
     return any(h in compact for h in HIDING_STYLES)
 
 
-def holds_region(n: Node) -> bool:
-    """A main, article or role=main stands inside."""
-    return any(x.name in ("main", "article") or x.get("role") == "main" for x in n.walk())
-
-
 def in_region(n: Node) -> bool:
-    return any(a.name in ("main", "article") or a.get("role") == "main" for a in n.above())
+    return any(kind(a) & REGION for a in n.above())
 
 
 def controlled(root: Node) -> set[str]:

@@ -122,6 +122,19 @@ class Node:
         other.parent = self.parent
         self.parent.children.insert(self._index(), other)
 
+    def copy(self) -> Node:
+        """A tree like this one, without a parent."""
+        top = Node(self.name, dict(self.attrs))
+        stack = [(self, top)]
+        while stack:
+            old, new = stack.pop()
+            for c in old.children:
+                twin = c if isinstance(c, str) else Node(c.name, dict(c.attrs))
+                new.append(twin)
+                if isinstance(c, Node):
+                    stack.append((c, twin))
+        return top
+
     def map_text(self, change: Callable[[str], str]) -> None:
         for n in [self, *self.walk()]:
             n.children = [change(c) if isinstance(c, str) else c for c in n.children]
@@ -191,6 +204,11 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
+def tree(page: Node | str | None) -> Node:
+    """A tree of one's own to change: parsed, or copied if it is one already."""
+    return page.copy() if isinstance(page, Node) else parse(page)
+
+
 _PART = re.compile(r"(?P<tag>[A-Za-z][\w-]*|\*)|\.(?P<cls>[\w-]+)|#(?P<id>[\w:-]+)|\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[*^$~]?=)\s*(?:\"(?P<q>[^\"]*)\"|'(?P<s>[^']*)'|(?P<u>[^\]\s]+))\s*)?\]|:not\((?P<no>[^()]+)\)")
 
 
