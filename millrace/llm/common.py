@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -130,6 +131,23 @@ def pieces(batch: pa.RecordBatch, text: str, rows: int = 1000, size: int = 4 <<
         a = b
 
 
+def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each run of rows with equal keys (integers), of batches that are sorted by them. Only one run is held."""
+    held: pd.DataFrame | None = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        k = pdf[keys].to_numpy()
+        starts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1), len(pdf)]
+        columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+        for a, b in zip(starts[:-2], starts[1:-1], strict=True):
+            yield {c: v[a:b] for c, v in columns.items()}
+        held = pdf.iloc[starts[-2] :]
+    if held is not None:
+        yield {c: held[c].to_numpy() for c in held.columns}
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

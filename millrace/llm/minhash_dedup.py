@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, lean, mixed, pieces, small_side, staged, without, word_hashes
+from millrace.llm.common import discard, lean, mixed, partitions, pieces, runs, small_side, staged, without, word_hashes
 from millrace.llm.graph import connected_components
 
 SHINGLE, CHUNKS, PLACES = 5, 8, 6
@@ -183,60 +183,72 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, share: int = 500) ->
     return rows.mapInArrow(lean(_verified(percent)), "a long, b long")
 
 
+_BLOCK = ["cluster", "p", "q"]
+
+
+def _sides(p: int, q: int, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (np.arange(len(bucket)),) * 2 if p == q else (np.flatnonzero(bucket == p), np.flatnonzero(bucket == q))
+
+
 def _promising(percent: int):
     """Of two buckets (or one), the nodes whose signature and size allow a link to one of another part."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = int(pdf["p"].iat[0]), int(pdf["q"].iat[0])
-        bucket, part, n = (pdf[c].to_numpy() for c in ("bucket", "part", "n"))
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), K)
-        one, two = (np.arange(len(pdf)),) * 2 if p == q else (np.flatnonzero(bucket == p), np.flatnonzero(bucket == q))
-        differ = np.zeros((len(one), len(two)), np.uint8)
-        for k in range(K):
-            differ += sig[one, k][:, None] != sig[two, k][None, :]
-        small, large = np.minimum(n[one][:, None], n[two][None, :]), np.maximum(n[one][:, None], n[two][None, :])
-        hit = (differ <= BLOCK_SLACK) & (part[one][:, None] != part[two][None, :]) & (100 * small >= percent * large)
-        use = np.unique(np.concatenate([one[hit.any(axis=1)], two[hit.any(axis=0)]]))
-        return pdf.iloc[use][["cluster", "p", "q", "bucket", "node"]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in runs(batches, _BLOCK):
+            part, n, sig = rows["part"], rows["n"], np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, K)
+            one, two = _sides(rows["p"][0], rows["q"][0], rows["bucket"])
+            differ = np.zeros((len(one), len(two)), np.uint8)
+            if differ.size < 2000:
+                differ += (sig[one][:, None] != sig[two][None]).sum(axis=2, dtype=np.uint8)
+            else:
+                for k in range(K):
+                    differ += sig[one, k][:, None] != sig[two, k][None, :]
+            small, large = np.minimum(n[one][:, None], n[two][None, :]), np.maximum(n[one][:, None], n[two][None, :])
+            hit = (differ <= BLOCK_SLACK) & (part[one][:, None] != part[two][None, :]) & (100 * small >= percent * large)
+            use = np.unique(np.concatenate([one[hit.any(axis=1)], two[hit.any(axis=0)]]))
+            if len(use):
+                yield pd.DataFrame({c: rows[c][use] for c in (*_BLOCK, "bucket", "node")})
 
     return run
 
 
-def _block(percent: int, columns: int = 4096):
-    """Links between the documents of two buckets (or within one), as a spanning forest."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node")
-        p, q = int(pdf["p"].iat[0]), int(pdf["q"].iat[0])
-        ids, bucket = pdf["node"].to_numpy(), pdf["bucket"].to_numpy()
-        sets = [_set(x) for x in pdf["shingles"]]
-        n = np.array([len(x) for x in sets], np.int64)
-        one, two = (np.arange(len(ids)),) * 2 if p == q else (np.flatnonzero(bucket == p), np.flatnonzero(bucket == q))
-        if not len(one) or not len(two):
-            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        doc = np.repeat(np.arange(len(ids)), n)
-        _, inverse, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        common = held >= 2  # others meet nobody
-        number = np.cumsum(common) - 1
-        use = common[inverse]
-        doc, column = doc[use], number[inverse[use]]
-        order = np.argsort(column, kind="stable")
-        doc, column = doc[order], column[order]
-        both = np.zeros((len(one), len(two)), np.float32)
-        for first in range(0, int(common.sum()), columns):
-            lo, hi = np.searchsorted(column, [first, first + columns])
-            part = np.zeros((len(ids), columns), np.float32)
-            part[doc[lo:hi], column[lo:hi] - first] = 1
-            both += part[one] @ part[two].T
-        union = n[one][:, None] + n[two][None, :] - both
-        hit = 100.0 * both >= float(percent) * union
-        if p == q:
-            np.fill_diagonal(hit, False)
-        return _forest(hit, ids[one], ids[two], p == q)
+def _blocks(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in runs(batches, _BLOCK):
+            _, at = np.unique(rows["node"], return_index=True)
+            sets = [_set(x) for x in rows["shingles"][at]]
+            yield _block(rows["node"][at], sets, *_sides(rows["p"][0], rows["q"][0], rows["bucket"][at]), percent)
 
     return run
 
 
+def _block(ids: np.ndarray, sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, percent: int, columns: int = 4096) -> pd.DataFrame:
+    """Links between the documents at one and at two (the same, for all within), as a spanning forest."""
+    if not len(one) or not len(two):
+        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+    n = np.array([len(x) for x in sets], np.int64)
+    doc = np.repeat(np.arange(len(ids)), n)
+    _, inverse, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = held >= 2  # others meet nobody
+    number = np.cumsum(common) - 1
+    use = common[inverse]
+    doc, column = doc[use], number[inverse[use]]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    both = np.zeros((len(one), len(two)), np.float32)
+    for first in range(0, int(common.sum()), columns):
+        lo, hi = np.searchsorted(column, [first, first + columns])
+        part = np.zeros((len(ids), min(columns, int(common.sum()) - first)), np.float32)
+        part[doc[lo:hi], column[lo:hi] - first] = 1
+        both += part[one] @ part[two].T
+    union = n[one][:, None] + n[two][None, :] - both
+    hit = 100.0 * both >= float(percent) * union
+    same = one is two
+    if same:
+        np.fill_diagonal(hit, False)
+    return _forest(hit, ids[one], ids[two], same)
+
+
 def _forest(hit: np.ndarray, one: np.ndarray, two: np.ndarray, same: bool) -> pd.DataFrame:
     """Edges that join what hit joins: each node reached is linked to the one it was reached from."""
     a, b = [], []
@@ -295,9 +307,10 @@ def across(shared: DataFrame, parts: DataFrame, classes: DataFrame, sets: DataFr
     first = F.when(F.col("is_main"), F.col("of_main")).otherwise(F.lit(0))
     rows = rows.withColumn("other", F.explode(F.sequence(first, F.col("of_main") + F.col("of_rest") - 1)))
     rows = rows.select("cluster", "node", "part", "bucket", F.least("bucket", "other").alias("p"), F.greatest("bucket", "other").alias("q"), "n", "sig")
-    met = staged(rows.groupBy("cluster", "p", "q").applyInPandas(_promising(percent), "cluster long, p int, q int, bucket int, node long"), "promising")
+    deal = lambda df: df.repartition(partitions(df.sparkSession), *_BLOCK).sortWithinPartitions(*_BLOCK)
+    met = staged(deal(rows).mapInPandas(_promising(percent), "cluster long, p int, q int, bucket int, node long"), "promising")
     discard(open_)
-    return sets.join(small_side(met), "node").groupBy("cluster", "p", "q").applyInPandas(_block(percent), "a long, b long")
+    return deal(sets.join(small_side(met), "node")).mapInPandas(lean(_blocks(percent)), "a long, b long")
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int, nulls: bool) -> DataFrame:
