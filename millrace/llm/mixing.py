@@ -1,13 +1,14 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's rate is target / size. Every document gets floor(rate) whole copies for certain (of rate times its weight,
-where documents have weights); what remains of the target is filled by a Pareto sample: documents are ranked by
-[u / (1 - u)] / [p / (1 - p)], u a hash of the id, p the inclusion probability, and taken in that
-order while their words fit (the last one if that comes nearer). The sample's size is fixed in
-words, so a source misses its residual target by half a document at most.
-
-No source is sorted in one task: ranks are cut into bins whose sizes are summed map-side, which
-finds the bin in which the sample ends; only that bin's documents are ordered.
+A document is expected in the mix rate * weight times, never more than most times; the rate of a source is the one at which the expected
+words make up its target. Every document gets the whole part of that for certain; what remains of the target is filled by a Pareto
+sample of unequal probabilities: documents are ranked by [u / (1 - u)] / [p / (1 - p)], u a hash of the id, p the fraction that is left, and
+taken in that order while their words fit (the last one if that comes nearer). The sample's size is fixed in
+words, so a source misses its target by half a document at most.
+
+No source is sorted in one task: weights come in LEVELS steps, whose sizes are summed map-side to find the rate, and ranks are cut into
+bins, whose sizes are summed map-side to find the bin in which the sample ends; only that bin's documents are ordered.
+What decides is then a few numbers a source, which whole documents meet map-side.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import staged, word_count
+from millrace.llm.common import small_side, staged, word_count
 
 #: No document appears more often than this, and no source gets more than this times its size.
 MOST = 3
+#: Steps in which a document's weight is counted, of the largest in its source.
+LEVELS = 256
 
 
 def uniform(id_col: str | Column, seed: str = "mix") -> Column:
@@ -49,50 +52,114 @@ def source_targets(sizes: DataFrame, weights: list[float] | None = None, most: i
     return levels.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: list[float] | None = None, most: int = MOST, bins: int = 4096, seed: str = "mix", weight_col: str | None = None) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies, taken.
+def _rates(rows: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """(source, source_size, target, rate) by source: at the rate, expected words make up the target. Null where every document is taken most times.
 
-    size counts words; null and empty texts have size 0 and are never taken. A null source is a source of its own,
-    the last. A null id hashes like the text "null". Rows that repeat an id keep their own size and copies.
-    weight_col: a document's share of its source against the others' (null and less than 0: 0; by default all 1), so that inclusion
-    probabilities differ within a source too; no document gets more than most copies.
+    In order of falling level a prefix of the levels is at most times; past the first level at which that is so the
+    rates only fall, so the highest that fits is the one.
     """
+    levels = rows.where("level > 0").groupBy(F.col("source").alias("s"), "level").agg(F.sum("size").alias("size"))
+    falling = Window.partitionBy("s").orderBy(F.desc("level"))
+    before, rest = falling.rowsBetween(Window.unboundedPreceding, -1), falling.rowsBetween(0, Window.unboundedFollowing)
+    t = targets.select(F.col("source").alias("t"), "target")
+    levels = levels.join(t, F.col("s").eqNullSafe(F.col("t"))).drop("t")
+    left = F.col("target") - most * F.coalesce(F.sum("size").over(before), F.lit(0))
+    levels = levels.withColumn("rate", F.try_divide(left, F.sum(F.col("size") * F.col("level")).over(rest)))
+    rates = levels.groupBy("s").agg(F.max(F.when(F.col("rate") * F.col("level") <= most, F.col("rate"))).alias("rate"))
+    return targets.join(rates, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+
+
+def _narrow(docs: DataFrame, id_col: str, source_col: str, text_col: str, weight_col: str | None, *more: Column) -> DataFrame:
     w = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), w.alias("w"))
-    rows = staged(rows, "sizes")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("w")).alias("weighted"))
-    targets = source_targets(sizes.select("source", "source_size"), weights, most)
-    t = targets.withColumnRenamed("source", "s").join(sizes.select(F.col("source").alias("s2"), "weighted"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
-    t = staged(t.withColumn("rate", F.coalesce(F.try_divide("target", "weighted"), F.lit(0.0))), "targets")
-    expected = F.least(F.col("rate") * F.col("w"), F.lit(float(most)))
-    rated = rows.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s", "weighted").withColumn("whole", F.floor(expected).cast("long")).withColumn("p", expected - F.col("whole"))
-    certain = rated.groupBy(F.col("source").alias("s")).agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("residual"))
-    ranked = rated.join(certain, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), w.alias("w"), F.xxhash64(text_col).alias("mark"), *more)
+
+
+def _beside(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows with the columns of their source, of which there is one row in the staged table sources."""
+    return rows.join(small_side(sources.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+
+
+def _levelled(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("level", F.when(F.col("size") > 0, F.coalesce(F.ceil(F.try_divide("w", "top") * LEVELS), F.lit(0))).otherwise(0))
+
+
+def _ranked(rows: DataFrame, most: int, bins: int, seed: str) -> DataFrame:
+    """rows, levelled and beside their rate, with the copies they get for certain, their rank for one more, and its bin."""
+    expected = F.when(F.col("level") > 0, F.coalesce(F.least(F.col("rate") * F.col("level"), F.lit(float(most))), F.lit(float(most)))).otherwise(0.0)
+    out = rows.withColumn("whole", F.floor(expected).cast("long")).withColumn("p", expected - F.col("whole"))
     u = uniform("doc_id", seed)
-    odds = F.when((F.col("size") > 0) & (F.col("p") > 0), (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
-    ranked = ranked.withColumn("rank", odds)
+    out = out.withColumn("rank", F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))))
     # rank / (1 + rank) lies in (0, 1) and keeps the order
-    ranked = ranked.withColumn("bin", F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * bins), F.lit(bins - 1)).cast("int"))
+    return out.withColumn("bin", F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * bins), F.lit(bins - 1)).cast("int"))
+
+
+#: Order of a sample; rows equal in all of these differ in nothing that matters here.
+_ORDER = ["rank", "doc_id", "size", "mark"]
+
+
+def _decided(docs: DataFrame, columns: tuple, weights: list[float] | None, most: int, bins: int, seed: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Narrow rows, ranked; a row a source (source_size, top, target, rate, and of its sample the last bin, what comes before it and the size); the
+    rows of last bins, with whether each is taken once more."""
+    rows = staged(_narrow(docs, *columns), "sizes")
+    sizes = staged(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.max("w").alias("top")), "source-sizes")
+    rows = _levelled(_beside(rows, sizes.select("source", "top")))
+    rates = staged(_rates(rows.drop("top"), source_targets(sizes.select("source", "source_size"), weights, most), most), "rates")
+    ranked = _ranked(_beside(rows, rates), most, bins, seed)
+    certain = ranked.groupBy(F.col("source").alias("s")).agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("residual"))
     # one sum per source and bin: bins rows a source, however many documents
-    sums = ranked.where("rank is not null").groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.first("residual").alias("r"))
+    sums = ranked.where("rank is not null").groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
+    sums = sums.join(certain, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("bin_size").over(run), F.lit(0)))
-    last = sums.where("before <= r").groupBy("source").agg(F.max("bin").alias("last_bin"), F.max_by("before", "bin").alias("before"))
-    last = staged(last, "bins").withColumnRenamed("source", "s")
-    ranked = ranked.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    order = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = ranked.where("bin = last_bin")
+    last = sums.where("before <= residual").groupBy(F.col("source").alias("s")).agg(F.max("bin").alias("last_bin"), F.max_by("before", "bin").alias("before"), F.first("residual").alias("residual"))
+    ends = rates.join(sizes.select(F.col("source").alias("s2"), "top"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    ends = staged(ends.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "ends")
+    edge = _beside(ranked, ends.select("source", "last_bin", "before", "residual")).where("bin = last_bin")
+    order = Window.partitionBy("source").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("extra", (F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2 <= F.col("residual")).cast("long"))
-    inner = ranked.where("bin is null or last_bin is null or bin <> last_bin").withColumn("extra", F.coalesce((F.col("bin") < F.col("last_bin")).cast("long"), F.lit(0)))
-    out = inner.unionByName(edge).withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0).cast("long"))
+    return ranked, ends, edge
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: list[float] | None = None, most: int = MOST, bins: int = 4096, seed: str = "mix", weight_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, copies, taken.
+
+    size counts words; null and empty texts have size 0 and are never taken. A null source is a source of its own,
+    the last. A null id hashes like the text "null". Rows that repeat an id keep their own size and copies.
+    weight_col: how often a document is expected against the others of its source, up to most times (null and less than 0: 0; counted in LEVELS
+    steps of the source's largest; by default all alike). A source whose documents with weight don't reach its target at most copies each stays
+    below it. An empty table gives an empty result.
+    """
+    ranked, ends, edge = _decided(docs, (id_col, source_col, text_col, weight_col), weights, most, bins, seed)
+    columns = ["doc_id", "source", "size", "source_size", "target", "whole", "extra"]
+    rest = _beside(ranked, ends.select("source", "last_bin")).where("bin is null or last_bin is null or bin <> last_bin")
+    rest = rest.withColumn("extra", F.coalesce((F.col("bin") < F.col("last_bin")).cast("long"), F.lit(0)))
+    out = rest.select(*columns).unionByName(edge.select(*columns)).withColumn("copies", F.col("whole") + F.col("extra"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """docs as the mix takes them: a row stands as often as it is taken, with all its columns."""
-    picked = mix(docs, id_col, source_col, text_col, **options)
-    # a verdict per id and size, so that rows that repeat an id keep theirs
-    picked = picked.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    rows = docs.withColumn("__words", word_count(text_col))
-    found = rows.join(picked, rows[id_col].eqNullSafe(F.col("__id")) & rows[source_col].cast("string").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(c) for c in docs.columns])
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: list[float] | None = None, most: int = MOST, bins: int = 4096, seed: str = "mix",
+    weight_col: str | None = None,
+) -> DataFrame:
+    """docs as the mix takes them: a row stands as often as it is taken, with all its columns, whatever their names.
+
+    Texts stay where they are: a few numbers a source say of each row how often it is taken. Where a sample ends among rows that are equal in id, source
+    and text, one of them stands for those that are taken once more. An empty table stays empty.
+    """
+    columns = (id_col, source_col, text_col, weight_col)
+    _, ends, edge = _decided(docs, columns, weights, most, bins, seed)
+    # the last rows that a sample takes: what they are, how many are equal, and how many of these it takes
+    cut = edge.groupBy(F.col("source").alias("s"), F.struct(*_ORDER).alias("cut")).agg(F.sum("extra").alias("taken"), F.count(F.lit(1)).alias("equal")).where("taken > 0")
+    cut = cut.groupBy("s").agg(F.max(F.struct("cut", "taken", "equal")).alias("c")).select("s", "c.cut", F.col("c.taken").alias("torn"), (F.col("c.taken") < F.col("c.equal")).alias("is_torn"))
+    ends = staged(ends.select("source", "top", "rate", "last_bin").join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "cuts")
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = _ranked(_levelled(_beside(_narrow(docs, *columns, whole_row), ends)), most, bins, seed)
+    own = F.struct(*_ORDER)
+    last = own.eqNullSafe(F.col("cut"))
+    inside = (F.col("bin") < F.col("last_bin")) | ((F.col("bin") == F.col("last_bin")) & ((last & ~F.col("is_torn")) | (~last & (own < F.col("cut")))))
+    found = rows.withColumn("copies", (F.col("whole") + F.coalesce(inside, F.lit(False)).cast("int")).cast("int"))
+    out = found.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    if ends.where("is_torn").take(1):
+        torn = found.where(last & F.col("is_torn")).dropDuplicates(["source", "doc_id", "mark"])
+        out = out.union(torn.select("row", F.explode(F.sequence(F.lit(1), F.col("torn").cast("int")))).select("row.*"))
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import chat, embedding_dedup, exact_dedup, language_model, license_scan, minhash_dedup, mixing, quality, sentencepiece_codec, token_counts
+from millrace.llm.common import word_count
 from millrace.llm.license_scan import FIRST, RULES, SENTENCES
 
 #: Where the vocabulary file lies on every machine; the operators take it as a parameter.
@@ -60,7 +61,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    """Within a source a document is taken the more often the longer it is, up to a limit: by words / (words + 100)."""
+    words = word_count("text")
+    docs = _read(spark, sf_dir, "documents").withColumn("weight", words.cast("double") / (words + 100))
+    return mixing.mix(docs, weight_col="weight").select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op10_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,16 +152,25 @@ l as (
 t as (
   select source, source_size, least(cap, coalesce((select max(lvl) from l where lvl * weight <= cap) * weight, cap)) target from l
 ),
-r as (
-  select d.doc_id, d.source, d.size, source_size, target, case when source_size > 0 then floor(target / source_size)::bigint else 0 end whole,
+w as (select *, size::double / (size + 100) w, max(size::double / (size + 100)) over (partition by source) top from d),
+v as (select *, case when size > 0 then coalesce(ceil(w / nullif(top, 0) * 256), 0) else 0 end::bigint lev from w),
+g as (select source, lev, sum(size)::bigint size from v where lev > 0 group by all),
+h as (
+  select g.source, lev, (target - 3 * coalesce(sum(size) over (partition by g.source order by lev desc rows between unbounded preceding and 1 preceding), 0)::bigint)
+    / (sum(size * lev) over (partition by g.source order by lev desc rows between current row and unbounded following))::bigint rate
+  from g join t on g.source is not distinct from t.source
+),
+f as (select source, max(rate) rate from h where rate * lev <= 3 group by source),
+e as (
+  select v.doc_id, v.source, v.size, t.source_size, t.target, case when lev > 0 then coalesce(least(f.rate * lev, 3.0::double), 3.0::double) else 0.0::double end expected,
     (('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / pow(2.0, 52) u
-  from d join t on d.source is not distinct from t.source
+  from v join t on v.source is not distinct from t.source left join f on v.source is not distinct from f.source
 ),
-p as (select *, target - whole * source_size residual, (target - whole * source_size) / source_size p from r),
-q as (select *, case when size > 0 and p > 0 then (u / (1 - u)) / (p / (1 - p)) end rank from p),
+p as (select *, floor(expected)::bigint whole, expected - floor(expected) p from e),
+q as (select *, target - sum(whole * size) over (partition by source) residual, case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end rank from p),
 c as (select *, sum(size) over (partition by source order by rank, doc_id, size rows between unbounded preceding and 1 preceding) b from q where rank is not null),
 x as (select doc_id, size, source_size, target, whole + case when coalesce(b, 0) + size / 2 <= residual then 1 else 0 end copies from c
-  union all select doc_id, size, source_size, target, case when size > 0 then whole else 0 end from q where rank is null)
+  union all select doc_id, size, source_size, target, whole copies from q where rank is null)
 select doc_id, size, source_size, target, (copies * size)::bigint as taken, copies::bigint as copies from x"""
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 
 import pytest
@@ -117,6 +118,54 @@ def test_mix_with_document_weights(spark):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 4
 
 
+def brute_mix(rows, targets, most=3, levels=256):
+    """Copies by row from the definition, one source after another: expected numbers by bisection of the rate, then the ranked sample."""
+    out = {}
+    for source, target in targets.items():
+        own = [r for r in rows if r[1] == source]
+        top = max((r[3] for r in own), default=0)
+        level = {r[0]: math.ceil(r[3] / top * levels) if top and r[2] else 0 for r in own}
+        words = lambda rate: sum(min(rate * level[r[0]], most) * r[2] for r in own)  # noqa: B023, E731
+        lo, hi = 0.0, 1e6
+        for _ in range(200):
+            lo, hi = ((lo + hi) / 2, hi) if words((lo + hi) / 2) < target else (lo, (lo + hi) / 2)
+        expected = {r[0]: min(hi * level[r[0]], most) for r in own}
+        whole = {i: math.floor(e + 1e-9) for i, e in expected.items()}
+        odds = lambda p: p / (1 - p)
+        u = {r[0]: (int(hashlib.md5(f"mix:{r[0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for r in own}
+        left = target - sum(whole[r[0]] * r[2] for r in own)
+        ranked = sorted((odds(u[r[0]]) / odds(expected[r[0]] - whole[r[0]]), r[0], r[2]) for r in own if expected[r[0]] - whole[r[0]] > 1e-9)
+        at = 0
+        out |= whole
+        for _, i, size in ranked:
+            out[i] += at + size / 2 <= left
+            at += size
+    return out
+
+
+def test_mix_by_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(i, f"s{rng.randrange(4)}", rng.randrange(60), round(rng.random(), 3)) for i in range(900)]
+    df = spark.createDataFrame([(i, s, "w " * n, w) for i, s, n, w in rows], "doc_id long, source string, text string, odds double")
+    got = mixing.mix(df, weight_col="odds", weights=[1.0, 4.0, 9.0, 2.0]).collect()
+    want = brute_mix(rows, {r.source: r.target for r in got})
+    assert {r.doc_id: r.copies for r in got} == want and len(set(want.values())) == 4
+    names = df.withColumnsRenamed({"odds": "row"}).withColumn("copies", F.lit("clash")).withColumn("cut", F.lit(1)).withColumn("rank", F.lit(2))
+    out = mixing.mixed_documents(names, weight_col="row", weights=[1.0, 4.0, 9.0, 2.0])
+    assert out.columns == names.columns
+    assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == {i: c for i, c in want.items() if c}
+
+
+def test_mixed_documents_where_a_sample_ends_among_equal_rows(spark):
+    rows = [(7, "a", "x y z")] * 9 + [(None, "b", "q q")] * 7 + [(1, "c", "w " * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    got = {}
+    for r in mixing.mix(df, weights=[1.0, 1.5, 9.0]).collect():
+        got[r.source] = got.get(r.source, 0) + r.copies
+    out = {r.source: r["count"] for r in mixing.mixed_documents(df, weights=[1.0, 1.5, 9.0]).groupBy("source").count().collect()}
+    assert out == {s: n for s, n in got.items() if n} and got["a"] % 9 and got["b"] % 7
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
