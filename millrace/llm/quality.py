@@ -1,12 +1,16 @@
 """Quality classifier by non-negative positive-unlabelled learning.
 
-Trusted positives are documents labelled of quality 1; the unlabelled side is web text as it comes. The risk
-    prior * R(positives as positive) + max(0, R(unlabelled as negative) - prior * R(positives as negative))
-is minimised by Adam for a small network over text statistics; where the second part falls below zero its
-gradient is turned round. The class prior also places the score 0.5 among the unlabelled scores. It is the share of quality 1 among labelled training documents, and where
-these hold positives alone, the share estimated from the scores of held-back positives (Elkan and Noto).
+Trusted positives are documents labelled of quality 1; the unlabelled side is every training document as it comes. With the squared loss the risk
+    prior * E_p[(1 - g)^2] + max(0, E_u[(1 + g)^2] - prior * E_p[(1 + g)^2])
+of a linear g depends on the documents by the first and second moments of their features alone. These are summed over the
+partitions, so the unlabelled side is whole at any size, and the risk is minimised exactly: where the second part would fall below
+zero, its multiplier (between 0 and 1) is found at which it is zero. Labels of quality 0 are never used.
 
-Fitting reads a bounded sample (parameter sample) of each side, chosen by hash; scoring reads every whole text.
+The class prior is estimated from positives and unlabelled documents too: a first g, fitted on one half of the training folds, scores the
+other half; of all thresholds the one is taken above which unlabelled documents are fewest in proportion to positives
+(with a margin for chance), and that proportion is the prior.
+
+Features are shares of characters, of hashed words and word pairs, and how words and lines repeat. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -16,14 +20,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold_of
+from millrace.llm.common import discard, fold_of, lean, mixed, pieces, staged, word_hashes
 
 #: Single characters whose share of a text is an input.
 MARKS = "|!?.,;:%#$&*+-_=/\\<>()[]{}@\"'`~^"
-N_FEATURES = 16 + len(MARKS)
+#: Places that hashed words and word pairs share.
+HASHED = 64
+N_FEATURES = 16 + len(MARKS) + HASHED
 
 _CLASS = np.zeros(256, np.uint8)
 for _i, _b in enumerate(MARKS.encode()):
@@ -32,13 +39,13 @@ for _first, _last, _k in ((65, 90, 40), (97, 122, 41), (48, 57, 42), (128, 255,
     _CLASS[_first : _last + 1] = _k
 
 
-def features(text: str | None) -> np.ndarray:
-    """Shares of character classes, and how words and lines repeat. Empty texts give zeros and a mark of their own."""
+def features(text: str | bytes | None) -> np.ndarray:
+    """Shares of character classes and hashed words, and how words and lines repeat. Empty texts give zeros and a mark of their own."""
     out = np.zeros(N_FEATURES, np.float32)
     if not text:
         out[-1] = 1
         return out
-    raw = text.encode("utf-8", "replace")
+    raw = text if isinstance(text, bytes) else text.encode("utf-8", "replace")
     counts = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=48).astype(np.float32)
     n = len(raw)
     out[: len(MARKS)] = np.sqrt(counts[1 : len(MARKS) + 1] / n)
@@ -53,149 +60,236 @@ def features(text: str | None) -> np.ndarray:
         out[k + 6 : k + 12] = (distinct / m, same / m, upper, np.log1p(n / m), np.log1p(m) / 10, distinct / m**0.8)
         lines = raw.split(b"\n")
         out[k + 12 : k + 15] = (len(set(lines)) / len(lines), np.log1p(len(lines)) / 10, max(map(len, lines)) / n)
+        h = word_hashes(raw)
+        pairs = mixed(h[:-1] * np.uint64(3) + h[1:])
+        places = np.concatenate([mixed(h), pairs]) % np.uint64(HASHED)
+        out[k + 15 : k + 15 + HASHED] = np.sqrt(np.bincount(places.astype(np.int64), minlength=HASHED) / len(places))
     else:
         out[-1] = 1
     return out
 
 
+@dataclass
+class Moments:
+    """Number of documents, sum of their features and of the products of these, a leading 1 among them."""
+
+    n: float
+    sums: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Moments:
+        x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+        return cls(float(len(x)), x.T @ x)
+
+    def __add__(self, other: Moments) -> Moments:
+        return Moments(self.n + other.n, self.sums + other.sums)
+
+    def scaled(self, to: np.ndarray) -> np.ndarray:
+        """Mean products of the features that to makes of the plain ones."""
+        return to.T @ (self.sums / self.n) @ to
+
+
 @dataclass
 class Network:
-    """One hidden layer; shift and scale standardise the inputs."""
+    """g(x) = (x - shift) / scale * w + bias; the score is (1 + g) / 2, within 0 and 1."""
 
     shift: np.ndarray
     scale: np.ndarray
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: float
+    w: np.ndarray
+    bias: float
     prior: float
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.shift) / self.scale, -8, 8)
-        return np.tanh(z @ self.w1 + self.b1) @ self.w2 + self.b2
+        return (x - self.shift) / self.scale @ self.w + self.bias
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(x), -30, 30)))
+        return np.clip((1 + self.logits(x)) / 2, 0.0, 1.0)
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, epochs: int = 60, batch: int = 1024, rate: float = 0.004, beta: float = 0.0, seed: int = 11) -> Network:
-    """Minimises the non-negative risk with the logistic loss."""
-    rng = np.random.default_rng(seed)
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)
-    net = Network(both.mean(0), both.std(0) + 1e-3, rng.normal(0, both.shape[1] ** -0.5, (both.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), 0.0, prior)
-    params = [net.w1, net.b1, net.w2, np.zeros(1)]
-    means, squares, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    steps = max(1, -(-max(len(positive), len(unlabelled)) // batch))
-    for epoch in range(epochs):
-        for _ in range(steps):
-            xp = positive[rng.integers(0, len(positive), min(batch, len(positive)))].astype(np.float64)
-            xu = unlabelled[rng.integers(0, len(unlabelled), min(batch, len(unlabelled)))].astype(np.float64)
-            x = np.clip((np.concatenate([xp, xu]) - net.shift) / net.scale, -8, 8)
-            h = np.tanh(x @ params[0] + params[1])
-            g = h @ params[2] + params[3][0]
-            s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-            np_, nu = len(xp), len(xu)
-            soft = np.logaddexp(0, g)  # loss as negative; as positive: soft - g
-            negative = soft[np_:].mean() - prior * soft[:np_].mean()
-            d = np.zeros(len(g))
-            if negative >= -beta:
-                d[:np_] = prior * (s[:np_] - 1) / np_ - prior * s[:np_] / np_
-                d[np_:] = s[np_:] / nu
-            else:  # ascend the part that has gone below zero
-                d[:np_] = prior * s[:np_] / np_
-                d[np_:] = -s[np_:] / nu
-            dh = np.outer(d, params[2]) * (1 - h * h)
-            grads = [x.T @ dh + 1e-4 * params[0], dh.sum(0), h.T @ d + 1e-4 * params[2], np.array([d.sum()])]
-            step += 1
-            lr = rate * (1 - 0.9 * epoch / epochs)
-            for i, gr in enumerate(grads):
-                means[i] = 0.9 * means[i] + 0.1 * gr
-                squares[i] = 0.999 * squares[i] + 0.001 * gr * gr
-                params[i] -= lr * (means[i] / (1 - 0.9**step)) / (np.sqrt(squares[i] / (1 - 0.999**step)) + 1e-8)
-    net.w1, net.b1, net.w2, net.b2 = params[0], params[1], params[2], float(params[3][0])
-    return net
-
-
-def calibrated(net: Network, positive: np.ndarray, unlabelled: np.ndarray, slack: float = 0.15) -> Network:
-    """The same network with the score 0.5 where the class prior puts it: at the share 1 - prior of the unlabelled scores.
-
-    Within slack of that share the widest gap between scores is taken, so that a class prior a little off cuts into neither class; it
-    lies below all but a hundredth of the trusted positives.
+def risk(positive: np.ndarray, unlabelled: np.ndarray, w: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk, the second before it is cut at zero, from mean products of features with a leading 1."""
+    plus, minus = np.eye(len(w))[0] - w, np.eye(len(w))[0] + w
+    return float(prior * plus @ positive @ plus), float(minus @ unlabelled @ minus - prior * minus @ positive @ minus)
+
+
+def minimiser(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge: float = 1e-2) -> np.ndarray:
+    """The w of least non-negative risk (and ridge * |w|^2).
+
+    With multiplier m of the second part the gradient is zero where w solves one linear system; m is 1 if that part is not negative
+    there, and otherwise the largest at which it is not.
+    """
+    one = np.eye(len(positive))[0]
+
+    def at(m: float) -> np.ndarray:
+        left = prior * (1 - m) * positive + m * unlabelled + ridge * np.eye(len(one))
+        return np.linalg.solve(left, prior * (1 + m) * positive @ one - m * unlabelled @ one)
+
+    if risk(positive, unlabelled, at(1.0), prior)[1] >= 0:
+        return at(1.0)
+    low, high = 0.0, 1.0
+    for _ in range(50):
+        m = (low + high) / 2
+        low, high = (m, high) if risk(positive, unlabelled, at(m), prior)[1] >= 0 else (low, m)
+    return at(low)
+
+
+def _fitted(positive: Moments, unlabelled: Moments, prior: float, ridge: float) -> Network:
+    """Features are standardised by all documents, the standard deviation kept from zero."""
+    mean = unlabelled.sums[0] / unlabelled.n
+    scale = np.sqrt(np.maximum(np.diag(unlabelled.sums) / unlabelled.n - mean**2, 0.0)) + 1e-3
+    to = np.diag(1 / scale)
+    to[0] = -mean / scale
+    to[:, 0] = np.eye(len(mean))[0]
+    w = minimiser(positive.scaled(to), unlabelled.scaled(to), prior, ridge)
+    return Network(mean[1:], scale[1:], w[1:], float(w[0]), prior)
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge: float = 1e-2) -> Network:
+    """The network of features in memory."""
+    p, u = Moments.of(np.asarray(positive, np.float64)), Moments.of(np.asarray(unlabelled, np.float64))
+    return _fitted(p, u, prior, ridge)
+
+
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The class prior from histograms of scores that were not fitted, lowest bin first.
+
+    Above any threshold, the unlabelled share is at least the prior times the positive share. The threshold with the smallest quotient, allowing for
+    chance by both sizes, gives the closest bound.
     """
-    g = np.sort(net.logits(unlabelled.astype(np.float64)))
-    share = 1 - net.prior
-    lo, hi = int(len(g) * share * (1 - slack)), min(len(g) - 1, int(len(g) * share * (1 + slack)) + 1)
-    top = np.quantile(net.logits(positive.astype(np.float64)), 0.01)
-    if hi > lo:
-        at = lo + int(np.argmax(np.diff(g[lo : hi + 1])))
-        net.b2 -= min(float(g[at] + g[at + 1]) / 2, float(top))
-    return net
+    n, m = positive.sum(), unlabelled.sum()
+    if not n or not m:
+        return 0.5
+    above_p, above_u = (np.cumsum(h[::-1])[::-1] / h.sum() for h in (positive, unlabelled))
+    use = above_p > 0
+    chance = np.sqrt(np.log(40) / (2 * n)) + np.sqrt(np.log(40) / (2 * m))
+    best = int(np.argmin((above_u[use] + 1.01 * chance) / above_p[use]))
+    return float(np.clip(above_u[use][best] / above_p[use][best], 0.02, 0.98))
+
 
+BINS = 4096
 
-def _featurised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"rank": pdf["rank"], "positive": pdf["positive"], "x": [features(t).tolist() for t in pdf["text"]]})
+
+def histogram(g: np.ndarray) -> np.ndarray:
+    """Of values of g between -3 and 3, those beyond in the outer bins."""
+    return np.bincount(np.clip((g + 3) / 6 * BINS, 0, BINS - 1).astype(np.int64), minlength=BINS)
+
+
+def _estimated_prior(p: np.ndarray, u: np.ndarray, seed: int) -> float:
+    """The prior of features in memory: halves are dealt by seed."""
+    rng = np.random.default_rng(seed)
+    (fit_p, back_p), (fit_u, back_u) = (np.array_split(rng.permutation(x), 2) for x in (p, u))
+    net = fit_nnpu(fit_p, fit_u, 0.5)
+    return prior_of(histogram(net.logits(back_p)), histogram(net.logits(back_u)))
+
+
+def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in (p for batch in batches for p in pieces(batch, "text")):
+        x = pa.array([features(t.as_py()).tobytes() for t in part.column("text")], pa.binary())
+        yield pa.RecordBatch.from_arrays([part.column("half"), part.column("positive"), x], names=["half", "positive", "x"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, np.ndarray]]:
+    """(half, positive, features): every document as unlabelled, trusted positives once more as such."""
+    for batch in batches:
+        half, positive = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("half", "positive"))
+        x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+        for h in (0, 1):
+            yield h, False, x[half == h]
+            yield h, True, x[(half == h) & positive]
+
+
+def _summed(batches: Iterator[pa.RecordBatch], key: list[str], value: str) -> Iterator[pa.RecordBatch]:
+    total: dict = {}
+    for batch in batches:
+        for *k, raw in zip(*(batch.column(c).to_pylist() for c in (*key, value)), strict=True):
+            total[tuple(k)] = total.get(tuple(k), 0.0) + np.frombuffer(raw)
+    if total:
+        yield pa.RecordBatch.from_pydict({c: [k[i] for k in total] for i, c in enumerate(key)} | {value: [v.tobytes() for v in total.values()]}, schema=_SUMS_ARROW)
+
+
+_SUMS = "half int, positive boolean, sums binary"
+_SUMS_ARROW = pa.schema([("half", pa.int32()), ("positive", pa.bool_()), ("sums", pa.binary())])
+FAN = 16
+
+
+def _totals(rows: DataFrame, measure) -> dict[tuple[int, bool], np.ndarray]:
+    """measure of the features of each half's unlabelled documents and positives, summed: partition by partition, then FAN sums into one until few are left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for h, positive, x in _groups(batches):
+            if len(x):
+                total[h, positive] = total.get((h, positive), 0.0) + measure(x)
+        if total:
+            yield pa.RecordBatch.from_pydict({"half": [h for h, _ in total], "positive": [p for _, p in total], "sums": [v.astype(np.float64).tobytes() for v in total.values()]}, schema=_SUMS_ARROW)
+
+    again = lambda batches: _summed(batches, ["half", "positive"], "sums")
+    sums, parts = rows.mapInArrow(lean(run), _SUMS), rows.rdd.getNumPartitions()
+    while parts > FAN:
+        parts = -(-parts // FAN)
+        sums = sums.repartition(parts).mapInArrow(again, _SUMS)
+    out: dict = {}
+    for r in sums.collect():  # at most 4 * FAN rows
+        out[r["half"], r["positive"]] = out.get((r["half"], r["positive"]), 0.0) + np.frombuffer(bytes(r["sums"]))
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held_out: int = 1, sample: int = 20_000, prior: float | None = None, seed: int = 11) -> Network | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held_out: int = 1, sample: int = 20_000, prior: float | None = None, seed: int = 11, ridge: float = 1e-2) -> Network | None:
     """A network from the training folds, or None if these hold no positive.
 
-    sample bounds the rows of either side that fitting reads. A label that is neither 0 nor 1 is none; a document
-    labelled both ways counts by its mean.
+    sample bounds the trusted positives, chosen by hash; the unlabelled side is all training documents. A label that is neither 0 nor 1 is none; a document
+    labelled both ways counts by its mean. Rows of a null id are not learnt from, rows that repeat an id each are. Without a prior it is estimated.
     """
-    train = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & (fold_of("id", folds) != held_out))
+    train = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where(F.col("id").isNotNull() & (fold_of("id", folds) != held_out))
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("mark")).where("id is not null and mark in (0, 1)").where(fold_of("id", folds) != held_out)
-    marks = marks.groupBy("id").agg((F.avg("mark") >= 0.5).alias("positive"))
-    n, share = marks.agg(F.count(F.lit(1)), F.avg(F.col("positive").cast("double"))).first()
-    if not n or not share:
+    marks = marks.groupBy("id").agg(F.avg("mark").alias("mark")).where("mark >= 0.5").select("id")
+    n = marks.count()
+    if not n:
         return None
-    total = max(1, train.count())
     rank = F.xxhash64(F.lit(seed), "id").bitwiseAND(F.lit((1 << 62) - 1))
-
-    def some(rows: DataFrame, many: float) -> DataFrame:
-        """A little over sample of many rows, by hash."""
-        return rows.withColumn("rank", rank).where(F.col("rank") < int(min(1.0, 1.2 * sample / max(1.0, many)) * (1 << 62)))
-
-    # about 1.2 * sample ids: that bounds what is broadcast, and the rows of either side that reach the driver as features
-    chosen = F.broadcast(some(marks.where("positive"), n * share).select("id"))
-    positives = train.join(chosen, "id").select(rank.alias("rank"), F.lit(True).alias("positive"), "text")
-    unlabelled = some(train, total).select("rank", F.lit(False).alias("positive"), "text")
-    got = positives.union(unlabelled).mapInPandas(_featurised, "rank long, positive boolean, x array<float>").toPandas()
-    got = got.sort_values(["positive", "rank"]).groupby("positive", sort=False).head(sample)
-    x, is_positive = np.array(got["x"].tolist(), np.float32).reshape(len(got), N_FEATURES), got["positive"].to_numpy(bool)
-    if not is_positive.any() or is_positive.all():
+    # about 1.2 * sample ids, the lowest by hash: that bounds what is broadcast
+    chosen = marks.where(rank < int(min(1.0, 1.2 * sample / n) * (1 << 62))).orderBy(rank).limit(sample)
+    chosen = F.broadcast(staged(chosen.withColumn("yes", F.lit(True)), "positives"))
+    rows = train.join(chosen, "id", "left").select((F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(2))).cast("int").alias("half"), F.coalesce("yes", F.lit(False)).alias("positive"), "text")
+    table = staged(rows.mapInArrow(lean(_featurised), "half int, positive boolean, x binary"), "features")
+    size = N_FEATURES + 1
+    sums = _totals(table, lambda x: np.concatenate([[len(x)], Moments.of(x).sums.ravel()]))
+    nothing = np.zeros(1 + size * size)
+    moments = {(h, p): Moments(float(v[0]), v[1:].reshape(size, size)) for h in (0, 1) for p in (False, True) for v in [sums.get((h, p), nothing)]}
+    both = {p: moments[0, p] + moments[1, p] for p in (False, True)}
+    if not both[True].n:
+        discard(table)
         return None
-    order_ = np.lexsort(x.T)  # the same rows in the same order, whatever the partitions
-    x, is_positive = x[order_], is_positive[order_]
-    p, u = x[is_positive], x[~is_positive]
     if prior is None:
-        prior = share if share < 1 else _estimated_prior(p, u, seed)
-    return calibrated(fit_nnpu(p, u, float(np.clip(prior, 0.02, 0.98)), seed=seed), p, u)
-
-
-def _estimated_prior(p: np.ndarray, u: np.ndarray, seed: int) -> float:
-    """Elkan and Noto: mean score of the unlabelled over the mean score of held-back positives, of a classifier of the two."""
-    half = max(1, len(p) // 2)
-    net = fit_nnpu(p[::2][:half], u, 0.5, epochs=10, seed=seed)
-    back = p[1::2] if len(p) > 1 else p
-    return float(np.clip(net.scores(u).mean() / max(1e-6, net.scores(back).mean()), 0.05, 0.98))
+        prior = 0.5
+        if moments[0, True].n and moments[1, True].n:
+            first = _fitted(moments[0, True], moments[0, False], 0.5, ridge)
+            found = _totals(table.where("half = 1"), lambda x: histogram(first.logits(x)))
+            prior = prior_of(found[1, True], found[1, False])
+    discard(table)
+    return _fitted(both[True], both[False], prior, ridge)
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held_out: int = 1) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
     Null and empty texts get the score of an empty text. Without a network (no trusted positive) every score is 0.5 and
-    every row is kept. Rows that repeat an id are scored each by its own text.
+    every row is kept. Rows that repeat an id are scored each by its own text. An empty table gives an empty result; other columns are not read.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.array([features(t) for t in pdf["text"]]).reshape(len(pdf), N_FEATURES) if len(pdf) else np.zeros((0, N_FEATURES))
-            s = net.scores(x.astype(np.float64)) if net else np.full(len(pdf), 0.5)
-            yield pdf[["doc_id", "held_out"]].assign(score=s, predicted=(s >= 0.5).astype(np.int32))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in pieces(batch, "text")):
+            s = _scores(net, part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold_of(id_col, folds) == held_out).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold_of(id_col, folds) == held_out).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+
+def _scores(net: Network | None, texts: pa.Array) -> np.ndarray:
+    if net is None:
+        return np.full(len(texts), 0.5)
+    return net.scores(np.array([features(t.as_py()) for t in texts], np.float64).reshape(len(texts), N_FEATURES))
 
 
 def keep_good(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
@@ -205,6 +299,6 @@ def keep_good(docs: DataFrame, net: Network | None, text_col: str = "text") -> D
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(net.scores(np.array([features(t) for t in texts]).reshape(len(texts), N_FEATURES).astype(np.float64)))
+        return pd.Series(np.concatenate([_scores(net, pa.array(texts.iloc[i : i + 500])) for i in range(0, len(texts), 500)]) if len(texts) else np.empty(0))
 
-    return docs.where(scored(F.col(text_col)) >= 0.5)
+    return docs.where(scored(F.col(text_col).cast("binary")) >= 0.5)

@@ -285,3 +285,51 @@ def test_nonnegative_risk_separates():
     net = quality.fit_nnpu(p[:300], u, 0.75)
     assert (net.scores(p) >= 0.5).mean() > 0.85 and (net.scores(n) < 0.5).mean() > 0.85
     assert 0.5 < quality._estimated_prior(p[:300], u, 1) <= 0.98
+
+
+def test_risk_is_minimal_and_its_gradient_is_the_numeric_one():
+    """The multiplier's linear system against a plain descent of the written risk, on both sides of the kink."""
+    rng = np.random.default_rng(3)
+    for shift in (0.4, 1.5):  # classes that overlap, and ones so far apart that the second part would fall below zero
+        p, n = rng.normal(shift, 1, (80, 3)), rng.normal(-shift, 1, (400, 3))
+        u = np.concatenate([rng.normal(shift, 1, (200, 3)), n[:120]])
+        for prior in (0.3, 0.62, 0.9):
+            one = lambda x: np.concatenate([np.ones((len(x), 1)), x], axis=1)
+            positive, unlabelled = (one(x).T @ one(x) / len(x) for x in (p, u))
+
+            def whole(w, prior=prior, p=p, u=u, one=one):
+                g, h = one(p) @ w, one(u) @ w
+                first, second = prior * np.mean((1 - g) ** 2), np.mean((1 + h) ** 2) - prior * np.mean((1 + g) ** 2)
+                return first + max(0.0, second) + 1e-2 * w @ w, second
+
+            w = quality.minimiser(positive, unlabelled, prior)
+            parts = quality.risk(positive, unlabelled, w, prior)
+            assert abs(parts[0] + max(0.0, parts[1]) + 1e-2 * w @ w - whole(w)[0]) < 1e-9 and parts[1] > -1e-6
+            steps = [1e-4 * d for d in rng.normal(size=(200, 4))]
+            assert min(whole(w + d)[0] for d in steps) > whole(w)[0] - 1e-7
+            if whole(w)[1] > 1e-4:  # away from the kink the numeric gradient is zero
+                grad = [(whole(w + 1e-6 * e)[0] - whole(w - 1e-6 * e)[0]) / 2e-6 for e in np.eye(4)]
+                assert np.abs(grad).max() < 1e-5
+
+
+def test_prior_is_that_of_the_unlabelled_side():
+    rng = np.random.default_rng(5)
+    p = rng.normal(2, 1, (3000, 4))
+    for share in (0.2, 0.5, 0.85):
+        u = np.concatenate([rng.normal(2, 1, (int(8000 * share), 4)), rng.normal(-2, 1, (int(8000 * (1 - share)), 4))])
+        assert abs(quality._estimated_prior(p, u, 1) - share) < 0.04
+
+
+def test_fit_over_partitions_is_the_fit_in_memory(spark):
+    """Brute force: features of all training texts in one array, and no label but trusted positives matters."""
+    base = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    net = quality.fit(docs.repartition(7), labels, prior=0.8)
+    train = [r for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    x = np.array([quality.features(r.text) for r in train], np.float64)
+    want = quality.fit_nnpu(x[[r.doc_id in good for r in train]], x, 0.8)
+    assert np.allclose(net.logits(x), want.logits(x), atol=1e-6)
+    assert np.allclose(quality.fit(docs, labels.where("quality = 1"), prior=0.8).logits(x), want.logits(x), atol=1e-6)
+    scored = {r.doc_id: r.score for r in quality.score(docs, net).collect()}
+    assert np.allclose([scored[r.doc_id] for r in train], np.clip((1 + want.logits(x)) / 2, 0, 1), atol=1e-6)
