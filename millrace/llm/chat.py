@@ -53,15 +53,19 @@ def turn_tokens(text: str) -> int:
 
 
 class _Windows:
-    """State of one conversation: the system turn, recent turns with prefix sums, and the open window."""
+    """State of one conversation: the system turn, the turns of the last history tokens, and the open window.
+
+    total is the prefix sum of tokens up to here. A window spans the turns from prefix sum since on, and has fixed tokens besides (the system
+    turn's, if it is repeated), so whether a turn still fits is a comparison of prefix sums.
+    """
 
     def __init__(self, conv, budget: int, history: int):
         self.conv, self.budget, self.history = conv, budget, history
         self.system: tuple | None = None
         self.total, self.n, self.number = 0, 0, 0
-        self.recent: deque = deque()  # (index, prefix sum before it, rendered turn)
-        self.open: list = []  # (index, rendered, role, repeated)
-        self.room = budget
+        self.recent: deque = deque()  # (prefix sum before it, rendered turn, its head's length, role)
+        self.open: list = []  # (rendered turn, its head's length, role, repeated)
+        self.since, self.fixed = 0, 0
 
     def _render(self, role: str, text: str) -> tuple[str, int]:
         head = f"<|turn|>{escaped_role(role)}\n"
@@ -70,46 +74,43 @@ class _Windows:
     def add(self, role: str, text: str) -> dict | None:
         """Takes the next turn; gives the window that it closes, if it does."""
         tokens, (rendered, head), done = turn_tokens(text), self._render(role, text), None
-        if self.open and tokens > self.room and any(not x[4] for x in self.open):
+        if self.open and self.fixed + self.total + tokens - self.since > self.budget:
             done = self.close()
         if not self.open:
-            self._begin()
-        self.open.append((self.n, rendered, head, role, False))
-        self.room -= tokens
+            self._begin(tokens)
+        self.open.append((rendered, head, role, False))
         if self.n == 0 and role == "system":
-            self.system = (rendered, head, role, tokens)
-        self.recent.append((self.n, self.total, rendered, head, role))
+            self.system = (tokens, rendered, head, role)
+        else:
+            self.recent.append((self.total, rendered, head, role))
         self.total += tokens
-        while self.recent and self.total - self.recent[0][1] > self.history and len(self.recent) > 1:
+        while self.recent and self.total - self.recent[0][0] > self.history:
             self.recent.popleft()
         self.n += 1
         return done
 
-    def _begin(self) -> None:
-        self.room = self.budget
-        if self.n == 0:
-            return
-        if self.system:
-            self.open.append((0, *self.system[:3], True))
-            self.room -= self.system[3]
-        for index, before, rendered, head, role in self.recent:
-            if self.total - before <= self.history and not (index == 0 and self.system):
-                self.open.append((index, rendered, head, role, True))
-        kept = [x for x in self.recent if self.total - x[1] <= self.history and not (x[0] == 0 and self.system)]
-        self.room -= self.total - kept[0][1] if kept else 0
+    def _begin(self, tokens: int) -> None:
+        """Repeats what leaves room for a first new turn of so many tokens: the system turn, then as many of the latest turns."""
+        self.fixed = 0
+        if self.system and self.system[0] + tokens <= self.budget:
+            self.fixed = self.system[0]
+            self.open.append((*self.system[1:], True))
+        least = self.total - (self.budget - self.fixed - tokens)
+        kept = [x for x in self.recent if x[0] >= least]
+        self.since = kept[0][0] if kept else self.total
+        self.open += [(*x[1:], True) for x in kept]
 
     def close(self) -> dict:
         text, starts, ends, at = [], [], [], 0
-        fresh = [x[0] for x in self.open if not x[4]]
-        for _, rendered, head, role, repeated in self.open:
+        for rendered, head, role, repeated in self.open:
             if role == "assistant" and not repeated:
                 starts.append(at + head)
                 ends.append(at + len(rendered) - len("<|end|>\n"))
             text.append(rendered)
             at += len(rendered)
         row = {
-            "conv_id": self.conv, "window": self.number, "text": "".join(text), "first_new": sum(x[4] for x in self.open),
-            "n_new": len(fresh), "loss_start": starts, "loss_end": ends, "n_tokens": self.budget - self.room,
+            "conv_id": self.conv, "window": self.number, "text": "".join(text), "first_new": sum(x[3] for x in self.open),
+            "n_new": sum(not x[3] for x in self.open), "loss_start": starts, "loss_end": ends, "n_tokens": self.fixed + self.total - self.since,
         }
         self.number, self.open = self.number + 1, []
         return row
@@ -150,8 +151,9 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
     The first first_new turns of a window are repeated (the system turn, then at most history tokens of latest turns); the n_new after
     them are new. loss_start and loss_end are spans of the window's text. Turns stand by turn (nulls first; ties by role,
-    then text); null role and text are empty. A turn over the budget has a window of its own, whole. Turns of a null
-    conversation form one. Repeated rows are turns of their own. An empty table gives an empty result.
+    then text); null role and text are empty. No window exceeds the budget, but a turn over the budget has a window of its own, whole. What is repeated
+    gives way to the first new turn: history first, then the system turn. Turns of a null conversation form one. Repeated rows
+    are turns of their own. An empty table gives an empty result. Other columns are not read.
     """
     rows = turns.select(
         F.col(conv_col).cast("long").alias("conv"), F.col(conv_col).isNull().alias("no_id"), F.col(turn_col).alias("turn"),
@@ -202,6 +204,9 @@ def _digest_frame(rows: list[dict]) -> pd.DataFrame:
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """One row per conversation, parsed from the formatted text: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows."""
+    """One row per conversation, parsed from the formatted text: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows.
+
+    windows: rows of format_conversations, each once; windows without any give an empty result. Other columns are not read.
+    """
     rows = windows.withColumn("no_id", F.col("conv_id").isNull()).repartition("conv_id").sortWithinPartitions("conv_id", "window")
     return rows.select("conv_id", "no_id", "text", "first_new", "loss_start", "loss_end").mapInPandas(_digests, _DIGEST)

@@ -56,6 +56,40 @@ def test_chat_reads_back(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0 == chat.read_back(windows.limit(0)).count()
 
 
+def brute_windows(turns, budget, history):
+    """(repeated, new) turns by place, from the definition: of all spans that hold the next new turn within the budget, the system turn, then the longest history, then the most new turns."""
+    cost = [chat.turn_tokens(x) for _, x in turns]
+    has_system = turns[0][0] == "system"
+    out, at = [], 0
+    while at < len(turns):
+        system = [0] if has_system and at and cost[0] + cost[at] <= budget else []
+        fixed = sum(cost[i] for i in system)
+        first = next(h for h in range(1 if has_system and at else 0, at + 1) if sum(cost[h:at]) <= history and (h == at or fixed + sum(cost[h : at + 1]) <= budget))
+        end = max(e for e in range(at + 1, len(turns) + 1) if e == at + 1 or fixed + sum(cost[first:e]) <= budget)
+        out.append(([*system, *range(first, at)], list(range(at, end))))
+        at = end
+    return out
+
+
+@pytest.mark.parametrize("budget,history", [(120, 40), (60, 100), (30, 10), (500, 0)])
+def test_windows_by_brute_force(spark, budget, history):
+    rng = random.Random(budget)
+    rows = []
+    for c in range(40):
+        words = [203, 100, 3, 0][c % 4] if c < 12 else rng.randrange(30)  # system turns over the budget, and turns that fit alone
+        rows += [(c, t, "system" if t == 0 and c % 3 else ("user", "assistant")[t % 2], "word " * (words if t == 0 else rng.choice([0, 1, 5, 20, 57, 100]))) for t in range(rng.randrange(1, 30))]
+    by = {}
+    for c, _, r, x in rows:
+        by.setdefault(c, []).append((r, x))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {}
+    for w in chat.format_conversations(df, budget=budget, history=history).orderBy("conv_id", "window").collect():
+        turns = [(r, chat.unescaped(x)) for r, x in chat._TURN.findall(w.text)]
+        got.setdefault(w.conv_id, []).append((turns[: w.first_new], turns[w.first_new :]))
+        assert w.n_tokens == sum(chat.turn_tokens(x) for _, x in turns) and (w.n_tokens <= budget or len(turns) == 1)
+    assert got == {c: [([t[i] for i in old], [t[i] for i in new]) for old, new in brute_windows(t, budget, history)] for c, t in by.items()}
+
+
 def water_fill(sizes, weights, most):
     """Excess over a cap is shared again by weight until none is above."""
     total, target, free = sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
