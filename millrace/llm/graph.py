@@ -31,7 +31,7 @@ def _beside(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
     if total < LARGE:
         return edges.join(low.drop("edges"), "u")
     most = max(1, total // HUBS)
-    hubs = F.broadcast(staged(low.where(F.col("edges") > most).drop("edges"), "hubs"))
+    hubs = F.broadcast(low.where(F.col("edges") > most).drop("edges"))
     rest = low.where(F.col("edges") <= most).drop("edges")
     return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(rest, "u"))
 
