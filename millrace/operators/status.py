@@ -62,10 +62,11 @@ def suppressions(events: DataFrame, email: str, name: str, at: str) -> DataFrame
     return rows.groupBy(F.col("__e").alias("email")).agg(F.min(at).alias("since"), F.min_by("__r", at).alias("reason"), F.min(F.when(F.col("__r") == "spam", F.col(at))).alias("opted_out"))
 
 
-def first_success(activities: DataFrame, key: str, state: str, at: str) -> DataFrame:
-    """billed_at: the first time an activity succeeded; error: that of its last state, none after a success."""
+def first_success(activities: DataFrame, key: str, state: str, at: str, message: str | None = None) -> DataFrame:
+    """billed_at: the first time an activity succeeded; last_state; error: the last state's message (message: its column, else the state itself), none after a success."""
     s = F.col(state) == "Success"
-    return activities.groupBy(key).agg(F.min(F.when(s, F.col(at))).alias("billed_at"), F.max_by(F.col(state), at).alias("last_state"))
+    error = F.when(~s, F.col(message if message else state))
+    return activities.groupBy(key).agg(F.min(F.when(s, F.col(at))).alias("billed_at"), F.max_by(F.col(state), at).alias("last_state"), F.max_by(error, at).alias("error"))
 
 
 def transitions(rows: DataFrame, state: str, wanted: str, active: list[str]) -> DataFrame:

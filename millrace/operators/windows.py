@@ -29,12 +29,12 @@ def mode_first(df: DataFrame, keys: list[str], value: str, order: Column) -> Dat
 
 
 def streaks(checks: DataFrame, key: str, order: list[str], failed: Column, limit: int = 3) -> DataFrame:
-    """failures: failed checks in a row up to this one; paused from the limit on (a pause ends at the next success)."""
-    seq = Window.partitionBy(key).orderBy(*order)
-    island = F.sum(F.when(failed, 0).otherwise(1)).over(seq.rowsBetween(Window.unboundedPreceding, 0))
-    rows = checks.withColumn("__island", island)
-    n = F.sum(F.when(failed, 1).otherwise(0)).over(Window.partitionBy(key, "__island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("failures", n.cast("long")).withColumn("paused", F.col("failures") >= limit).drop("__island")
+    """failures: failed checks in a row up to this one; paused from the first time they reach the limit on, and later checks change nothing."""
+    seq = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = checks.withColumn("__island", F.sum(F.when(failed, 0).otherwise(1)).over(seq))
+    run = Window.partitionBy(key, "__island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__run", F.sum(F.when(failed, 1).otherwise(0)).over(run)).withColumn("paused", F.max(F.col("__run") >= limit).over(seq))
+    return rows.withColumn("failures", F.when(F.col("paused"), F.lit(limit)).otherwise(F.col("__run")).cast("long")).drop("__island", "__run")
 
 
 def baseline_change(snapshots: DataFrame, key: str, order: list[str], digest: str) -> DataFrame:

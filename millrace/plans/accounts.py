@@ -308,8 +308,9 @@ SQL = {
         b as (select *, last_value(h ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) b from h)
         select event_id, b as baseline, coalesce(h <> b, false) as changed from b""",
     "failure_streak_pause": """with i as (select *, sum(case when event_type = 'error' then 0 else 1 end) over (partition by user_id order by ts, event_id rows unbounded preceding) g from events),
-        s as (select event_id, sum(case when event_type = 'error' then 1 else 0 end) over (partition by user_id, g order by ts, event_id rows unbounded preceding)::bigint f from i)
-        select event_id, f as failures, f >= 3 as paused from s""",
+        s as (select event_id, user_id, ts, sum(case when event_type = 'error' then 1 else 0 end) over (partition by user_id, g order by ts, event_id rows unbounded preceding)::bigint f from i),
+        p as (select *, min(case when f >= 3 then {'t': ts, 'e': event_id} end) over (partition by user_id) began from s)
+        select event_id, case when {'t': ts, 'e': event_id} > began then 3 else f end as failures, coalesce({'t': ts, 'e': event_id} >= began, false) as paused from p""",
     "first_use_stamp": "select user_id, min(ts) as first_used_at, max(ts) as last_used_at, arg_min(event_type, {'t': ts, 'e': event_id}) as surface from events group by 1",
     "distinct_on_topk": "with b as (select o_custkey, o_orderkey, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) = 1) select * from b order by o_totalprice desc, o_orderkey limit 25",
     "latest_per_key": "select o_custkey, o_orderkey, o_orderdate from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1",
@@ -347,8 +348,8 @@ SQL = {
     "page_has_more": "select o_orderkey, true as has_more from (select o_orderkey, o_orderdate from orders order by o_orderdate desc, o_orderkey desc limit 20 offset 20)",
     "weekly_activity": "select date_trunc('week', ts)::timestamp as week, count(*) as events, count(distinct ts::date) as days, count(*) filter (event_type = 'error') as errors from events group by 1",
     "props_json": "select event_id, json_extract(props, '$.k')::bigint as k, json_extract_string(props, '$.missing') as missing from events",
-    "search_results": "select event_id::varchar as query, 't' || event_id as title, 'https://x/' || user_id as url, 1 as position, 's' as sitelinks from events where event_id < 200",
-    "heading_stack": """with e as (select user_id, event_id, (event_id % 4)::int l, 'h' || event_id t from events where user_id < 20),
+    "search_results": "select event_id::varchar as query, 't' || event_id as title, 'https://x/' || user_id as url, 1 as position, 's' as sitelinks from events",
+    "heading_stack": """with e as (select user_id, event_id, (event_id % 4)::int l, 'h' || event_id t from events),
         p as (select *, last_value(case when l = 1 then event_id end ignore nulls) over w p1, last_value(case when l = 2 then event_id end ignore nulls) over w p2, last_value(case when l = 3 then event_id end ignore nulls) over w p3 from e
           window w as (partition by user_id order by event_id rows unbounded preceding))
         select user_id, event_id, array_to_string(list_filter(['h' || p1, case when p1 is null or p2 > p1 then 'h' || p2 end, case when p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) then 'h' || p3 end], lambda x: x is not null), '>') as path from p""",
@@ -386,7 +387,19 @@ SQL = {
     "ingest_pages": """with d as (select floor(doc_id / 50)::bigint job_id, doc_id pos, 'u' || doc_id u, text, row_number() over (partition by floor(doc_id / 50), text order by doc_id) r from documents)
         select job_id, pos, case when trim(text) = '' then 'skipped' else 'completed' end as status, case when trim(text) = '' then 'no extractable content' when r > 1 then 'DUPLICATE' end as note,
           case when trim(text) <> '' and r = 1 then 'ingest:' || job_id || ':' || substr(md5(u), 1, 16) end as billed_key, case when trim(text) <> '' and r = 1 then 1 else 0 end as chunk_count from d""",
-    "activity_billing": "select user_id, min(ts) filter (event_type = 'purchase') as billed_at, arg_max(case when event_type = 'purchase' then 'Success' else event_type end, ts) as last_state from events group by 1",
+    "activity_billing": """select user_id, min(ts) filter (event_type = 'purchase') as billed_at, arg_max(case when event_type = 'purchase' then 'Success' else event_type end, ts) as last_state,
+        case when arg_max(event_type, ts) <> 'purchase' then arg_max(event_type, ts) end as error from events group by 1""",
+    "send_window": """with d as (select *, make_date(year(ts)::bigint, 3, 1) m, make_date(year(ts)::bigint, 11, 1) n from events),
+        s as (select *, m + (7 - dayofweek(m)::int) % 7 + 7 + interval 7 hour spring, n + (7 - dayofweek(n)::int) % 7 + interval 6 hour autumn from d),
+        l as (select event_id, ts - case when ts >= spring and ts < autumn then interval 4 hour else interval 5 hour end t from s)
+        select event_id, isodow(t) between 1 and 5 and hour(t) between 9 and 16 as open from l""",
+    "money_ledger": """with recursive e as (select user_id, event_id pos, event_id % 2 = 0 as takes, trunc(value * 100)::bigint c, (event_id // 4)::varchar op, row_number() over (partition by user_id order by event_id) n from events),
+        r as (select user_id, 0::bigint n, null::bigint pos, null::boolean ok, 0::bigint spent, []::varchar[] held, []::bigint[] amounts, []::varchar[] done from (select distinct user_id from events) union all
+          select user_id, n, pos, ok, case when not ok then spent when takes then spent + c else spent + c - amounts[i] end, case when not ok then held when takes then list_append(held, op) else list_concat(held[1:i - 1], held[i + 1:]) end,
+            case when not ok then amounts when takes then list_append(amounts, c) else list_concat(amounts[1:i - 1], amounts[i + 1:]) end, case when ok and not takes then list_append(done, op) else done end
+          from (select e.*, r.spent, held, amounts, done, list_position(held, op) i, case when takes then not list_contains(held, op) and not list_contains(done, op) and r.spent + c <= 20000 else list_contains(held, op) end ok
+            from r join e on e.user_id = r.user_id and e.n = r.n + 1))
+        select pos, ok as accepted, spent from r where n > 0""",
 }
 
 QUERIES = {f.__name__: f for f in (

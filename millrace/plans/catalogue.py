@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import accounts, texts, web
+from millrace.plans import accounts, details, texts, web
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**web.QUERIES, **texts.QUERIES, **accounts.QUERIES}
+    return {**web.QUERIES, **texts.QUERIES, **accounts.QUERIES, **details.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**web.SQL, **texts.SQL, **accounts.SQL}
+    return {**web.SQL, **texts.SQL, **accounts.SQL, **details.SQL}

@@ -155,9 +155,23 @@ def word_lines_layout(spark, sf_dir):
 
 _WORDS = r"list_filter(regexp_split_to_array({t}, '\s+'), lambda w: w <> '')"
 
+#: DuckDB's side of collapsing blocks of up to twelve lines that repeat at once: lined(id, lines) to collapsed(id, lines).
+COLLAPSED = """
+steps(id, n, out) as (
+  select id, 0::bigint, []::varchar[] from lined union all
+  select id, n + s * k, list_concat(out, case when len(list_distinct(block)) = 1 then block[1:1] else block end) from (
+    select *, l[n + 1:n + s] block, case when found is null then 1 else coalesce(list_position(list_transform(range(1, (len(l) - n) // s + 1), lambda k: l[n + (k - 1) * s + 1:n + k * s] = l[n + 1:n + s]), false) - 1, (len(l) - n) // s) end k
+    from (select *, coalesce(found, 1) s from (
+      select steps.id, n, out, lines l, list_max(list_filter(range(1, least(12, (len(lines) - n) // 2) + 1), lambda s: lines[n + 1:n + s] = lines[n + s + 1:n + 2 * s]
+        and len(list_filter(lines[n + 1:n + s], lambda x: trim(x) <> '')) > 0 and not (s = 1 and starts_with(ltrim(lines[n + 1]), '|')))) found
+      from steps join lined on lined.id = steps.id where n < len(lines))))
+),
+collapsed as (select steps.id, out as lines from steps join lined on lined.id = steps.id where n >= len(lined.lines))"""
+
 SQL = {
+    "repeat_blocks": f"with recursive lined as (select doc_id id, string_split(text, chr(10)) lines from documents), {COLLAPSED} select doc_id, len(string_split(text, chr(10))) as lines, len(collapsed.lines) as kept from documents join collapsed on id = doc_id",
     "word_count": f"select doc_id, len({_WORDS.format(t='text')}) as n_words from documents",
-    "sentence_split": r"""with s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(trim(text, e' \t\n\r\f\v'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, e' \t\n\r\f\v')), lambda x: x <> '') s from documents)
+    "sentence_split": r"""with s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') s from documents)
         select doc_id, i - 1 as pos, s[i] as sentence from (select *, unnest(range(1, len(s) + 1)) i from s)""",
     "label_sanitize": r"select doc_id, rtrim(substr(trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0a-\x1f\x7f-\x{9f}]', '', 'g'), '\s+', ' ', 'g')), 1, 64)) as label from documents",
     "metric_probe": f"""with l as (select doc_id, unnest(string_split(text, chr(10))) t from documents), w as (select doc_id, {_WORDS.format(t='t')} w from l)
@@ -165,7 +179,7 @@ SQL = {
     "array_truncate": """with a as (select l_suppkey, list(l_quantity::int order by l_orderkey, l_linenumber, l_quantity::int) a from lineitem group by 1)
         select l_suppkey, case when len(a) >= 64 then 'data: ' || array_to_string(a[1:16], ', ') || ', ... [truncated ' || (len(a) - 16) || ' of ' || len(a) || ' values]' else 'data: ' || array_to_string(a, ', ') end as truncated,
         case when len(a) >= 64 then len(a) end as n from a""",
-    "pack_documents": r"""with s as (select doc_id, list_transform(list_filter(string_split(regexp_replace(trim(text, e' \t\n\r\f\v'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, e' \t\n\r\f\v') <> ''), lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> ''))) c from documents),
+    "pack_documents": r"""with s as (select doc_id, list_transform(list_filter(string_split(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''), lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> ''))) c from documents),
         f as (select doc_id, list_reduce(list_transform(c, lambda n: {'done': []::bigint[], 'held': n}), lambda a, x:
             case when x.held > 128 then {'done': list_concat(a.done, case when a.held > 0 then [a.held] else [] end, [x.held]), 'held': 0::bigint}
               when a.held + x.held > 128 then {'done': list_concat(a.done, case when a.held > 0 then [a.held] else [] end), 'held': x.held}
@@ -176,9 +190,25 @@ SQL = {
         y as (select *, lag(line) over (partition by doc_id order by pos) p from x) select doc_id, pos, line from y where p is null or p <> line""",
     "content_dedup_first": "select sha256(text) as digest, min(doc_id) as doc_id, count(*) as copies from documents group by 1",
     "boilerplate_lines": "with l as (select source, doc_id, unnest(string_split(text, chr(10))) line from documents) select source, line, count(distinct doc_id) as docs from l where trim(line) <> '' group by 1, 2 having count(distinct doc_id) >= 3",
-    "benchmark_overlap": f"""with i as (select distinct item_id, unnest(list_filter({_WORDS.format(t='lower(text)')}, lambda w: length(w) >= 8)) w from benchmark), n as (select item_id, count(*) n from i group by 1),
-        d as (select distinct doc_id, unnest(list_filter({_WORDS.format(t='lower(text)')}, lambda w: length(w) >= 8)) w from documents), k as (select doc_id, item_id, count(*) k from d join i using (w) group by 1, 2)
+    "benchmark_overlap": f"""with i as (select distinct item_id, unnest(list_filter({_WORDS.format(t='lower(text)')}, lambda w: length(w) >= 4)) w from benchmark), n as (select item_id, count(*) n from i group by 1),
+        d as (select distinct doc_id, unnest(list_filter({_WORDS.format(t='lower(text)')}, lambda w: length(w) >= 4)) w from documents), k as (select doc_id, item_id, count(*) k from d join i using (w) group by 1, 2)
         select doc_id, item_id, k, n from k join n using (item_id) where 2 * k >= n""",
+    "content_dedup_fold": """with recursive e as (select doc_id // 100 job, doc_id pos, 'u' || doc_id % 90 u, sha256(text) h, row_number() over (partition by doc_id // 100 order by doc_id) n from documents),
+        r as (select job, 0::bigint n, null::bigint pos, null::boolean again, []::varchar[] seen from (select distinct job from e) union all
+          select e.job, e.n, e.pos, list_contains(seen, u) or list_contains(seen, h), case when list_contains(seen, u) or list_contains(seen, h) then seen else list_concat(seen, [u, h]) end from r join e on e.job = r.job and e.n = r.n + 1)
+        select job as job_id, pos, again as is_duplicate from r where n > 0""",
+    "format_round_trips": "select r_regionkey, 'key,name' || chr(13) || chr(10) || r_regionkey || ',' || r_name || chr(13) || chr(10) as as_csv, true as yaml_same, r_name as xml_name, r_name as toml_name from region",
+    "chunk_documents": r"""with s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') s from documents),
+        f as (select doc_id, list_reduce(list_transform(s, lambda x: {'done': []::varchar[][], 'held': [x], 'n': len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> ''))}), lambda a, x:
+            case when x.n > 128 then {'done': list_concat(a.done, [a.held, x.held]), 'held': []::varchar[], 'n': 0::bigint}
+              when len(a.held) > 0 and a.n + x.n > 128 then {'done': list_append(a.done, a.held), 'held': [a.held[-1], x.held[1]], 'n': len(list_filter(regexp_split_to_array(a.held[-1], '\s+'), lambda w: w <> '')) + x.n}
+              else {'done': a.done, 'held': list_concat(a.held, x.held), 'n': a.n + x.n} end, {'done': []::varchar[][], 'held': []::varchar[], 'n': 0::bigint}) r from s),
+        c as (select doc_id, list_filter(list_transform(list_append(r.done, r.held), lambda h: array_to_string(h, ' ')), lambda t: t <> '') c from f)
+        select doc_id, i - 1 as chunk_index, len(list_filter(regexp_split_to_array(c[i], '\s+'), lambda w: w <> '')) as word_count, sha256(c[i]) as text_sha256 from (select *, unnest(range(1, len(c) + 1)) i from c)""".replace("\\\\", "\\"),
+    "word_lines_layout": """with w as (select doc_id doc, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') w from documents), r as (select doc, w, unnest(range(0, (len(w) + 9) // 10)) r, len(w) > 20 as has_head from w),
+        l as (select doc, r // 30 + 1 page, r % 30 line, array_to_string(w[r * 10 + 1:r * 10 + 10], ' ') as text, w[1:10] head, r = 0 and has_head as first from r),
+        n as (select doc, max(page) pages from l group by 1 having max(page) >= 3), h as (select l.doc, text from l join n using (doc) group by l.doc, text, pages having count(distinct page) >= greatest(2, floor(pages * 0.6)))
+        select doc, page, line, text, (first and length(text) >= 3 and regexp_matches(text, '\\p{L}') and len(list_filter(head, lambda x: length(x) > 1)) > 0)::bigint as level from l anti join h using (doc, text)""",
     "label_semi": "select doc_id, lang from documents where exists (select 1 from labels l where l.doc_id = documents.doc_id and toxic = 1)",
     "label_anti": "select doc_id, lang from documents where not exists (select 1 from labels l where l.doc_id = documents.doc_id)",
     "conversation_render": "select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as rendered, count(*) as turns from conversations group by 1",
@@ -186,7 +216,7 @@ SQL = {
     "nation_table": """with w as (select n_regionkey, greatest(length('n_nationkey'), max(length(n_nationkey::varchar))) a, greatest(length('n_name'), max(length(n_name))) b from nation group by 1)
         select n.n_regionkey, '| ' || rpad('n_nationkey', any_value(a)::int, ' ') || ' | ' || rpad('n_name', any_value(b)::int, ' ') || ' |' || chr(10) || '|' || repeat('-', any_value(a)::int + 2) || '|' || repeat('-', any_value(b)::int + 2) || '|' || chr(10)
           || string_agg('| ' || rpad(n_nationkey::varchar, a::int, ' ') || ' | ' || rpad(n_name, b::int, ' ') || ' |', chr(10) order by n_nationkey) as "table" from nation n join w using (n_regionkey) group by 1""",
-    "code_fences": "select doc_id, greatest(3, case when doc_id % 6 > 0 then doc_id % 6 + 1 else 0 end, coalesce(list_max(list_transform(regexp_extract_all(substr(text, 1, 20), '`+'), lambda x: length(x))), 0) + 1)::bigint as fence from documents",
+    "code_fences": "select doc_id, greatest(3, case when doc_id % 6 > 0 then doc_id % 6 + 1 else 0 end, coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0) + 1)::bigint as fence from documents",
     "error_truncate": r"""with m as (select doc_id, text, chr(10) || chr(10) || '... [' || (length(text) - 1000) || ' characters omitted] ...' || chr(10) || chr(10) as m from documents)
         select doc_id, case when length(text) <= 1000 then text else substr(text, 1, floor((1000 - length(m)) * 0.6)::int) || m || right(text, 1000 - length(m) - floor((1000 - length(m)) * 0.6)::int) end as message from m""",
 }
