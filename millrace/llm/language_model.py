@@ -36,27 +36,43 @@ TAIL = np.uint64(1 << 63)
 
 
 def packed(a: np.ndarray, delta: bool = False) -> bytes:
-    """Non-negative integers in as few bytes as their largest needs (of their steps, if they ascend), compressed."""
+    """Non-negative integers in as few bytes as their largest needs (of their steps, if they ascend), first all lowest bytes, then the next, compressed."""
     a = a.astype(np.uint64)
     if delta and len(a):
         a = np.concatenate([a[:1], np.diff(a)])
     top = int(a.max()) if len(a) else 0
     kind = "B" if top < 1 << 8 else "H" if top < 1 << 16 else "I" if top < 1 << 32 else "Q"
-    a = a.astype(kind)
-    if kind == "Q":  # byte by byte, as places and hashes mix
-        a = a.view(np.uint8).reshape(-1, 8).T
-    return kind.encode() + zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+    return kind.encode() + _planes(a.astype(f"<{kind}"))
+
+
+def _planes(a: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
+
+
+def _unplaned(raw: bytes, kind: str) -> np.ndarray:
+    plain = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(plain.T).view(kind).ravel()
 
 
 def unpacked(raw: bytes, delta: bool = False) -> np.ndarray:
-    kind, plain = raw[:1].decode(), zstandard.ZstdDecompressor().decompress(raw[1:])
-    if kind == "Q":
-        a = np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-    else:
-        a = np.frombuffer(plain, kind).astype(np.uint64)
+    a = _unplaned(raw[1:], f"<{raw[:1].decode()}").astype(np.uint64)
     return np.cumsum(a, dtype=np.uint64) if delta else a
 
 
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Ids of words: places, which are small where words are frequent, apart from the hashes of words that have none."""
+    other = ids >= TAIL
+    places = _planes(np.where(other, np.uint64(0xFFFFFFFF), ids).astype("<I"))
+    return len(places).to_bytes(4, "little") + places + zstandard.ZstdCompressor(level=1).compress(ids[other].tobytes())
+
+
+def unpacked_ids(raw: bytes) -> np.ndarray:
+    end = 4 + int.from_bytes(raw[:4], "little")
+    ids = _unplaned(raw[4:end], "<I").astype(np.uint64)
+    ids[ids == np.uint64(0xFFFFFFFF)] = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[end:]), np.uint64)
+    return ids
+
+
 def discounts(n: np.ndarray) -> np.ndarray:
     """Katz's d_0..d_LOW from counts of counts n_0..n_(LOW+1); where Good-Turing gives nothing usable, (r - 1/2) / r."""
     d = np.ones(LOW + 1)
@@ -69,9 +85,10 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Lexicon:
-    """The words broadcast and the unigram model. Places: the words by hash, then end, rare class, start. Pooled: all other words are of the class."""
+    """The words broadcast and the unigram model. Places: the words, the most frequent first, then end, rare class, start. Pooled: all other words are of the class."""
 
-    hashes: np.ndarray
+    hashes: np.ndarray  # ascending
+    ranks: np.ndarray  # their places
     counts: np.ndarray  # by place; of start and end the number of texts
     p1: np.ndarray  # by place; 0 for start
     total: int
@@ -155,8 +172,10 @@ def lexicon(train: DataFrame, bound: int, pooled: bool) -> tuple[Lexicon, DataFr
     least = int(of[fits][-1, 0]) if fits.any() else (int(of[0, 0]) + 1 if len(of) else 1)
     top = words.where(F.col("c") >= least).toPandas()
     h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    order = np.argsort(h)
-    h, c = h[order], c[order]
+    by_count, order = np.lexsort((h, -c)), np.argsort(h)
+    ranks = np.empty(len(h), np.uint64)
+    ranks[by_count] = np.arange(len(h), dtype=np.uint64)
+    h, ranks, c = h[order], ranks[order], c[by_count]
     total, types = int((of[:, 0] * of[:, 1]).sum()) + texts, int(of[:, 1].sum()) + (texts > 0)
     n = np.zeros(LOW + 2, np.int64)
     for r, k in of:
@@ -165,7 +184,7 @@ def lexicon(train: DataFrame, bound: int, pooled: bool) -> tuple[Lexicon, DataFr
     if 0 < texts <= LOW + 1:
         n[texts] += 1
     down = discounts(n)
-    lex = Lexicon(h, np.concatenate([c, [texts, 0, texts]]), np.empty(0), total, types, down, 0.0, 1.0)
+    lex = Lexicon(h, ranks, np.concatenate([c, [texts, 0, texts]]), np.empty(0), total, types, down, 0.0, 1.0)
     below = of[of[:, 0] < least]
     lex.counts[lex.rare] = int((below[:, 0] * below[:, 1]).sum())
     lex.rare_weight = float((lex.weight(below[:, 0]) * below[:, 1]).sum())
@@ -193,7 +212,7 @@ def _dealt(lex: Lexicon, parts: int):
         for a, b in zip(bounds, [*bounds[1:], len(order)], strict=True):
             own = order[a:b]  # keys stay in order
             yield {
-                "part": int(part[own[0]]), "kind": kind, "block": block, "keys": packed(keys[own], delta=True), "words": b"" if targets is None else packed(targets[own]), "counts": packed(counts[own]),
+                "part": int(part[own[0]]), "kind": kind, "block": block, "keys": packed_ids(keys[own]) if kind == 0 else packed(keys[own], delta=True), "words": b"" if targets is None else packed_ids(targets[own]), "counts": packed(counts[own]),
                 "lens": packed(lens[own]), "docs": packed(docs[_spread(starts[own], lens[own])]), "extra": b"",
             }
 
@@ -213,7 +232,7 @@ def _dealt(lex: Lexicon, parts: int):
         distinct, inverse = np.unique(words, return_inverse=True)
         at = np.minimum(np.searchsorted(lex.hashes, distinct), max(0, len(lex.hashes) - 1))
         other = lex.hashes[at] != distinct if len(lex.hashes) else np.ones(len(distinct), bool)
-        place = np.where(other, np.uint64(lex.rare) if lex.pooled else distinct | TAIL, at.astype(np.uint64))
+        place = np.where(other, np.uint64(lex.rare) if lex.pooled else distinct | TAIL, lex.ranks[at] if len(lex.ranks) else np.uint64(0))
         glob, loc = np.unique(np.concatenate([place, np.array([lex.end, lex.start], np.uint64)]), return_inverse=True)
         end, start = loc[-2:]
         ids = np.empty(len(words) + len(held), np.int64)
@@ -281,12 +300,12 @@ def _merged(lex: Lexicon, rows: int = 300_000):
             own = pdf[pdf["kind"] == kind]
             if not len(own):
                 continue
-            keys = np.concatenate([unpacked(x, delta=True) for x in own["keys"]])
+            keys = np.concatenate([unpacked_ids(x) if kind == 0 else unpacked(x, delta=True) for x in own["keys"]])
             counts = np.concatenate([unpacked(x) for x in own["counts"]]).astype(np.int64)
             lens = np.concatenate([unpacked(x) for x in own["lens"]]).astype(np.int64)
             blocks = np.unique(own["block"].to_numpy(np.int64))
             slots = np.concatenate([unpacked(d).astype(np.int64) + (int(np.searchsorted(blocks, b)) << 16) for d, b in zip(own["docs"], own["block"], strict=True)])
-            targets = np.concatenate([unpacked(x) for x in own["words"]]) if kind == 0 else np.zeros(len(keys), np.uint64)
+            targets = np.concatenate([unpacked_ids(x) for x in own["words"]]) if kind == 0 else np.zeros(len(keys), np.uint64)
             order = np.lexsort((targets, keys)) if kind == 0 else np.argsort(keys, kind="stable")
             slots = slots[_spread((np.cumsum(lens) - lens)[order], lens[order])]
             h, w = keys[order], targets[order]
@@ -306,7 +325,7 @@ def _merged(lex: Lexicon, rows: int = 300_000):
                 first = ends[a - 1] if a else 0
                 # slots count blocks by their place in extra
                 out.append({
-                    "kind": kind, "keys": packed(h[a:b], delta=True), "words": packed(w[a:b]) if kind == 0 else b"", "counts": packed(c[a:b]), "lens": packed(n[a:b]),
+                    "kind": kind, "keys": packed_ids(h[a:b]) if kind == 0 else packed(h[a:b], delta=True), "words": packed_ids(w[a:b]) if kind == 0 else b"", "counts": packed(c[a:b]), "lens": packed(n[a:b]),
                     "slots": packed(slots[first : ends[b - 1]]), "extra": packed(blocks, delta=True), "ones": ones.tolist(),
                 })
                 a = b
@@ -321,7 +340,7 @@ def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The words of a row's pairs that are not broadcast."""
     for pdf in batches:
         for row, raw in zip(pdf["row"], pdf["words"], strict=True):
-            w = unpacked(raw)
+            w = unpacked_ids(raw)
             yield pd.DataFrame({"row": row, "id": np.unique(w[w >= TAIL]).view(np.int64)})
 
 
@@ -337,7 +356,7 @@ def _hot_sums(lex: Lexicon):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for raw_h, raw_w, raw_c in zip(pdf["keys"], pdf["words"], pdf["counts"], strict=True):
-                h, w, c = unpacked(raw_h, delta=True), unpacked(raw_w), unpacked(raw_c).astype(np.int64)
+                h, w, c = unpacked_ids(raw_h), unpacked_ids(raw_w), unpacked(raw_c).astype(np.int64)
                 use = lex.is_hot(h) & (c > 0)
                 h, w, c = h[use].astype(np.int64), w[use], c[use]
                 both, tail = lex.is_hot(w), w >= TAIL
@@ -455,7 +474,7 @@ def _scored(lex: Lexicon, wt: Weights):
                     continue
                 c, n, s = (unpacked(x).astype(np.int64) for x in (counts, lens, slots))
                 tail_ids, tail_counts = (unpacked(tail[0], delta=True), unpacked(tail[1]).astype(np.int64)) if tail[0] is not None else (np.empty(0, np.uint64), np.empty(0, np.int64))
-                values = [pairs(unpacked(keys, delta=True), unpacked(words), c, tail_ids, tail_counts)] if kind == 0 else [lex.rare_log(c), lex.base_log(c), (c > 0).astype(float)]
+                values = [pairs(unpacked_ids(keys), unpacked_ids(words), c, tail_ids, tail_counts)] if kind == 0 else [lex.rare_log(c), lex.base_log(c), (c > 0).astype(float)]
                 held[kind][0].append((unpacked(extra, delta=True).astype(np.int64)[s >> 16] << 16) | (s & 0xFFFF))
                 for to, v in zip(held[kind][1:], values, strict=True):
                     to.append(np.repeat(v, n))
