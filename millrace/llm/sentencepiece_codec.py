@@ -3,10 +3,12 @@
 The best segmentation of a text is a longest path: state j at a cut says that the piece across it ends j characters
 beyond. A chunk maps the states at its left cut to those at its right cut by a matrix of best scores;
 matrices combine associatively by (max, +). A giant text is cut into chunks: their matrices are made in
-parallel, combined by spans of chunks and then over the spans, which settles the state at every cut, and each
-chunk is traced back on its own. Texts below the limit are one chunk and need none of that.
+parallel, combined by spans of chunks and then over the spans, which gives the best score of every state at every cut. From these each
+chunk finds, on its own, the state at its left cut to which each state at its right one leads back; these maps too combine
+associatively, which settles the states, and each chunk is traced back on its own. Texts below the limit are one chunk and need none of that.
 
-Ids are those of the best segmentation under the file's piece scores; decoding gives every text back exactly.
+Ids are those of the best segmentation under the file's piece scores, ties told apart alike in one chunk and in many; decoding gives every text
+back exactly.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import lean, staged
+from millrace.llm.common import lean, staged, unused
 from millrace.llm.unigram import NEVER as UNREACHED
 from millrace.llm.unigram import Pieces, byte_table, joined, pieces
 
@@ -80,18 +82,45 @@ def transfer(p: Pieces, text: str, size: int) -> np.ndarray:
     return out
 
 
-def traced(p: Pieces, text: str, size: int, start: int, end: int) -> np.ndarray:
-    """Ids of the best path through a chunk between two states."""
+def _starts(row: np.ndarray) -> dict[int, int]:
+    return {int(i): int(row[i]) for i in np.flatnonzero(row > NEVER // 2)}
+
+
+def _traced_back(p: Pieces, text: str, size: int, row: np.ndarray):
+    """back(end): where the best path to a state at the right cut begins, None for a state no path reaches; ids(end): its ids."""
     cut = None if p.crossing else _cuts(p, text, size, p.longest)
-    if not cut or start > cut[0]:
-        _, piece, back = p.forward(text, {start: 0}, size)
-        return np.array(p.walk(text, piece, back, size + end, start), np.int32)
-    first, last, spans = cut
-    _, piece, back = p.forward(text[:first], {start: 0}, first)
-    head = p.walk(text[:first], piece, back, first, start)
-    _, piece, back = p.forward(text[last:], {0: 0}, size - last)
-    tail = p.walk(text[last:], piece, back, size + end - last, 0)
-    return np.concatenate([np.array(head, np.int32), np.frombuffer(b"".join(p.best(s)[1] for s in spans), np.int32), np.array(tail, np.int32)])
+    starts = _starts(row)
+    first, last, spans = cut if cut else (size, 0, [])
+    best, piece, back = p.forward(text[:first] if cut else text, starts, first)
+
+    def begin(back: list[int], at: int) -> int:
+        while back[at] >= 0:
+            at = back[at]
+        return at
+
+    if not cut:
+        reach = lambda end: begin(back, size + end) if size + end < len(best) and best[size + end] != UNREACHED else None
+        return reach, lambda end: np.array(p.walk(text, piece, back, size + end, reach(end)), np.int32)
+    start = begin(back, first)
+    tail_best, tail_piece, tail_back = p.forward(text[last:], {0: 0}, size - last)
+    reach = lambda end: start if size - last + end < len(tail_best) and tail_best[size - last + end] != UNREACHED else None
+
+    def ids(end: int) -> np.ndarray:
+        head, tail = p.walk(text[:first], piece, back, first, start), p.walk(text[last:], tail_piece, tail_back, size + end - last, 0)
+        return np.concatenate([np.array(head, np.int32), np.frombuffer(b"".join(p.best(s)[1] for s in spans), np.int32), np.array(tail, np.int32)])
+
+    return reach, ids
+
+
+def leads_back(p: Pieces, text: str, size: int, row: np.ndarray) -> np.ndarray:
+    """For each state at a chunk's end the state at its start that the best path comes from, by the best scores of states there; -1 where there is none."""
+    reach, _ = _traced_back(p, text, size, row)
+    return np.array([-1 if (s := reach(j)) is None else s for j in range(p.longest)], np.int32)
+
+
+def traced(p: Pieces, text: str, size: int, row: np.ndarray, end: int) -> np.ndarray:
+    """Ids of the best path through a chunk to a state at its end."""
+    return _traced_back(p, text, size, row)[1](end)
 
 
 def chunks(text: str, size: int, width: int) -> Iterator[tuple[int, str, int]]:
@@ -101,32 +130,35 @@ def chunks(text: str, size: int, width: int) -> Iterator[tuple[int, str, int]]:
         yield k, text[at : at + size + width], min(size, len(text) - at)
 
 
-def scan(matrices: list[np.ndarray], start: int = 0, end: int = 0) -> list[int]:
-    """States at all cuts of a row of chunks, from the state before the first to that after the last."""
-    rows = [np.full(matrices[0].shape[0], NEVER, np.int64)]
-    rows[0][start] = 0
-    for m in matrices:
+def first_row(width: int) -> np.ndarray:
+    """Before a text only the state without a piece across is there."""
+    row = np.full(width, NEVER, np.int64)
+    row[0] = 0
+    return row
+
+
+def scan(matrices: list[np.ndarray], row: np.ndarray) -> list[np.ndarray]:
+    """Best scores of the states at all cuts of a row of chunks, the first of them given; one less than there are cuts, as the last needs none."""
+    rows = [row]
+    for m in matrices[:-1]:
         rows.append(_level(np.maximum((rows[-1][:, None] + m).max(axis=0), NEVER)))
-    states = [end]
-    for row, m in zip(reversed(rows[:-1]), reversed(matrices), strict=True):
-        states.append(int(np.argmax(row + m[:, states[-1]])))
-    return states[::-1]
+    return rows
 
 
-def _ids(path: str, text: int, batch_chars: int = 2_000_000):
+def _ids(path: str, text: int, merges: bool = False, batch_chars: int = 2_000_000):
     """Adds a column of ids; text is the place of the text's column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for batch in batches:
-            at, texts, names = 0, batch.column(text), [*batch.schema.names, "__ids"]
+            at, texts, names = 0, batch.column(text), [*batch.schema.names, "\0ids"]
             while at < len(texts):  # so many characters at a time
                 some, size, begun = [], 0, at
                 while at < len(texts) and size < batch_chars:
                     some.append(texts[at].as_py() or "")
                     size += len(some[-1])
                     at += 1
-                ids = p.encode_all(some)
+                ids = p.merged_all(some) if merges else p.encode_all(some)
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
                 part = batch.slice(begun, at - begun)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))], names)
@@ -166,64 +198,107 @@ def _span_product(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sha": [pdf["sha"].iat[0]], "span": [pdf["span"].iat[0]], "m": [m.tobytes()]})
 
 
-def _span_states(pdf: pd.DataFrame) -> pd.DataFrame:
+def _frame(pdf: pd.DataFrame, **columns) -> pd.DataFrame:
+    return pd.DataFrame({"sha": pdf["sha"], **columns})
+
+
+def _span_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Best scores at the start of every span of chunks of a text."""
     pdf = pdf.sort_values("span")
-    states = scan([_load(x) for x in pdf["m"]])
-    return pd.DataFrame({"sha": pdf["sha"], "span": pdf["span"], "first": states[:-1], "last": states[1:]})
+    matrices = [_load(x) for x in pdf["m"]]
+    return _frame(pdf, span=pdf["span"], row=[r.tobytes() for r in scan(matrices, first_row(len(matrices[0])))])
 
 
-def _chunk_states(pdf: pd.DataFrame) -> pd.DataFrame:
+def _chunk_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The same at the start of every chunk of a span."""
     pdf = pdf.sort_values("k")
-    states = scan([_load(x) for x in pdf["m"]], int(pdf["first"].iat[0]), int(pdf["last"].iat[0]))
-    return pd.DataFrame({"sha": pdf["sha"], "k": pdf["k"], "first": states[:-1], "last": states[1:]})
+    return _frame(pdf, k=pdf["k"], row=[r.tobytes() for r in scan([_load(x) for x in pdf["m"]], np.frombuffer(pdf["row"].iat[0], np.int64))])
+
+
+def _maps(path: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = pieces(path)
+        for pdf in batches:
+            made = [leads_back(p, t, n, np.frombuffer(row, np.int64)).tobytes() for t, n, row in zip(pdf["text"], pdf["size"], pdf["row"], strict=True)]
+            yield _frame(pdf, k=pdf["k"], row=pdf["row"], back=made)
+
+    return run
+
+
+def _span_map(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Where each state at the end of a span leads back to at its start."""
+    found = None
+    for raw in pdf.sort_values("k", ascending=False)["back"]:
+        back = np.frombuffer(raw, np.int32)
+        found = back if found is None else np.where(found >= 0, back[np.maximum(found, 0)], -1)
+    return pd.DataFrame({"sha": [pdf["sha"].iat[0]], "span": [pdf["span"].iat[0]], "back": [found.astype(np.int32).tobytes()]})
+
+
+def _ends(by: str, first: str | None):
+    """The state at the end of every span of a text, or every chunk of a span, from the one at the end of all (first: its column; 0 without)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(by, ascending=False)
+        end, ends = int(pdf[first].iat[0]) if first else 0, []
+        for raw in pdf["back"]:
+            ends.append(end)
+            end = int(np.frombuffer(raw, np.int32)[end])
+        return _frame(pdf, **{by: pdf[by], "last": ends})
+
+    return run
 
 
 def _trace(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(path)
         for pdf in batches:
-            ids = [traced(p, t, n, a, b) for t, n, a, b in zip(pdf["text"], pdf["size"], pdf["first"], pdf["last"], strict=True)]
-            yield pd.DataFrame({"sha": pdf["sha"], "k": pdf["k"], "ids": ids})
+            ids = [traced(p, t, n, np.frombuffer(row, np.int64), b) for t, n, row, b in zip(pdf["text"], pdf["size"], pdf["row"], pdf["last"], strict=True)]
+            yield _frame(pdf, k=pdf["k"], ids=ids)
 
     return run
 
 
 def giant_ids(texts: DataFrame, model: str, chunk: int = CHUNK, span: int = SPAN) -> DataFrame:
-    """(sha, ids) for distinct texts (sha, text), by the scan."""
+    """(sha, ids) for texts (sha, text), not empty, by the scan; rows that repeat a sha are one text. Other columns are not read; no rows give none."""
     width = pieces(model).longest
     if chunk <= 2 * width:
         raise ValueError("a chunk must be longer than two of the longest pieces")
+    by = ["sha", "span"]
+    spanned = F.floor(F.col("k") / span)
     cut = staged(texts.mapInPandas(_cut_up(chunk, width), "sha string, k long, text string, size int").dropDuplicates(["sha", "k"]), "chunks")
-    made = staged(cut.mapInPandas(_matrices(model), "sha string, k long, m binary").withColumn("span", F.floor(F.col("k") / span)), "matrices")
-    product = made.groupBy("sha", "span").applyInPandas(_span_product, "sha string, span long, m binary")
-    edges = product.groupBy("sha").applyInPandas(_span_states, "sha string, span long, first int, last int")
-    states = made.join(edges, ["sha", "span"]).groupBy("sha", "span").applyInPandas(_chunk_states, "sha string, k long, first int, last int")
-    ids = cut.join(states, ["sha", "k"]).select("sha", "k", "text", "size", "first", "last").mapInPandas(_trace(model), "sha string, k long, ids array<int>")
+    made = staged(cut.mapInPandas(_matrices(model), "sha string, k long, m binary").withColumn("span", spanned), "matrices")
+    edges = made.groupBy(*by).applyInPandas(_span_product, "sha string, span long, m binary").groupBy("sha").applyInPandas(_span_rows, "sha string, span long, row binary")
+    rows = made.join(edges, by).groupBy(*by).applyInPandas(_chunk_rows, "sha string, k long, row binary")
+    maps = staged(cut.join(rows, ["sha", "k"]).mapInPandas(_maps(model), "sha string, k long, row binary, back binary").withColumn("span", spanned), "maps")
+    ends = maps.groupBy(*by).applyInPandas(_span_map, "sha string, span long, back binary").groupBy("sha").applyInPandas(_ends("span", None), "sha string, span long, last int")
+    ends = maps.join(ends, by).groupBy(*by).applyInPandas(_ends("k", "last"), "sha string, k long, last int")
+    ids = cut.join(maps.select("sha", "k", "row"), ["sha", "k"]).join(ends, ["sha", "k"]).mapInPandas(_trace(model), "sha string, k long, ids array<int>")
     return ids.groupBy("sha").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", chunk: int = CHUNK, giant: int = GIANT) -> DataFrame:
+def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", chunk: int = CHUNK, giant: int = GIANT, merges: bool = False) -> DataFrame:
     """docs with ids_col (array<int>) at their end; a column of that name in docs is replaced.
 
     Null and empty texts give an empty array. Repeated texts, rows and ids are encoded alike; an empty table stays empty.
-    Other columns pass through untouched.
+    Other columns pass through untouched, whatever their names. merges: the ids that the file's own kind of model gives (those its owner gets from a
+    BPE file), each text in one piece; such a model may fold or drop characters, so decoding need not give the text back.
     """
     kept = [c for c in docs.columns if c != ids_col]
-    docs = docs.select(*kept)
-    long = F.coalesce(F.length(text_col) > giant, F.lit(False))
-    schema = T.StructType([*docs.schema.fields, T.StructField("__ids", T.ArrayType(T.IntegerType()))])
+    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
+    long = F.coalesce(F.length(text_col) > giant, F.lit(False)) if not merges else F.lit(False)
+    own, key, scanned = unused(docs, "ids", "key", "scanned")
+    schema = T.StructType([*docs.schema.fields, T.StructField(own, T.ArrayType(T.IntegerType()))])
     # the column's own name may be taken inside, so it gets its name outside
-    short = docs.where(~long).mapInArrow(lean(_ids(model, kept.index(text_col)), pieces.cache_clear), schema).toDF(*kept, ids_col)
-    some = docs.where(long).withColumn("__key", F.sha2(F.col(text_col), 256))
-    if not some.take(1):
+    short = docs.where(~long).mapInArrow(lean(_ids(model, kept.index(text_col), merges), pieces.cache_clear), schema).toDF(*kept, ids_col)
+    some = docs.where(long).withColumn(key, F.sha2(F.col(text_col), 256))
+    if merges or not some.take(1):
         return short
-    by_scan = giant_ids(some.select(F.col("__key").alias("sha"), F.col(text_col).alias("text")), model, chunk)
-    by_scan = by_scan.select(F.col("sha").alias("__scanned"), F.col("ids").alias("__ids"))
-    return short.unionByName(some.join(by_scan, F.col("__key") == F.col("__scanned")).select(*kept, F.col("__ids").alias(ids_col)))
+    by_scan = giant_ids(some.select(F.col(key).alias("sha"), F.col(text_col).alias("text")), model, chunk).toDF(scanned, own)
+    return short.unionByName(some.join(by_scan, F.col(key) == F.col(scanned)).select(*[F.col(f"`{c}`") for c in kept], F.col(own).alias(ids_col)))
 
 
 def decode(docs: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """docs with the text of their ids; null ids give null, none an empty text."""
+    """docs with the text of their ids; null ids give null, none an empty text. Repeated rows are decoded each; an empty table stays empty; a column of the text's name is replaced."""
 
     @F.arrow_udf(T.StringType())
     def texts(ids: pa.Array) -> pa.Array:

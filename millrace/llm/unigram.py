@@ -1,7 +1,7 @@
 """Pieces of a SentencePiece model and the best segmentation of a text into them.
 
-Scores are the file's own, in whole 1/64, each with a small fixed number of its piece added below the last place: sums are
-exact and ties practically never occur. A character that is no piece costs ten more than the worst piece and
+Scores are the file's own, in whole 1/64, so sums are exact. Of equally good segmentations the one counts whose last piece is longest,
+then the one before it, and so on. A character that is no piece costs ten more than the worst piece and
 stands as its UTF-8 bytes' pieces. In keys a space stands for the model's word mark; the mark itself, where a text
 holds it, is a character without a piece, so decoding gives every text back.
 """
@@ -42,7 +42,7 @@ class Pieces:
                 self.byte_id[b], self.bytes_of[i] = i, bytes([b])
             elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
                 text = piece.replace(SPACE, " ")
-                score = (round(max(LEAST, m.get_score(i)) * 64) << 20) + (i * 0x9E3779B97F4A7C15 >> 23 & 0xFFFFF)
+                score = round(max(LEAST, m.get_score(i)) * 64)
                 worst, longest = min(worst, score), max(longest, len(text))
                 crossing |= " " in text.lstrip(" ")
                 used.update(text)
@@ -53,11 +53,11 @@ class Pieces:
                 node[0] = (score, i)
                 if len(text) == 1:
                     self.single[text] = (score, i)
-        self.longest, self.unknown = longest, worst - (10 << 26)
+        self.longest, self.unknown = longest, worst - 640
         #: Spans no piece leaves or enters: the text falls into them, and each has a best segmentation of its own.
         alone = "".join(c for c in "\n\t\r" if c not in used)
         self.span = re.compile(rf" *[^ {alone}]+|[{alone}]| +" if alone else r" *[^ ]+| +") if not crossing else re.compile(r"(?s).+")
-        self.crossing = crossing
+        self.crossing, self.model = crossing, m
         self.cache: dict[str, tuple[int, bytes]] = {}
         self.known: dict[str, bytes] = {}
 
@@ -163,6 +163,10 @@ class Pieces:
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
+    def merged_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids that the file's own kind of model gives (for a BPE file its merges), which may fold or drop characters."""
+        return [np.array(ids, np.int32) for ids in self.model.encode(texts, num_threads=1)]
+
     def decode(self, ids) -> str:
         """The text of ids that encode gave."""
         return joined(self.bytes_of, ids).decode()
