@@ -288,6 +288,26 @@ def test_licences(spark):
     assert license_scan.license_scan(df.limit(0)).count() == 0
 
 
+def test_each_rule_finds_its_licence(spark):
+    """Every rule's sentences give its licence; where a longer rule shares them, the longer one's."""
+    s = license_scan.SENTENCES
+    rows = [(i, "Some words.\n" + "\n".join(s[x] for x in r.sequence) + "\nMore words.") for i, r in enumerate(license_scan.RULES)]
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, r in enumerate(license_scan.RULES):
+        assert list(got[i].licenses) == [r.licence] == brute_licences(rows[i][1])[2] and got[i].n_matches == 1, r
+
+
+def test_licences_from_whole_texts(spark):
+    """Hundreds of sentences and several texts that share some, as a parameter."""
+    shared = "The first sentence that all of them share.\nAnd a second one of these."
+    texts = {f"L-{i}": f"Licence number {i} of many.\n{shared}\n" + "\n".join(f"Clause {k} of licence {i} says this." for k in range(40)) for i in range(12)} | {"L-none": " \n"}
+    table = license_scan.DEFAULT.with_texts(texts)
+    assert len(table.sentences) > 400 and len(table.rules) == len(license_scan.RULES) + 24
+    rows = [(1, texts["L-3"]), (2, "Preface.\n" + "\n".join(texts["L-5"].split("\n")[:10])), (3, shared), (4, texts["L-7"].replace("\nClause 9 ", "\nAn odd line between.\nClause 9 ") + "\nMIT License"), (5, None)]
+    got = {r.doc_id: (list(r.licenses), r.n_matches) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), licences=table).collect()}
+    assert got == {1: (["L-3"], 1), 2: (["L-5"], 1), 3: ([], 0), 4: (["L-7", "MIT"], 2), 5: ([], 0)}
+
+
 def test_licence_plan_has_no_python(spark):
     plan = license_scan.license_scan(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
