@@ -170,6 +170,8 @@ collapsed as (select steps.id, out as lines from steps join lined on lined.id =
 
 SQL = {
     "repeat_blocks": f"with recursive lined as (select doc_id id, string_split(text, chr(10)) lines from documents), {COLLAPSED} select doc_id, len(string_split(text, chr(10))) as lines, len(collapsed.lines) as kept from documents join collapsed on id = doc_id",
+    "tidy_documents": f"""with recursive lined as (select doc_id id, list_filter(string_split(text, chr(10)), lambda l: not (len(list_filter(regexp_split_to_array(l, '\\s+'), lambda w: w <> '')) >= 30 and len(list_distinct(list_filter(regexp_split_to_array(l, '\\s+'), lambda w: w <> ''))) = 1)) lines from documents), {COLLAPSED}
+        select doc_id, sha256(case when trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' then text else trim(regexp_replace(array_to_string(collapsed.lines, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) || chr(10) end) as tidy_sha256 from documents join collapsed on id = doc_id""",
     "word_count": f"select doc_id, len({_WORDS.format(t='text')}) as n_words from documents",
     "sentence_split": r"""with s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') s from documents)
         select doc_id, i - 1 as pos, s[i] as sentence from (select *, unnest(range(1, len(s) + 1)) i from s)""",

@@ -120,7 +120,11 @@ def markdown_page(spark, sf_dir):
 def chunk_pages(spark, sf_dir):
     """Pages to retrieval records: one pass of Arrow batches, no shuffle."""
     p = _pages(spark, sf_dir).withColumn("title", facts.title("html"))
-    return chunking.records(pages.to_markdown(p)).drop("markdown_source", "warnings")
+    m = F.col("metadata")
+    return chunking.records(pages.to_markdown(p)).select(
+        "page_id", "id", "content", m["source_url"].alias("source_url"), m["title"].alias("title"), F.array_join(m["headings_path"], " > ").alias("headings_path"), m["section"].alias("section"),
+        m["word_count"].cast("long").alias("word_count"), m["chunk_index"].cast("long").alias("chunk_index"),
+    )
 
 
 def css_records(spark, sf_dir):
@@ -203,6 +207,25 @@ SQL = {
         select page_id, c.s as source, length(c.m) as n_chars, length(full_) as full_chars from c""",
     "css_records": f"""with recursive {_ARTICLE} select page_id, 0 as pos, '{{"heading": ' || to_json(trim({_TEXT.format(x="h1")})) || ', "paragraphs": [' || array_to_string(list_transform(list_filter(piece.p, lambda x: trim(replace(replace(x, '<b>', ''), '<br>', '')) <> ''),
         lambda x: '{{"text": ' || to_json(trim({_TEXT.format(x="replace(replace(x, '<b>', ''), '<br>', '')")})) || '}}'), ', ') || ']}}' as record from piece""",
+    "distill_pages": f"""select page_id, '{{"title": ' || to_json(trim({_TEXT.format(x="regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")})) || ', "language": "' || regexp_extract(html, '<html lang="([^"]*)"', 1) || '", "price": null}}' as data, 1 as n_records, ['price'] as missing, 'css' as tier from pages""",
+    "page_captures": f"""with recursive {_ARTICLE}, {_CANON}, a as (select bar.page_id, origin, title, hrefs, names, host, regexp_extract(html, '<html lang="([^"]*)"', 1) lang from bar join canon using (page_id) join piece using (page_id)),
+        s as (select page_id, '{{"links": {{"external": [], "internal": [' || array_to_string(list_transform(list_filter(list_zip(hrefs, names, range(1, len(hrefs) + 1)), lambda z: list_position(hrefs, z[1]) = z[3]),
+            lambda z: '{{"base_domain": "' || {_REG.format(h="host")} || '", "href": ' || to_json(origin || z[1]) || ', "text": ' || to_json({_TEXT.format(x="z[2]")}) || ', "title": ""}}'), ', ')
+          || ']}}, "metadata": {{"language": "' || lang || '", "title": ' || to_json(trim({_TEXT.format(x="title")})) || '}}, "structured_data": [], "tables": []}}' s from a)
+        select page_id, sha256('{{"structured": ' || s || ', "text": ' || to_json(markdown) || '}}') as content_hash, length(markdown) as n_chars, length(s) as structured_chars from s join converted using (page_id)""",
+    "chunk_pages": f"""with recursive {_ARTICLE},
+        parts as (select page_id, url, title, section, head, unnest(string_split(body, chr(10) || chr(10))) as body, generate_subscripts(string_split(body, chr(10) || chr(10)), 1) b from (
+          select page_id, converted.url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) title, unnest([{{'n': 0, 't': trim(split_part(chr(10) || markdown, chr(10) || '# ', 1), ' ' || chr(10))}}, {{'n': 1, 't': trim(regexp_extract(chr(10) || markdown, '(?s)\\n# [^\\n]*\\n(.*)$', 1), ' ' || chr(10))}}], recursive := true),
+            regexp_extract(chr(10) || markdown, '\\n# ([^\\n]*)', 1) head from converted) x(page_id, url, title, section, body, head) where body <> ''),
+        atoms as (select page_id, url, title, section, head, list(list_transform(list_filter(string_split(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> ''), lambda x, i: case when i > 1 then ' ' else chr(10) || chr(10) end || x) order by b) bits from parts group by page_id, url, title, section, head),
+        folded as (select page_id, url, title, section, head, list_reduce(list_transform(flatten(bits), lambda x: {{'done': []::varchar[][], 'held': [x], 'n': {_COUNT.format(x="x")}}}), lambda a, x:
+            case when x.n > 512 then {{'done': list_concat(a.done, [a.held, x.held]), 'held': []::varchar[], 'n': 0::bigint}}
+              when len(a.held) > 0 and a.n + x.n > 512 then {{'done': list_append(a.done, a.held), 'held': [a.held[-1], x.held[1]], 'n': {_COUNT.format(x="a.held[-1]")} + x.n}}
+              else {{'done': a.done, 'held': list_concat(a.held, x.held), 'n': a.n + x.n}} end, {{'done': []::varchar[][], 'held': []::varchar[], 'n': 0::bigint}}) r from atoms),
+        cut as (select page_id, url, title, section, head, unnest(list_filter(list_transform(list_append(r.done, r.held), lambda h: trim(array_to_string(h, ''), ' ' || chr(10))), lambda t: t <> '')) as content, generate_subscripts(list_filter(list_transform(list_append(r.done, r.held), lambda h: trim(array_to_string(h, ''), ' ' || chr(10))), lambda t: t <> ''), 1) as c from folded),
+        numbered as (select *, row_number() over (partition by page_id order by section, c) - 1 as i, trim(substr(regexp_replace(title, '\\s+', ' ', 'g'), 1, 512)) t from cut)
+        select page_id, substr(md5(trim(url)), 1, 12) || '-' || format('{{:04d}}', i) as id, content, trim(url) as source_url, t as title, case when section = 1 then head else '' end as headings_path,
+          case when section = 1 then head else '' end as section, {_COUNT.format(x="content")} as word_count, i as chunk_index from numbered""",
     "url_safety": f"with {_CANON} select page_id, scheme in ('http', 'https') and host <> '' and not contains(host, ':') as safe from canon",
     "url_canonical": f"with {_CANON} select page_id, canonical from canon",
     "url_domain": f"""with {_CANON} select page_id, host, {_REG.format(h="host")} as domain,
