@@ -45,14 +45,19 @@ def _delete(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Narrow rows that are worth a task and a file of their own.
+ROWS_A_FILE = 25_000
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage ends here and survives lost executors.
 
+    rows: a bound on its number of narrow rows, where one is known: no more files are written than these are worth.
     The table goes when it is discarded, or when the driver ends, since later lazy results read it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))).write.parquet(path)
     atexit.register(_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
@@ -104,13 +109,13 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def without(docs: DataFrame, marks: DataFrame, id_col: str, mark: Column) -> DataFrame:
+def without(docs: DataFrame, marks: DataFrame, id_col: str, mark: Column, rows: int | None = None) -> DataFrame:
     """docs, with all their columns, less the rows of which marks speak.
 
     marks: (id, mark, stays), one row for each id and mark it speaks of; mark is a hash of a row's text. Where stays holds, one of the rows with
-    that id and mark is left, else none. Ids may be null.
+    that id and mark is left, else none. Ids may be null. rows: a bound on the number of marks.
     """
-    marks = staged(marks, "marks")
+    marks = staged(marks, "marks", rows)
     own, i, m, s = unused(docs, "own", "id", "mark", "stays")
     side = small_side(marks.toDF(i, m, s))
     found = docs.withColumn(own, mark).join(side, F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (F.col(own) == F.col(m)), "left")

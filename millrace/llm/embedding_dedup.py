@@ -198,9 +198,9 @@ def near_duplicate_vectors(
     names = [f.strip().split(" ")[0] for f in out_schema.split(",")]
     found = staged(found.mapInPandas(lambda it: (x[names] for x in run(it)), out_schema), "pairs")
     seams = found.where("seam >= 0").groupBy("seam").applyInPandas(seam, "a long, b long")
-    links = found.where("a is not null").select("a", "b").union(seams).distinct()
-    parts = staged(connected_components(links), "parts")
-    discard(found, centres)
+    links = staged(found.where("a is not null").select("a", "b").union(seams).distinct(), "links")
+    parts = staged(connected_components(links, rows=links.count()), "parts", classes.count())
+    discard(found, centres, links)
     members = classes.join(parts, classes["rep"] == parts["node"]).select("rep", "component", "copies", "vec")
     blocks = parts.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     members = members.join(blocks, "component").withColumn("bucket", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))

@@ -66,7 +66,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     best = F.struct((-F.col("n")).alias("minus_n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "mark")
     decided = lambda rows: rows.groupBy("digest").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
     winners = decided(narrow.join(F.broadcast(frequent(narrow, k)), "digest")).where(F.col("group_size") * F.lit(k) > F.lit(2 * total))
-    winners = F.broadcast(staged(winners, "winners"))  # at most k rows
+    winners = F.broadcast(staged(winners, "winners", k))  # at most k rows
     hot = narrow.join(winners, "digest")
     cold = narrow.join(winners.select("digest"), "digest", "left_anti")
     cold = cold.join(decided(cold), "digest")

@@ -36,13 +36,13 @@ def _beside(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
     return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(rest, "u"))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node of an edge; component is the smallest node reachable.
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
+    """(node, component) for every node of an edge; component is the smallest node reachable. rows: a bound on the number of edges.
 
     Null ends and loops are ignored. No edges give an empty table. Rounds: logarithmic in the longest path.
     """
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = staged(e, "edges")
+    e = staged(e, "edges", rows)
     was = _state(e)
     while was[0]:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -50,7 +50,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = _beside(both, low, 2 * was[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = _lowest(large, F.min("v"))
         small = _beside(large, low, was[0]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        last, e = e, staged(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, e = e, staged(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges", 2 * was[0])
         now = _state(e)
         discard(last)
         if now == was:

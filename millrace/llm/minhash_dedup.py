@@ -168,19 +168,19 @@ def _verified(percent: int):
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int, share: int = 500) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, rows: int, share: int = 500) -> DataFrame:
     """(a, b) of the pairs (hub, node) whose full shingle sets are similar enough.
 
-    A hub's set goes out once for each share of its candidates, not once a pair.
+    A hub's set goes out once for each share of its candidates, not once a pair. rows: the number of pairs.
     """
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(1 << 20)))
     many = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / share).alias("shares"))
     pairs = pairs.join(many, "hub").withColumn("salt", (F.col("salt") % F.col("shares")).cast("int"))
     ask = pairs.select("hub", "salt", F.lit(1).alias("role"), "node")
     hubs = many.select("hub", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("hub").alias("node"))
-    rows = sets.join(small_side(staged(ask.union(hubs), "asked")), "node")
-    rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role").select("hub", "salt", "role", "node", "shingles")
-    return rows.mapInArrow(lean(_verified(percent)), "a long, b long")
+    met = sets.join(small_side(staged(ask.union(hubs), "asked", 2 * rows)), "node")
+    met = met.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role").select("hub", "salt", "role", "node", "shingles")
+    return met.mapInArrow(lean(_verified(percent)), "a long, b long")
 
 
 _BLOCK = ["cluster", "p", "q"]
@@ -283,20 +283,20 @@ def _forest(hit: np.ndarray, one: np.ndarray, two: np.ndarray, same: bool) -> pd
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def across(shared: DataFrame, parts: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, documents: int = 384, shingles_: int = 300_000) -> DataFrame | None:
+def across(shared: DataFrame, parts: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, rows_: int, documents: int = 384, shingles_: int = 300_000) -> DataFrame | None:
     """Links (a, b) between components that some key holds together; None where no key holds two.
 
     A bucket has about documents members and shingles_ shingles, so a task's memory does not depend on the cluster.
     """
     member = shared.select("key", "hub", "node").join(parts.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("key", "hub", "node", F.coalesce("component", "node").alias("part"))
     split = member.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    open_ = staged(member.join(split, "key").select("hub", "node", "part").distinct(), "open")
+    open_ = staged(member.join(split, "key").select("hub", "node", "part").distinct(), "open", rows_)
     if not open_.take(1):
         discard(open_)
         return None
-    clusters = staged(connected_components(open_.where("hub <> node"), "hub", "node"), "clusters").select("node", F.col("component").alias("cluster"))
+    clusters = staged(connected_components(open_.where("hub <> node"), "hub", "node", rows_), "clusters", rows_).select("node", F.col("component").alias("cluster"))
     rows = open_.select("node", "part").distinct().join(clusters, "node").join(classes.select("node", "n"), "node")
-    per = staged(rows.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")), "open-parts")
+    per = staged(rows.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")), "open-parts", rows_)
     main = per.groupBy("cluster").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.max(F.struct("m", "part", "n")).alias("x"), F.sum("m").alias("m"), F.sum("n").alias("n"))
     buckets = lambda m, n: F.ceil(F.greatest(m / documents, n / shingles_)).cast("int")
     main = main.select("cluster", "main", buckets(F.col("x.m"), F.col("x.n")).alias("of_main"), buckets(F.col("m") - F.col("x.m"), F.col("n") - F.col("x.n")).alias("of_rest"))
@@ -321,6 +321,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int, width: in
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")).alias("least")
     classes = some.groupBy("d1", "d2").agg(least, F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("sig", "s1", "s2", "s3")])
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbered once, as it is written
+    many = classes.count()
     keys = classes.select(F.col("node").alias("rep"), "sig").mapInPandas(lean(_indexed), "key long, rep long").withColumnRenamed("rep", "node")
     # members of keys with company, with the key's smallest one: the rest of the index is read no more
     lowest = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").drop("top")
@@ -328,17 +329,18 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int, width: in
     sizes = classes.select("node", "n", "s1", "s2", "s3")
     stars = shared.where("node <> hub").select("hub", "node").distinct().alias("p")
     stars = stars.join(sizes.alias("x"), F.col("p.node") == F.col("x.node")).join(sizes.alias("y"), F.col("hub") == F.col("y.node"))
-    stars = staged(stars.where(_alike("x", "y", percent)).select("hub", "p.node"), "stars")
+    stars = staged(stars.where(_alike("x", "y", percent)).select("hub", "p.node"), "stars", many)
+    n_stars = stars.count()
     wanted = classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("least.id").alias("wanted_id"), F.col("least.mark").alias("wanted_mark"))
-    wanted = small_side(staged(wanted, "wanted"))
+    wanted = small_side(staged(wanted, "wanted", many))
     found = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("mark") == F.col("wanted_mark"))).select("node", "text")
     sets = staged(found.mapInArrow(lean(_sets(width)), "node long, shingles binary"), "sets")
-    first = staged(verify(stars, sets, percent), "links")
-    parts = staged(connected_components(first), "parts")
-    more = across(shared, parts, classes, sets, percent)
+    first = staged(verify(stars, sets, percent, n_stars), "links", n_stars)
+    parts = staged(connected_components(first, rows=n_stars), "parts", many)
+    more = across(shared, parts, classes, sets, percent, many)
     if more is not None:
-        more = staged(more, "links")
-        last, parts = parts, staged(connected_components(first.union(more)), "parts")
+        more = staged(more, "links", many)
+        last, parts = parts, staged(connected_components(first.union(more), rows=n_stars + many), "parts", many)
         discard(more, last)
     discard(shared, stars, sets, first)
     linked = classes.join(parts, "node").select("d1", "d2", "component", "least")

@@ -101,9 +101,11 @@ def _decided(docs: DataFrame, columns: tuple, weights: list[float] | None, most:
     """Narrow rows, ranked; a row a source (source_size, top, target, rate, and of its sample the last bin, what comes before it and the size); the
     rows of last bins, with whether each is taken once more."""
     rows = staged(_narrow(docs, *columns), "sizes")
-    sizes = staged(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.max("w").alias("top")), "source-sizes")
+    many = rows.count()
+    sizes = staged(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.max("w").alias("top")), "source-sizes", many)
+    many = sizes.count()  # of sources
     rows = _levelled(_beside(rows, sizes.select("source", "top")))
-    rates = staged(_rates(rows.drop("top"), source_targets(sizes.select("source", "source_size"), weights, most), most), "rates")
+    rates = staged(_rates(rows.drop("top"), source_targets(sizes.select("source", "source_size"), weights, most), most), "rates", many)
     ranked = _ranked(_beside(rows, rates), most, bins, seed)
     certain = ranked.groupBy(F.col("source").alias("s")).agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("residual"))
     # one sum per source and bin: bins rows a source, however many documents
@@ -113,7 +115,7 @@ def _decided(docs: DataFrame, columns: tuple, weights: list[float] | None, most:
     sums = sums.withColumn("before", F.coalesce(F.sum("bin_size").over(run), F.lit(0)))
     last = sums.where("before <= residual").groupBy(F.col("source").alias("s")).agg(F.max("bin").alias("last_bin"), F.max_by("before", "bin").alias("before"), F.first("residual").alias("residual"))
     ends = rates.join(sizes.select(F.col("source").alias("s2"), "top"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    ends = staged(ends.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "ends")
+    ends = staged(ends.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "ends", many)
     edge = _beside(ranked, ends.select("source", "last_bin", "before", "residual")).where("bin = last_bin")
     order = Window.partitionBy("source").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("extra", (F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2 <= F.col("residual")).cast("long"))
@@ -151,7 +153,7 @@ def mixed_documents(
     # the last rows that a sample takes: what they are, how many are equal, and how many of these it takes
     cut = edge.groupBy(F.col("source").alias("s"), F.struct(*_ORDER).alias("cut")).agg(F.sum("extra").alias("taken"), F.count(F.lit(1)).alias("equal")).where("taken > 0")
     cut = cut.groupBy("s").agg(F.max(F.struct("cut", "taken", "equal")).alias("c")).select("s", "c.cut", F.col("c.taken").alias("torn"), (F.col("c.taken") < F.col("c.equal")).alias("is_torn"))
-    ends = staged(ends.select("source", "top", "rate", "last_bin").join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "cuts")
+    ends = staged(ends.select("source", "top", "rate", "last_bin").join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "cuts", ends.count())
     whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = _ranked(_levelled(_beside(_narrow(docs, *columns, whole_row), ends)), most, bins, seed)
     own = F.struct(*_ORDER)
