@@ -38,6 +38,19 @@ def resumable(pages: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return pages.join(done.where("status in ('completed', 'failed', 'skipped')").select(*keys), keys, "left_anti")
 
 
+def resumed(operations: DataFrame, batches: DataFrame, batch: str = "batch_id", status: str = "status", redacted: str = "redacted", request: str = "request") -> DataFrame:
+    """operations of interrupted batches with their status and error after a restart.
+
+    What was queued or running is queued again, each URL by itself; but those of a batch whose credentials were not stored fail, and those whose request cannot
+    be rebuilt (null) do. What is done stays done.
+    """
+    b = batches.select(F.col(batch).alias("__b"), F.coalesce(F.col(redacted), F.lit(False)).alias("__redacted"))
+    rows = operations.join(b, F.col(batch) == F.col("__b"), "left")
+    open_ = F.col(status).isin("queued", "processing")
+    error = F.when(open_ & F.col("__redacted"), "the batch used credentials that are not stored: submit it again").when(open_ & F.col(request).isNull(), "the request could not be rebuilt")
+    return rows.withColumn("error", error).withColumn(status, F.when(error.isNotNull(), "failed").when(open_, "queued").otherwise(F.col(status))).drop("__b", "__redacted")
+
+
 def quota_stop(pages: DataFrame, job: str, order: str, room: str) -> DataFrame:
     """allowed: the job's quota still has room; after the first denial all the rest is denied."""
 

@@ -78,3 +78,22 @@ def swept(operations: DataFrame, state: str, terminal: list[str], at: str, befor
     """Operations outside a batch that have stood too long fail."""
     stale = ~F.col(state).isin(*terminal) & (F.col(at) < before) & F.col("batch_id").isNull()
     return operations.withColumn(state, F.when(stale, "failed").otherwise(F.col(state)))
+
+
+#: HTTP status and message of a search that failed, by kind of fault.
+SEARCH_FAULTS = (
+    ("config", 503, "Search is temporarily unavailable. Please try again later."),
+    ("unavailable", 503, "Search is temporarily unavailable. Please try again later."),
+    ("upstream", 502, "The search provider returned an error. Please try again."),
+)
+
+
+def lookups(queries: DataFrame, results: DataFrame, query: str, fault: str, cost: str) -> DataFrame:
+    """A row a query: status (200, or a fault's) and detail, total results, the operations charged (one for a search that succeeded) and its cost."""
+    code, detail = F.lit(200), F.lit(None).cast("string")
+    for kind, status, text in SEARCH_FAULTS:
+        code, detail = F.when(F.col(fault) == kind, status).otherwise(code), F.when(F.col(fault) == kind, text).otherwise(detail)
+    n = results.groupBy(F.col(query).alias("__q")).agg(F.count(F.lit(1)).alias("total"))
+    rows = queries.withColumn("status", code).withColumn("detail", detail).join(n, F.col(query) == F.col("__q"), "left").drop("__q")
+    ok = F.col("status") == 200
+    return rows.withColumn("total", F.when(ok, F.coalesce("total", F.lit(0))).otherwise(0)).withColumn("operations", ok.cast("int")).withColumn("cost_cents", F.when(ok, F.col(cost)).otherwise(0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import urls
 from millrace.operators.windows import first_n
+from millrace.session import cut
 
 
 def frontier(
@@ -73,11 +74,13 @@ def seeds(robots: DataFrame, probes: DataFrame, site: str = "site") -> DataFrame
 
 
 def breadth_first(links: DataFrame, start: DataFrame, src: str, dst: str, depth: int) -> DataFrame:
-    """(url, depth) reached from start (url) in at most depth steps over a table of links; each round is one join against what is new."""
-    reached = start.select("url").distinct().withColumn("depth", F.lit(0))
+    """(url, depth) reached from start (url) in at most depth steps over a table of links; each round is one join against what is new, and the last one finds nothing."""
+    reached = cut(start.select("url").distinct().withColumn("depth", F.lit(0)))
     edge = reached
     for d in range(1, depth + 1):
         found = edge.join(links, F.col("url") == F.col(src)).select(F.col(dst).alias("url")).distinct()
-        edge = found.join(reached.select("url"), "url", "left_anti").withColumn("depth", F.lit(d))
+        edge = cut(found.join(reached.select("url"), "url", "left_anti").withColumn("depth", F.lit(d)))
+        if not edge.take(1):
+            break
         reached = reached.union(edge)
     return reached

@@ -37,6 +37,15 @@ def streaks(checks: DataFrame, key: str, order: list[str], failed: Column, limit
     return rows.withColumn("failures", F.when(F.col("paused"), F.lit(limit)).otherwise(F.col("__run")).cast("long")).drop("__island", "__run")
 
 
+#: A render of lower quality is recorded and not compared.
+QUALITY_FLOOR = 0.4
+
+
+def comparable_hash(digest: Column, quality: Column, blocked: Column) -> Column:
+    """The digest of a check that really captured its page, null for the others: blocked pages, and renders below the floor."""
+    return F.when(~F.coalesce(blocked, F.lit(False)) & (F.coalesce(quality, F.lit(1.0)) >= QUALITY_FLOOR), digest)
+
+
 def baseline_change(snapshots: DataFrame, key: str, order: list[str], digest: str) -> DataFrame:
     """baseline: the latest non-null digest before; changed: there is one and it differs. A null digest is an audit row and changes nothing."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

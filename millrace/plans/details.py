@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import formats, geometry, text, tokens, urls
 from millrace.html import capture, election
-from millrace.operators import extract, jobs, ledger, site_capture, status, url_list
+from millrace.operators import extract, jobs, ledger, site_capture, status, url_list, windows
 from millrace.operators import pages as facts
 from millrace.sources import documents, sinks, site
 from millrace.streaming import stateful
@@ -349,6 +349,28 @@ def next_checks(spark, sf_dir):
     return out.select("watcher_id", F.col("next_check_at").cast("timestamp_ntz").alias("next_check_at"))
 
 
+def watch_checks(spark, sf_dir):
+    """Checks of watchers: what counts as a capture, whether it differs from the last one, failures in a row and the pause."""
+    e = _read(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.when(F.col("event_type") != "error", F.floor(F.col("value") / 40).cast("string")).alias("raw"), ((F.col("event_id") % 10) / 10).alias("quality"), (F.col("event_id") % 7 == 0).alias("blocked"), (F.col("event_type") == "error").alias("failed"))
+    e = e.withColumn("digest", windows.comparable_hash(F.col("raw"), F.col("quality"), F.col("blocked")))
+    rows = windows.baseline_change(e, "user_id", ["ts", "event_id"], "digest")
+    return windows.streaks(rows, "user_id", ["ts", "event_id"], F.col("failed")).select("event_id", "digest", "baseline", "changed", "failures", "paused")
+
+
+def batch_resumes(spark, sf_dir):
+    e = _read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("batch_id"), F.element_at(F.array(*[F.lit(x) for x in ("queued", "processing", "completed", "failed")]), (F.col("event_id") % 4 + 1).cast("int")).alias("status"), F.when(F.col("event_id") % 6 > 0, F.col("event_type")).alias("request"))
+    batches = e.select("batch_id").distinct().withColumn("redacted", F.col("batch_id") % 3 == 0)
+    return jobs.resumed(e, batches).select("event_id", "status", "error")
+
+
+def lookup_reports(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    q = e.select("event_id", F.element_at(F.array(F.lit(None).cast("string"), F.lit("config"), F.lit("unavailable"), F.lit("upstream"), F.lit(None).cast("string")), (F.col("event_id") % 5 + 1).cast("int")).alias("fault"), F.lit(3).alias("cost"))
+    results = e.where("event_id % 3 > 0").select("event_id", F.explode(F.sequence(F.lit(1), (F.col("event_id") % 4 + 1).cast("int"))).alias("n"))
+    out = status.lookups(q, results, "event_id", "fault", "cost")
+    return out.select("event_id", F.col("status").cast("long").alias("status"), "detail", F.col("total").cast("long").alias("total"), F.col("operations").cast("long").alias("operations"), F.col("cost_cents").cast("long").alias("cost_cents"))
+
+
 def content_diffs(spark, sf_dir):
     d = _read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("a"), F.when(F.col("doc_id") % 3 == 0, F.sha2("text", 256)).when(F.col("doc_id") % 3 == 1, F.sha2(F.concat("text", F.lit("!")), 256)).alias("b"))
     x = capture.diff("a", "b")
@@ -467,6 +489,16 @@ SQL = {
         select q.event_id as request_id, (select arg_min(op, k) from n where n.request_id = q.event_id and k <= 3 and f = g) as operation_id from q""",
     "cost_totals": "select user_id, count(*) filter (event_id % 5 <> 0) as completed, count(*) filter (event_id % 5 = 0) as failed, sum(round(value, 2)::decimal(12, 4))::double as cost_cents from events group by 1",
     "next_checks": """select event_id as watcher_id, timestamp '2024-01-20' + to_minutes(greatest(event_id % 200, 60)) as next_check_at from events where event_id % 4 <> 0 and ts <= timestamp '2024-01-20' order by ts, event_id limit 50""",
+    "watch_checks": """with e as (select *, case when event_type <> 'error' and event_id % 7 <> 0 and event_id % 10 >= 4 then floor(value / 40)::bigint::varchar end as digest from events),
+        b as (select *, last_value(digest ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as baseline, sum((event_type <> 'error')::int) over (partition by user_id order by ts, event_id rows unbounded preceding) g from e),
+        f as (select *, sum((event_type = 'error')::int) over (partition by user_id, g order by ts, event_id rows unbounded preceding)::bigint f from b), p as (select *, bool_or(f >= 3) over (partition by user_id order by ts, event_id rows unbounded preceding) p from f)
+        select event_id, digest, baseline, coalesce(digest <> baseline, false) as changed, case when p then 3 else f end as failures, p as paused from p""",
+    "batch_resumes": """with e as (select event_id, user_id % 3 = 0 r, list_extract(['queued', 'processing', 'completed', 'failed'], (event_id % 4 + 1)::int) s, event_id % 6 > 0 known from events),
+        f as (select *, case when event_id % 4 < 2 and r then 'the batch used credentials that are not stored: submit it again' when event_id % 4 < 2 and not known then 'the request could not be rebuilt' end as error from e)
+        select event_id, case when error is not null then 'failed' when event_id % 4 < 2 then 'queued' else s end as status, error from f""",
+    "lookup_reports": """with e as (select event_id, event_id % 5 in (0, 4) ok, event_id % 5 k, case when event_id % 3 > 0 then event_id % 4 + 1 else 0 end n from events)
+        select event_id, case when ok then 200 when k = 3 then 502 else 503 end as status, case when ok then null when k = 3 then 'The search provider returned an error. Please try again.' else 'Search is temporarily unavailable. Please try again later.' end as detail,
+        case when ok then n else 0 end as total, ok::bigint as operations, case when ok then 3 else 0 end as cost_cents from e""",
     "content_diffs": """with d as (select doc_id, sha256(text) a, case doc_id % 3 when 0 then sha256(text) when 1 then sha256(text || '!') end b from documents)
         select doc_id, a is distinct from b as has_changes, case when a is distinct from b then 0.0 else 1.0 end::double as similarity, (a is distinct from b)::bigint as n, case when a is distinct from b then b end as after from d""",
     "planted_jsonld": """select page_id, s as script, pos, case when s = 2 and pos = 0 then '{"a":1}' else '{"@type":"Page","id":' || page_id || '}' end as object from pages, (values (0, 0), (2, 0), (2, 1)) t(s, pos)""",
@@ -480,5 +512,5 @@ SQL = {
 QUERIES = {f.__name__: f for f in (
     url_names, title_names, normal_texts, human_sizes, request_fingerprints, signed_bodies, decoded_bytes, fetch_guard, origin_gates, plan_gates, file_kinds, extract_choices, quality_scores, svg_sizes,
     sitemap_pages, robots_rules, feed_items, seed_sitemaps, link_depths, website_capture, rendered_captures, json_lines, office_files, batch_archives, assembled_jobs, job_verdicts, markdown_as_html, csv_xml_records,
-    state_changes, mail_claims, mail_retries, cached_operations, cost_totals, next_checks, content_diffs, planted_jsonld, access_tokens, line_profiles,
+    state_changes, mail_claims, mail_retries, cached_operations, cost_totals, next_checks, watch_checks, batch_resumes, lookup_reports, content_diffs, planted_jsonld, access_tokens, line_profiles,
 )}

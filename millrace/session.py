@@ -5,6 +5,8 @@ On a cluster the caller brings a session of their own; nothing here overrides it
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -38,3 +40,14 @@ def spread(df: DataFrame) -> DataFrame:
     split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")))
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if estimate < cores * split else df
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once, in the folder that spark.checkpoint.dir names (a local session without one gets a folder of its own): what a loop builds on, so that its plan does not grow."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-"))
+    return df.checkpoint()

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import cut
+
 AGENT = "millrace"
 
 
@@ -41,7 +43,7 @@ def sitemap_urls(sitemaps: DataFrame, start: DataFrame, url: str = "url", body:
         deeper = read.where("s is not null").select("root", "pos_path", "s.is_index", F.posexplode("s.locs").alias("i", "loc")).withColumn("pos_path", F.concat("pos_path", F.format_string("/%06d", "i")))
         found = deeper.where("not is_index").select("root", "pos_path", F.col("loc").alias("url"))
         pages = found if pages is None else pages.union(found)
-        edge = deeper.where("is_index").groupBy("root", F.col("loc").alias("at")).agg(F.min("pos_path").alias("pos_path")).join(seen, ["root", "at"], "left_anti").select("root", "at", "pos_path")
+        edge = cut(deeper.where("is_index").groupBy("root", F.col("loc").alias("at")).agg(F.min("pos_path").alias("pos_path")).join(seen, ["root", "at"], "left_anti").select("root", "at", "pos_path"))
         if not edge.take(1):
             break
         seen = seen.union(edge.select("root", "at"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from millrace.operators import windows
 from millrace.operators.folds import Breaker
 
 DAYS = 86400
@@ -66,9 +67,9 @@ class _Ordered(StatefulProcessor):
 
 
 class Watcher(_Ordered):
-    """Check results (watcher_id, check_id, ts, ok, content_hash) to status: first capture, change, failures in a row, pause at three.
+    """Check results (watcher_id, check_id, ts, ok, content_hash; render_quality and is_blocked where there are such) to status: first capture, change, failures in a row, pause at three.
 
-    A failed check leaves the baseline; a null hash is an audit row; a paused watcher is checked no more.
+    A failed check leaves the baseline; a null hash, a blocked page and one of poor quality are audit rows; a paused watcher is checked no more.
     """
 
     columns, order = ["watcher_id", "check_id", "changed", "failures", "paused"], ["ts", "check_id"]
@@ -82,7 +83,9 @@ class Watcher(_Ordered):
         changed = False
         if row.ok:
             s["failures"] = 0
-            if isinstance(row.content_hash, str):
+            quality = getattr(row, "render_quality", None)
+            poor = quality is not None and quality < windows.QUALITY_FLOOR
+            if isinstance(row.content_hash, str) and not poor and not getattr(row, "is_blocked", False):
                 changed = s["hash"] is not None and s["hash"] != row.content_hash
                 s["hash"] = row.content_hash
         else:

@@ -68,6 +68,8 @@ def test_streak_and_baseline(spark):
     rows = [(1, i, ok, h) for i, (ok, h) in enumerate([(False, None), (False, None), (True, "h1"), (False, None), (False, None), (False, None)])]
     got = windows.streaks(frame(spark, rows, "k long, i long, ok boolean, h string"), "k", ["i"], ~F.col("ok")).orderBy("i").collect()
     assert [r.failures for r in got] == [1, 2, 0, 1, 2, 3] and [r.paused for r in got] == [False] * 5 + [True]
+    later = frame(spark, [(1, i, i in (3, 5)) for i in range(8)], "k long, i long, ok boolean")  # a pause lasts
+    assert [(r.failures, r.paused) for r in windows.streaks(later, "k", ["i"], ~F.col("ok")).orderBy("i").collect()] == [(1, False), (2, False)] + [(3, True)] * 6
     hashes = frame(spark, [(1, i, h) for i, h in enumerate(["h1", None, "h1", "h2"])], "k long, i long, h string")
     assert [r.changed for r in windows.baseline_change(hashes, "k", ["i"], "h").orderBy("i").collect()] == [False, False, False, True]
 

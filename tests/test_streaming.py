@@ -40,6 +40,15 @@ def test_watcher_state_equals_its_batch_twin(spark, tmp_path):
     assert got == {k: tuple(v) for k, v in twin.items()}
 
 
+def test_watcher_does_not_compare_what_is_blocked_or_poor():
+    from types import SimpleNamespace as Row
+
+    w = stateful.Watcher()
+    s = w.start()
+    told = [w.step(s, Row(check_id=i, ok=True, content_hash=h, render_quality=q, is_blocked=b)) for i, (h, q, b) in enumerate([("a", 1.0, False), ("b", 0.39, False), ("b", 1.0, True), ("a", 0.4, False), ("c", None, False)])]
+    assert [t[1] for t in told] == [False, False, False, False, True] and s["hash"] == "c"
+
+
 def test_limiter_and_breaker_streams(spark, tmp_path):
     e, _ = events(spark, tmp_path)
     one = str(tmp_path / "one")
