@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import discard, partitions, staged
-from millrace.llm.graph import connected_components
+from millrace.llm.graph import connected_components, forest
 
 PASSES, BITS, WINDOW, BLOCK = 12, 48, 32, 1024
 #: Probability that a pair at the threshold meets in no pass. Prefixes are taken SLACK bits longer than even buckets need.
@@ -162,28 +162,35 @@ def _block_links(threshold: float):
     return run
 
 
-def near_duplicate_vectors(
-    df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", group_col: str = "label", threshold: float = 0.98,
-    passes: int = PASSES, bits: int = BITS, window: int = WINDOW, block: int = BLOCK, seed: int = 7,
-) -> DataFrame:
-    """One row per input row: id, n_links, component_id, kept.
+def _block_forest(threshold: float):
+    """What _block_links counts, as edges that join it."""
 
-    Vectors of equal, non-null group and equal length link at a cosine (double precision) of threshold or more. Vectors
-    that are null, empty, zero or hold null or non-finite components, and those of a null group, link with nothing.
-    Rows that repeat an id count as vectors of their own; a null id never names a component that has another. An empty
-    table gives an empty result. Other columns are not read. Passes are the least; larger groups get more.
-    """
-    spark = df.sparkSession
-    v = F.col("vec")
-    rows = df.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), F.col(vec_col).cast("array<double>").alias("vec"))
-    sound = F.coalesce(F.col("grp").isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists(v, lambda e: e != 0), F.lit(False))
-    rows = rows.withColumn("sound", sound).withColumn("k1", F.when(F.col("sound"), F.xxhash64("vec"))).withColumn("k2", F.when(F.col("sound"), F.xxhash64(F.lit(seed), "vec")))
-    classes = (
-        rows.where("sound").groupBy("grp", "k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
-        .withColumn("rep", F.coalesce(F.col("id"), F.lit(-(2**63)))).withColumn("dim", F.size("vec"))
-    )
-    classes = staged(classes, "vectors")
-    n = partitions(spark)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q = int(pdf["p"].iat[0]), int(pdf["q"].iat[0])
+        x = np.frombuffer(b"".join(pdf["raw"]), np.float64).reshape(len(pdf), -1)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        bucket, rep = pdf["bucket"].to_numpy(), pdf["rep"].to_numpy()
+        one, two = (np.arange(len(rep)),) * 2 if p == q else (np.flatnonzero(bucket == p), np.flatnonzero(bucket == q))
+        hit = x[one] @ x[two].T >= threshold
+        if p == q:
+            np.fill_diagonal(hit, False)
+        return forest(hit, rep[one], rep[two], p == q)
+
+    return run
+
+
+def _in_blocks(members: DataFrame, by: str, block: int) -> DataFrame:
+    """Vectors (rep, copies, vec and by) dealt to all pairs of buckets of their value of by, about block of them a bucket."""
+    blocks = members.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    members = members.join(blocks, by).withColumn("bucket", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select(F.col(by).cast("long").alias("component"), "rep", "copies", "bucket", F.least("bucket", "other").alias("p"), F.greatest("bucket", "other").alias("q"), "vec")
+    return members.mapInPandas(_packed, "component long, rep long, copies long, bucket int, p int, q int, raw binary")
+
+
+def _by_passes(classes: DataFrame, threshold: float, passes: int, bits: int, window: int, seed: int) -> DataFrame:
+    """(node, component) of vectors that sorted projection passes join."""
+    n = partitions(classes.sparkSession)
     kind = classes.schema["grp"].dataType.simpleString()
     centres = classes.select("grp", "dim", "vec").mapInPandas(_sums, f"grp {kind}, dim int, n long, total array<double>")
     centres = staged(centres.groupBy("grp", "dim").applyInPandas(_centres(threshold, window, passes), f"grp {kind}, dim int, passes int, mean array<double>"), "centres")
@@ -201,12 +208,40 @@ def near_duplicate_vectors(
     links = staged(found.where("a is not null").select("a", "b").union(seams).distinct(), "links")
     parts = staged(connected_components(links, rows=links.count()), "parts", classes.count())
     discard(found, centres, links)
-    members = classes.join(parts, classes["rep"] == parts["node"]).select("rep", "component", "copies", "vec")
-    blocks = parts.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    members = members.join(blocks, "component").withColumn("bucket", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("component", "rep", "copies", "bucket", F.least("bucket", "other").alias("p"), F.greatest("bucket", "other").alias("q"), "vec")
-    counted = members.mapInPandas(_packed, "component long, rep long, copies long, bucket int, p int, q int, raw binary").groupBy("component", "p", "q").applyInPandas(_block_links(threshold), "rep long, linked long")
+    return parts
+
+
+def near_duplicate_vectors(
+    df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", group_col: str = "label", threshold: float = 0.98,
+    passes: int = PASSES, bits: int = BITS, window: int = WINDOW, block: int = BLOCK, seed: int = 7, exact: bool = False,
+) -> DataFrame:
+    """One row per input row: id, n_links, component_id, kept.
+
+    Vectors of equal, non-null group and equal length link at a cosine (double precision) of threshold or more. Vectors
+    that are null, empty, zero or hold null or non-finite components, and those of a null group, link with nothing.
+    Rows that repeat an id count as vectors of their own; a null id never names a component that has another. An empty
+    table gives an empty result. Other columns are not read. Passes are the least; larger groups get more. exact: no passes, but every vector is
+    compared with all others of its group, block by block: nothing is missed, and the work is quadratic in a group.
+    """
+    v = F.col("vec")
+    rows = df.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), F.col(vec_col).cast("array<double>").alias("vec"))
+    sound = F.coalesce(F.col("grp").isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists(v, lambda e: e != 0), F.lit(False))
+    rows = rows.withColumn("sound", sound).withColumn("k1", F.when(F.col("sound"), F.xxhash64("vec"))).withColumn("k2", F.when(F.col("sound"), F.xxhash64(F.lit(seed), "vec")))
+    classes = (
+        rows.where("sound").groupBy("grp", "k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
+        .withColumn("rep", F.coalesce(F.col("id"), F.lit(-(2**63)))).withColumn("dim", F.size("vec"))
+    )
+    classes = staged(classes, "vectors")
+    if exact:
+        dealt = staged(_in_blocks(classes.withColumn("place", F.xxhash64("grp", "dim")), "place", block), "blocks")
+        links = staged(dealt.groupBy("component", "p", "q").applyInPandas(_block_forest(threshold), "a long, b long"), "links")
+        parts = staged(connected_components(links, rows=links.count()), "parts", classes.count())
+        discard(links)
+    else:
+        parts = _by_passes(classes, threshold, passes, bits, window, seed)
+        members = classes.join(parts, classes["rep"] == parts["node"]).select("rep", "component", "copies", "vec")
+        dealt = _in_blocks(members, "component", block)
+    counted = dealt.groupBy("component", "p", "q").applyInPandas(_block_links(threshold), "rep long, linked long")
     linked = counted.groupBy("rep").agg(F.sum("linked").alias("linked"))
     verdict = classes.select("grp", "k1", "k2", "rep", "id", "copies").join(parts, F.col("rep") == F.col("node"), "left").join(linked, "rep", "left")
     verdict = verdict.select("grp", "k1", "k2", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))

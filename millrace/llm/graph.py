@@ -7,6 +7,8 @@ between rounds; the driver sees a count and a checksum a round.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +59,37 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rows: int
             break
         was = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def forest(hit: np.ndarray, one: np.ndarray, two: np.ndarray, same: bool) -> pd.DataFrame:
+    """Edges that join what hit joins: each node reached is linked to the one it was reached from."""
+    a, b = [], []
+    if same:
+        left = np.ones(len(one), bool)
+        for start in np.flatnonzero(hit.any(axis=1)):
+            if not left[start]:
+                continue
+            left[start] = False
+            stack = [start]
+            while stack:
+                i = stack.pop()
+                new = np.flatnonzero(hit[i] & left)
+                left[new] = False
+                a += [one[i]] * len(new)
+                b += one[new].tolist()
+                stack += new.tolist()
+    else:
+        rows, cols = np.ones(len(one), bool), np.ones(len(two), bool)
+        for start in np.flatnonzero(hit.any(axis=1)):
+            if not rows[start]:
+                continue
+            rows[start] = False
+            stack = [(True, start)]
+            while stack:
+                row, i = stack.pop()
+                new = np.flatnonzero(hit[i] & cols) if row else np.flatnonzero(hit[:, i] & rows)
+                (cols if row else rows)[new] = False
+                a += [(one if row else two)[i]] * len(new)
+                b += (two if row else one)[new].tolist()
+                stack += [(not row, j) for j in new]
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})

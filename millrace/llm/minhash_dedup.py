@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import discard, lean, mixed, partitions, pieces, runs, small_side, staged, without, word_hashes
-from millrace.llm.graph import connected_components
+from millrace.llm.graph import connected_components, forest
 
 SHINGLE, CHUNKS, PLACES = 5, 8, 6
 K = CHUNKS * PLACES
@@ -246,41 +246,7 @@ def _block(ids: np.ndarray, sets: list[np.ndarray], one: np.ndarray, two: np.nda
     same = one is two
     if same:
         np.fill_diagonal(hit, False)
-    return _forest(hit, ids[one], ids[two], same)
-
-
-def _forest(hit: np.ndarray, one: np.ndarray, two: np.ndarray, same: bool) -> pd.DataFrame:
-    """Edges that join what hit joins: each node reached is linked to the one it was reached from."""
-    a, b = [], []
-    if same:
-        left = np.ones(len(one), bool)
-        for start in np.flatnonzero(hit.any(axis=1)):
-            if not left[start]:
-                continue
-            left[start] = False
-            stack = [start]
-            while stack:
-                i = stack.pop()
-                new = np.flatnonzero(hit[i] & left)
-                left[new] = False
-                a += [one[i]] * len(new)
-                b += one[new].tolist()
-                stack += new.tolist()
-    else:
-        rows, cols = np.ones(len(one), bool), np.ones(len(two), bool)
-        for start in np.flatnonzero(hit.any(axis=1)):
-            if not rows[start]:
-                continue
-            rows[start] = False
-            stack = [(True, start)]
-            while stack:
-                row, i = stack.pop()
-                new = np.flatnonzero(hit[i] & cols) if row else np.flatnonzero(hit[:, i] & rows)
-                (cols if row else rows)[new] = False
-                a += [(one if row else two)[i]] * len(new)
-                b += (two if row else one)[new].tolist()
-                stack += [(not row, j) for j in new]
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+    return forest(hit, ids[one], ids[two], same)
 
 
 def across(shared: DataFrame, parts: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, rows_: int, documents: int = 384, shingles_: int = 300_000) -> DataFrame | None:

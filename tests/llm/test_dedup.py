@@ -156,6 +156,18 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_exact_comparison_misses_nothing(spark):
+    """Pairs far apart in every sorted order: the exact way finds all of them, whatever the window."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(300, 24))
+    rows = [*base, *(base[:120] + rng.normal(size=(120, 24)) * 0.13), *([base[0]] * 5)]
+    labelled = [(i, list(map(float, v)), i % 3 if i < 30 else 0) for i, v in enumerate(rows)]
+    df = spark.createDataFrame(labelled, "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicate_vectors(df, block=50, exact=True).collect()}
+    want = brute_vectors(labelled, 0.98)
+    assert got == want and sum(n > 0 for n, _ in want.values()) > 40
+
+
 def test_embedding_recall_on_the_table(spark):
     rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicate_vectors(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")).collect()}
