@@ -39,8 +39,8 @@ def test_query(spark, duck, name):
     df = catalogue.queries()[name](spark, SF)
     columns = sorted(df.columns)
     rows = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
-    if name not in catalogue.oracle_sql():
-        assert columns
+    if name not in catalogue.oracle_sql():  # no page of the tables has structured data: planted_jsonld covers it
+        assert name == "page_jsonld" and rows == []
         return
     found = duck.sql(catalogue.oracle_sql()[name])
     order = [found.columns.index(c) for c in columns]
