@@ -229,7 +229,7 @@ def near_duplicate_vectors(
     rows = rows.withColumn("sound", sound).withColumn("k1", F.when(F.col("sound"), F.xxhash64("vec"))).withColumn("k2", F.when(F.col("sound"), F.xxhash64(F.lit(seed), "vec")))
     classes = (
         rows.where("sound").groupBy("grp", "k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
-        .withColumn("rep", F.coalesce(F.col("id"), F.lit(-(2**63)))).withColumn("dim", F.size("vec"))
+        .withColumn("rep", F.monotonically_increasing_id()).withColumn("dim", F.size("vec"))
     )
     classes = staged(classes, "vectors")
     if exact:
@@ -243,8 +243,11 @@ def near_duplicate_vectors(
         dealt = _in_blocks(members, "component", block)
     counted = dealt.groupBy("component", "p", "q").applyInPandas(_block_links(threshold), "rep long, linked long")
     linked = counted.groupBy("rep").agg(F.sum("linked").alias("linked"))
-    verdict = classes.select("grp", "k1", "k2", "rep", "id", "copies").join(parts, F.col("rep") == F.col("node"), "left").join(linked, "rep", "left")
-    verdict = verdict.select("grp", "k1", "k2", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    # a component's name is its smallest id, whatever the numbers of its vectors
+    named = classes.join(parts, F.col("rep") == F.col("node")).groupBy("component").agg(F.min("id").alias("name"))
+    named = parts.join(named, "component").select("node", "name")
+    verdict = classes.select("grp", "k1", "k2", "rep", "id", "copies").join(named, F.col("rep") == F.col("node"), "left").join(linked, "rep", "left")
+    verdict = verdict.select("grp", "k1", "k2", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("name", "id").alias("component_id"))
     sure = rows.where("sound").select("id", "grp", "k1", "k2").join(verdict, ["grp", "k1", "k2"]).select("id", "n_links", "component_id")
     rest = rows.where("not sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return sure.union(rest).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

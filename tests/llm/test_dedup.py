@@ -156,6 +156,16 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_that_repeat_an_id_or_have_none(spark):
+    near = [1.0, 0.01, 0.0]
+    rows = [(5, [1.0, 0.0, 0.0], 1), (5, [0.0, 1.0, 0.0], 1), (5, [1.0, 0.0, 0.0], 1), (None, near, 1), (None, [0.0, 0.0, 1.0], 1), (7, [0.0, 0.0, 2.0], 1), (None, None, 1), (8, [0.0, 0.0, 1.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    for exact in (False, True):
+        got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicate_vectors(df, exact=exact).collect()), key=str)
+        # each row is a vector of its own; a component with a row that has an id is named by it
+        assert got == sorted([(5, 2, 5, True), (5, 0, 5, True), (5, 2, 5, True), (None, 2, 5, False), (None, 1, 7, False), (7, 1, 7, True), (None, 0, None, True), (8, 0, 8, True)], key=str)
+
+
 def test_exact_comparison_misses_nothing(spark):
     """Pairs far apart in every sorted order: the exact way finds all of them, whatever the window."""
     rng = np.random.default_rng(12)

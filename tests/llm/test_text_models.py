@@ -340,6 +340,16 @@ def test_quality_edges(spark):
     assert np.isfinite(x).all() and x.shape == (3, quality.N_FEATURES)
 
 
+def test_scores_and_licences_of_rows_that_repeat_an_id(spark):
+    rows = [(1, "Plain words of a text. MIT License?!x"), (1, "A | B | C\nMIT License"), (1, "A | B | C\nMIT License"), (None, "A | B | C\nMIT License")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("held_out", F.lit(3)).repartition(2)
+    net = quality.fit_nnpu(np.array([quality.features("Plain words of a text. ")] * 9 + [quality.features("More plain words, of another text.")]), np.array([quality.features(t) for t in ("A | B", "| C |", "Plain words of a text.")]), 0.4)
+    got = sorted((str(r.doc_id), round(r.score, 9)) for r in quality.score(df, net).collect())
+    one = lambda t: round(float(net.scores(quality.features(t)[None].astype(np.float64))[0]), 9)
+    assert got == sorted((str(i), one(t)) for i, t in rows)
+    assert sorted((str(r.doc_id), list(r.licenses)) for r in license_scan.license_scan(df).collect()) == sorted((str(i), ["MIT"] if "\n" in t else []) for i, t in rows)
+
+
 def test_nonnegative_risk_separates():
     rng = np.random.default_rng(0)
     p, n = rng.normal(1.5, 1, (600, 4)), rng.normal(-1.5, 1, (600, 4))
