@@ -497,16 +497,16 @@ SQL = {
         f as (select *, case when event_id % 4 < 2 and r then 'the batch used credentials that are not stored: submit it again' when event_id % 4 < 2 and not known then 'the request could not be rebuilt' end as error from e)
         select event_id, case when error is not null then 'failed' when event_id % 4 < 2 then 'queued' else s end as status, error from f""",
     "lookup_reports": """with e as (select event_id, event_id % 5 in (0, 4) ok, event_id % 5 k, case when event_id % 3 > 0 then event_id % 4 + 1 else 0 end n from events)
-        select event_id, case when ok then 200 when k = 3 then 502 else 503 end as status, case when ok then null when k = 3 then 'The search provider returned an error. Please try again.' else 'Search is temporarily unavailable. Please try again later.' end as detail,
-        case when ok then n else 0 end as total, ok::bigint as operations, case when ok then 3 else 0 end as cost_cents from e""",
+        select event_id, (case when ok then 200 when k = 3 then 502 else 503 end)::bigint as status, case when ok then null when k = 3 then 'The search provider returned an error. Please try again.' else 'Search is temporarily unavailable. Please try again later.' end as detail,
+        case when ok then n else 0 end as total, ok::bigint as operations, (case when ok then 3 else 0 end)::bigint as cost_cents from e""",
     "content_diffs": """with d as (select doc_id, sha256(text) a, case doc_id % 3 when 0 then sha256(text) when 1 then sha256(text || '!') end b from documents)
         select doc_id, a is distinct from b as has_changes, case when a is distinct from b then 0.0 else 1.0 end::double as similarity, (a is distinct from b)::bigint as n, case when a is distinct from b then b end as after from d""",
-    "planted_jsonld": """select page_id, s as script, pos, case when s = 2 and pos = 0 then '{"a":1}' else '{"@type":"Page","id":' || page_id || '}' end as object from pages, (values (0, 0), (2, 0), (2, 1)) t(s, pos)""",
-    "access_tokens": "select n_nationkey, rtrim(replace(replace(base64(encode(n_nationkey || '.' || " + _hmac("n_nationkey::varchar") + ")), '+', '-'), '/', '_'), '=') as token, case when n_nationkey % 2 = 0 then n_nationkey end as \"user\" from nation",
+    "planted_jsonld": """select page_id, s::bigint as script, pos::bigint as pos, case when s = 2 and pos = 0 then '{"a":1}' else '{"@type":"Page","id":' || page_id || '}' end as object from pages, (values (0, 0), (2, 0), (2, 1)) t(s, pos)""",
+    "access_tokens": "select n_nationkey, rtrim(replace(replace(base64(encode(n_nationkey || '.' || " + _hmac("n_nationkey::varchar") + ")), '+', '-'), '/', '_'), '=') as token, case when n_nationkey % 2 = 0 then n_nationkey::bigint end as \"user\" from nation",
     "line_profiles": r"""with l as (select doc_id, list_filter(list_transform(string_split(substr(text, 1, 3000), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') l from documents),
         w as (select doc_id, l, list_distinct(flatten(list_transform(list_filter(list_concat(['# A title here'], l), lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda t: t <> '')) >= 3),
           lambda x: list_filter(list_transform(regexp_split_to_array(x, '\s+'), lambda t: lower(trim(t, '.,;:!?()[]{}`''"*'))), lambda t: length(t) >= 4 and not contains(t, 'http'))))) p from l)
-        select doc_id, len(l) + 3 as n, 1 as nav, 2 as junk, len(p) as prose, (len(list_filter(list_transform(l[1:6], lambda x: len(list_filter(string_split(regexp_replace(x, '[`*_#>|~\[\]]', ' ', 'g'), ' '), lambda t: trim(t) <> ''))), lambda k: k >= 5)) > 0)::bigint as sections, 1.0::double / (len(l) + 3) as nav_ratio from w""",
+        select doc_id, len(l) + 3 as n, 1::bigint as nav, 2::bigint as junk, len(p) as prose, (len(list_filter(list_transform(l[1:6], lambda x: len(list_filter(string_split(regexp_replace(x, '[`*_#>|~\[\]]', ' ', 'g'), ' '), lambda t: trim(t) <> ''))), lambda k: k >= 5)) > 0)::bigint as sections, 1.0::double / (len(l) + 3) as nav_ratio from w""",
 }
 
 QUERIES = {f.__name__: f for f in (

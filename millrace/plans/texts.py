@@ -39,7 +39,7 @@ def array_truncate(spark, sf_dir):
 
 def chunk_documents(spark, sf_dir):
     rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(chunking.chunks_of("text", 128, 1)).alias("chunk_index", "c"))
-    return rows.select("doc_id", "chunk_index", "c.word_count", F.sha2("c.text", 256).alias("text_sha256"))
+    return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("c.word_count").cast("long").alias("word_count"), F.sha2("c.text", 256).alias("text_sha256"))
 
 
 def pack_documents(spark, sf_dir):

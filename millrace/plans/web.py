@@ -110,7 +110,7 @@ def main_content_elect(spark, sf_dir):
 
 def election_candidates(spark, sf_dir):
     c = pages.candidates(_pages(spark, sf_dir))
-    return c.select(F.col("page").alias("page_id"), F.posexplode("candidates").alias("pos", "c"), F.length("full_page").alias("full_chars")).select("page_id", "c.source", F.length("c.markdown").alias("n_chars"), "full_chars")
+    return c.select(F.col("page").alias("page_id"), F.posexplode("candidates").alias("pos", "c"), F.length("full_page").alias("full_chars")).select("page_id", "c.source", F.length("c.markdown").cast("long").alias("n_chars"), F.col("full_chars").cast("long").alias("full_chars"))
 
 
 def markdown_page(spark, sf_dir):
@@ -138,7 +138,7 @@ def distill_pages(spark, sf_dir):
 
 
 def page_captures(spark, sf_dir):
-    return capture.captures(_pages(spark, sf_dir)).select("page_id", "content_hash", F.length("capture_text").alias("n_chars"), F.length("structured").alias("structured_chars"))
+    return capture.captures(_pages(spark, sf_dir)).select("page_id", "content_hash", F.length("capture_text").cast("long").alias("n_chars"), F.length("structured").cast("long").alias("structured_chars"))
 
 
 def page_fingerprint(spark, sf_dir):
