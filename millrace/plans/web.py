@@ -215,7 +215,7 @@ SQL = {
         select page_id, sha256('{{"structured": ' || s || ', "text": ' || to_json(markdown) || '}}') as content_hash, length(markdown) as n_chars, length(s) as structured_chars from s join converted using (page_id)""",
     "chunk_pages": f"""with recursive {_ARTICLE},
         parts as (select page_id, url, title, section, head, unnest(string_split(body, chr(10) || chr(10))) as body, generate_subscripts(string_split(body, chr(10) || chr(10)), 1) b from (
-          select page_id, converted.url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) title, unnest([{{'n': 0, 't': trim(split_part(chr(10) || markdown, chr(10) || '# ', 1), ' ' || chr(10))}}, {{'n': 1, 't': trim(regexp_extract(chr(10) || markdown, '(?s)\\n# [^\\n]*\\n(.*)$', 1), ' ' || chr(10))}}], recursive := true),
+          select page_id, converted.url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) title, unnest([{{'n': 0, 't': replace(trim(split_part(chr(10) || markdown, chr(10) || '# ', 1), ' ' || chr(10)), chr(10) || '- ', chr(10) || chr(10) || '- ')}}, {{'n': 1, 't': trim(regexp_extract(chr(10) || markdown, '(?s)\\n# [^\\n]*\\n(.*)$', 1), ' ' || chr(10))}}], recursive := true),
             regexp_extract(chr(10) || markdown, '\\n# ([^\\n]*)', 1) head from converted) x(page_id, url, title, section, body, head) where body <> ''),
         atoms as (select page_id, url, title, section, head, list(list_transform(list_filter(string_split(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> ''), lambda x, i: case when i > 1 then ' ' else chr(10) || chr(10) end || x) order by b) bits from parts group by page_id, url, title, section, head),
         folded as (select page_id, url, title, section, head, list_reduce(list_transform(flatten(bits), lambda x: {{'done': []::varchar[][], 'held': [x], 'n': {_COUNT.format(x="x")}}}), lambda a, x:
