@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import discard, staged
 
 #: A node with more than a HUBS-th part of all edges is a hub, where there are LARGE edges or more.
-HUBS, LARGE = 1000, 20_000
+HUBS, LARGE = 1000, 1_000_000
 
 
 def _state(edges: DataFrame) -> tuple:
