@@ -7,8 +7,8 @@ partitions, so the unlabelled side is whole at any size, and the risk is minimis
 zero, its multiplier (between 0 and 1) is found at which it is zero. Labels of quality 0 are never used.
 
 The class prior is estimated from positives and unlabelled documents too: a first g, fitted on one half of the training folds, scores the
-other half; of all thresholds the one is taken above which unlabelled documents are fewest in proportion to positives
-(with a margin for chance), and that proportion is the prior.
+other half, and the other way round; of all thresholds the one is taken above which unlabelled documents are fewest in proportion to
+positives (with a margin for chance), and the mean of these proportions is the prior.
 
 Features are shares of characters, of hashed words and word pairs, and how words and lines repeat. Scoring reads every whole text.
 """
@@ -84,14 +84,14 @@ class Moments:
     def __add__(self, other: Moments) -> Moments:
         return Moments(self.n + other.n, self.sums + other.sums)
 
-    def scaled(self, to: np.ndarray) -> np.ndarray:
-        """Mean products of the features that to makes of the plain ones."""
-        return to.T @ (self.sums / self.n) @ to
+
+#: Standardised features are cut here, so that rare marks do not outweigh the rest; weight of |w|^2. Both by validation within the training folds.
+CLIP, RIDGE = 3.0, 3e-2
 
 
 @dataclass
 class Network:
-    """g(x) = (x - shift) / scale * w + bias; the score is (1 + g) / 2, within 0 and 1."""
+    """g(x) = z(x) * w + bias, z the standardised features, cut at CLIP; the score is (1 + g) / 2, within 0 and 1."""
 
     shift: np.ndarray
     scale: np.ndarray
@@ -100,7 +100,7 @@ class Network:
     prior: float
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.shift) / self.scale @ self.w + self.bias
+        return standardised(x, self.shift, self.scale) @ self.w + self.bias
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return np.clip((1 + self.logits(x)) / 2, 0.0, 1.0)
@@ -133,21 +133,29 @@ def minimiser(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge:
     return at(low)
 
 
-def _fitted(positive: Moments, unlabelled: Moments, prior: float, ridge: float) -> Network:
-    """Features are standardised by all documents, the standard deviation kept from zero."""
-    mean = unlabelled.sums[0] / unlabelled.n
-    scale = np.sqrt(np.maximum(np.diag(unlabelled.sums) / unlabelled.n - mean**2, 0.0)) + 1e-3
-    to = np.diag(1 / scale)
-    to[0] = -mean / scale
-    to[:, 0] = np.eye(len(mean))[0]
-    w = minimiser(positive.scaled(to), unlabelled.scaled(to), prior, ridge)
-    return Network(mean[1:], scale[1:], w[1:], float(w[0]), prior)
+def scaling(n: float, sums: np.ndarray, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of features, this kept from zero; that of hashed words, which are many and say little each, counts ten times."""
+    mean = sums / n
+    scale = np.sqrt(np.maximum(squares / n - mean**2, 0.0)) + 1e-3
+    if len(mean) == N_FEATURES:
+        scale[-1 - HASHED : -1] *= 10
+    return mean, scale
+
+
+def standardised(x: np.ndarray, shift: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((x - shift) / scale, -CLIP, CLIP)
+
+
+def _fitted(positive: Moments, unlabelled: Moments, shift: np.ndarray, scale: np.ndarray, prior: float, ridge: float) -> Network:
+    w = minimiser(positive.sums / positive.n, unlabelled.sums / unlabelled.n, prior, ridge)
+    return Network(shift, scale, w[1:], float(w[0]), prior)
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge: float = 1e-2) -> Network:
-    """The network of features in memory."""
-    p, u = Moments.of(np.asarray(positive, np.float64)), Moments.of(np.asarray(unlabelled, np.float64))
-    return _fitted(p, u, prior, ridge)
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge: float = RIDGE) -> Network:
+    """The network of features in memory, standardised by the unlabelled side."""
+    p, u = np.asarray(positive, np.float64), np.asarray(unlabelled, np.float64)
+    shift, scale = scaling(len(u), u.sum(axis=0), (u * u).sum(axis=0))
+    return _fitted(Moments.of(standardised(p, shift, scale)), Moments.of(standardised(u, shift, scale)), shift, scale, prior, ridge)
 
 
 def prior_of(positive: np.ndarray, unlabelled: np.ndarray) -> float:
@@ -234,7 +242,7 @@ def _totals(rows: DataFrame, measure) -> dict[tuple[int, bool], np.ndarray]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held_out: int = 1, sample: int = 20_000, prior: float | None = None, seed: int = 11, ridge: float = 1e-2) -> Network | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held_out: int = 1, sample: int = 20_000, prior: float | None = None, seed: int = 11, ridge: float = RIDGE) -> Network | None:
     """A network from the training folds, or None if these hold no positive.
 
     sample bounds the trusted positives, chosen by hash; the unlabelled side is all training documents. A label that is neither 0 nor 1 is none; a document
@@ -253,7 +261,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = train.join(chosen, "id", "left").select((F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(2))).cast("int").alias("half"), F.coalesce("yes", F.lit(False)).alias("positive"), "text")
     table = staged(rows.mapInArrow(lean(_featurised), "half int, positive boolean, x binary"), "features")
     size = N_FEATURES + 1
-    sums = _totals(table, lambda x: np.concatenate([[len(x)], Moments.of(x).sums.ravel()]))
+    plain = _totals(table, lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]))
+    whole = sum((v for (_, positive), v in plain.items() if not positive), np.zeros(2 * N_FEATURES + 1))
+    shift, scale = scaling(max(1.0, whole[0]), whole[1 : N_FEATURES + 1], whole[N_FEATURES + 1 :])
+    sums = _totals(table, lambda x: np.concatenate([[len(x)], Moments.of(standardised(x, shift, scale)).sums.ravel()]))
     nothing = np.zeros(1 + size * size)
     moments = {(h, p): Moments(float(v[0]), v[1:].reshape(size, size)) for h in (0, 1) for p in (False, True) for v in [sums.get((h, p), nothing)]}
     both = {p: moments[0, p] + moments[1, p] for p in (False, True)}
@@ -261,13 +272,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         discard(table)
         return None
     if prior is None:
-        prior = 0.5
-        if moments[0, True].n and moments[1, True].n:
-            first = _fitted(moments[0, True], moments[0, False], 0.5, ridge)
-            found = _totals(table.where("half = 1"), lambda x: histogram(first.logits(x)))
-            prior = prior_of(found[1, True], found[1, False])
+        found = []
+        for h in (0, 1):  # each half scores the other
+            if moments[h, True].n and moments[1 - h, True].n:
+                first = _fitted(moments[h, True], moments[h, False], shift, scale, 0.5, ridge)
+                told = _totals(table.where(F.col("half") == 1 - h), lambda x, first=first: histogram(first.logits(x)))
+                found.append(prior_of(told[1 - h, True], told[1 - h, False]))
+        prior = float(np.mean(found)) if found else 0.5
     discard(table)
-    return _fitted(both[True], both[False], prior, ridge)
+    return _fitted(both[True], both[False], shift, scale, prior, ridge)
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held_out: int = 1) -> DataFrame:
