@@ -96,12 +96,37 @@ def retryable(log: DataFrame, now: Column, hours: int = 48, minutes: int = 15, c
 
 
 def cached_operation(operations: DataFrame, requests: DataFrame, seconds: int = 3600, most: int = 20) -> DataFrame:
-    """requests with operation_id: the newest of the twenty latest operations of its project and URL within the time that has its fingerprint. The fingerprint is looked at after the limit, so an older match is a miss."""
-    o = operations.where((F.col("status") == "completed") & ~F.col("cache_hit")).select(F.col("project_id").alias("__p"), F.col("url").alias("__u"), F.col("fingerprint").alias("__f"), F.col("created_at").alias("__at"), "operation_id")
-    near = requests.join(o, (F.col("project_id") == F.col("__p")) & (F.col("url") == F.col("__u")) & (F.col("__at") <= F.col("at")) & (F.col("__at") >= F.col("at") - F.make_dt_interval(secs=F.lit(seconds))))
-    ranked = near.withColumn("__n", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("__at"), F.desc("operation_id")))).where(F.col("__n") <= most)
-    hits = ranked.where(F.col("__f") == F.col("fingerprint")).groupBy("request_id").agg(F.min_by("operation_id", "__n").alias("operation_id"))
-    return requests.join(hits, "request_id", "left")
+    """requests with operation_id: the newest of the twenty latest operations of its project and URL within the time that has its fingerprint. The fingerprint is looked at after the limit, so an older match is a miss.
+
+    No pairs are made: both stand in one order of time, where the newest operation with the fingerprint is a hit if fewer than twenty came since. Time is cut into
+    terms of seconds, and the twenty latest operations of a term also stand in the next, so a busy URL is many groups.
+    """
+    names = requests.columns
+    key = [F.col("project_id").alias("__p"), F.col("url").alias("__u"), F.col("fingerprint").alias("__f")]
+    done = operations.where((F.col("status") == "completed") & ~F.col("cache_hit") & F.col("project_id").isNotNull() & F.col("url").isNotNull() & F.col("created_at").isNotNull())
+    o = _in_terms(done.select(*key, F.col("created_at").alias("__at"), F.struct("operation_id").alias("__o")), seconds)
+    latest = Window.partitionBy("__p", "__u", "__term").orderBy(F.desc("__at"), F.desc("__o"))
+    carried = o.withColumn("__n", F.row_number().over(latest)).where(F.col("__n") <= most).withColumn("__term", F.col("__term") + 1).drop("__n")
+    r = _in_terms(requests.select("*", *key, F.col("at").alias("__at")), seconds)
+    both = r.unionByName(o.unionByName(carried), allowMissingColumns=True)
+    # at one time operations stand first: a request sees them
+    order = ["__at", F.col("__o").isNull(), "__o"]
+    upto = lambda *by: Window.partitionBy("__p", "__u", "__term", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__n", F.count("__o").over(upto()))
+    last = F.last(F.when(F.col("__o").isNotNull(), F.struct("__n", "__at", "__o")), ignorenulls=True).over(upto("__f"))
+    rows = both.withColumn("__last", last).where(F.col("__o").isNull())
+    hit = F.col("__f").isNotNull() & (F.col("__n") - F.col("__last.__n") < most) & (F.col("__last.__at") >= F.col("__at") - F.make_dt_interval(secs=F.lit(seconds)))
+    return rows.select("request_id", *[c for c in names if c != "request_id"], F.when(hit, F.col("__last.__o.operation_id")).alias("operation_id"))
+
+
+def _in_terms(rows: DataFrame, seconds: int) -> DataFrame:
+    """rows with __term: the whole terms of seconds before __at. Times without a zone are counted as they read, whatever the session's zone."""
+    at = F.col("__at")
+    if rows.schema["__at"].dataType.typeName() == "timestamp_ntz":
+        whole = F.datediff(F.to_date(at), F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+    else:
+        whole = F.unix_seconds(at.cast("timestamp"))
+    return rows.withColumn("__term", F.floor(whole / max(seconds, 1)))
 
 
 def policy_verdict(url: Column, domains: list[str], tlds: list[str], patterns: list[str]) -> Column:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +46,25 @@ def test_cached_operation_looks_at_the_fingerprint_after_the_limit(spark):
     assert [x.operation_id for x in jobs.cached_operation(o, r).orderBy("request_id").collect()] == ["op24", None, None]
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_cached_operation_makes_no_pairs(spark, kind):
+    """Against brute force, over many terms, with ties of time, null fingerprints and URLs, failed operations and hits; no join, whose pairs would fill the disk."""
+    rng, t0 = random.Random(5), dt.datetime(2024, 3, 31)
+    at = lambda: t0 + dt.timedelta(seconds=rng.randrange(-40, 120), microseconds=rng.choice([0, 0, 500_000]))
+    ops = [(rng.randrange(2), rng.choice(["u", "v", None]), rng.choice(["f", "g", "h", None]), at(), i, rng.choice(["completed"] * 4 + ["failed"]), rng.random() < 0.1) for i in range(400)]
+    asked = [(i, rng.choice([0, 1, None]), rng.choice(["u", "v", None]), rng.choice(["f", "g", "h", None]), at()) for i in range(300)]
+    o = spark.createDataFrame(ops, f"project_id long, url string, fingerprint string, created_at {kind}, operation_id long, status string, cache_hit boolean")
+    r = spark.createDataFrame(asked, f"request_id long, project_id long, url string, fingerprint string, at {kind}")
+    want = {}
+    for i, p, u, f, t in asked:
+        near = sorted((x for x in ops if x[5] == "completed" and not x[6] and None not in (p, u) and x[:2] == (p, u) and t - dt.timedelta(seconds=7) <= x[3] <= t), key=lambda x: (x[3], x[4]), reverse=True)[:3]
+        want[i] = next((x[4] for x in near if f is not None and x[2] == f), None)
+    got = jobs.cached_operation(o, r, seconds=7, most=3)
+    assert got.columns == ["request_id", "project_id", "url", "fingerprint", "at", "operation_id"]
+    assert {x.request_id: x.operation_id for x in got.collect()} == want and 20 < sum(x is not None for x in want.values()) < 280
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_policy(spark):
     df = spark.createDataFrame([("https://a.bad.com/x",), ("https://x.zip",), ("https://foo-phish.org",), ("https://ok.com",), ("nonsense",)], "u string")
     got = [r.v and tuple(r.v) for r in df.select(jobs.policy_verdict(F.col("u"), [".bad.com"], ["zip"], ["PHISH", "("]).alias("v")).collect()]
