@@ -8,7 +8,7 @@ from test_catalogue import SF, plain
 from millrace.html.tree import parse
 from millrace.plans import catalogue
 
-NAMES = ["css_records"]
+NAMES = ["css_records", "distill_pages"]
 
 
 @pytest.fixture(scope="module")
