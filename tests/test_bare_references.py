@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 from test_catalogue import SF, plain
 
+from millrace.html.pages import TRUNCATED, main_markdown
 from millrace.html.tree import parse
 from millrace.plans import catalogue
 
-NAMES = ["css_records", "distill_pages", "election_candidates"]
+NAMES = ["css_records", "distill_pages", "election_candidates", "main_content_elect"]
 
 
 def written(spark, at, html):
@@ -53,3 +54,20 @@ def test_short_paragraphs_of_a_reader_view(spark, tmp_path, text):
     page = F.regexp_replace("html", "(?s)</h1>.*</article>", f"</h1><p><b>{text}<br></article>")
     found = same(spark, written(spark, tmp_path, F.when(F.col("page_id") % 8 == 0, page).otherwise(F.regexp_replace("html", "(?s)</h1>.*</article>", f"</h1><p>{text}</p></article>"))), "election_candidates")
     assert any(r.source == "readability" for r in found) == (text == "Erederre on heon oneden.")
+
+
+REPEATED = ["main_content_elect"]
+
+
+@pytest.mark.parametrize("name", REPEATED)
+def test_repeats_are_no_truncated_arrays(spark, tmp_path, name):
+    """Blocks that stand once make a page half as long; no array was cut, so there is no note of that."""
+    block = "".join(f"<p>{w} said that words, sentences and paragraphs come again and again on this page.</p>" for w in ("Anna", "Bertha"))
+    found = same(spark, written(spark, tmp_path, F.regexp_replace("html", "(?s)</h1>.*</article>", f"</h1>{block * 12}</article>")), name)
+    assert all(not (r.n_warnings if name == "main_content_elect" else r.warnings) for r in found)
+
+
+def test_truncated_arrays_are_noted():
+    numbers = ", ".join(str(k / 7) for k in range(400))
+    text, _, warnings = main_markdown(f"<article><h1>Numbers</h1><p>What the model printed, line by line.</p><p>{numbers}</p></article>", "https://a.example")
+    assert "[truncated 384 of 400 values]" in text and warnings == [TRUNCATED]
