@@ -9,7 +9,7 @@ from millrace.html.pages import TRUNCATED, main_markdown
 from millrace.html.tree import parse
 from millrace.plans import catalogue
 
-NAMES = ["css_records", "distill_pages", "election_candidates", "main_content_elect"]
+NAMES = ["css_records", "distill_pages", "election_candidates", "main_content_elect", "markdown_page"]
 
 
 def written(spark, at, html):
@@ -56,7 +56,7 @@ def test_short_paragraphs_of_a_reader_view(spark, tmp_path, text):
     assert any(r.source == "readability" for r in found) == (text == "Erederre on heon oneden.")
 
 
-REPEATED = ["main_content_elect"]
+REPEATED = ["main_content_elect", "markdown_page"]
 
 
 @pytest.mark.parametrize("name", REPEATED)
