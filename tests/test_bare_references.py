@@ -9,7 +9,7 @@ from millrace.html.pages import TRUNCATED, main_markdown
 from millrace.html.tree import parse
 from millrace.plans import catalogue
 
-NAMES = ["css_records", "distill_pages", "election_candidates", "main_content_elect", "markdown_page", "page_captures"]
+NAMES = ["css_records", "distill_pages", "election_candidates", "main_content_elect", "markdown_page", "page_captures", "page_fingerprint"]
 
 
 def written(spark, at, html):
