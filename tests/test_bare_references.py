@@ -71,3 +71,24 @@ def test_truncated_arrays_are_noted():
     numbers = ", ".join(str(k / 7) for k in range(400))
     text, _, warnings = main_markdown(f"<article><h1>Numbers</h1><p>What the model printed, line by line.</p><p>{numbers}</p></article>", "https://a.example")
     assert "[truncated 384 of 400 values]" in text and warnings == [TRUNCATED]
+
+
+CUT = ["distill_pages"]
+
+
+@pytest.fixture(scope="module")
+def cut_numbers(spark, tmp_path_factory):
+    """Headings cut at one of three places inside "&#x27;"."""
+    at = F.concat(F.lit(" It&amp;s &#x"), F.substring(F.lit("27"), 1, (F.col("page_id") / 4 % 3).cast("int")))
+    html = F.regexp_replace("html", F.lit("</(h1|title)>"), F.concat(at, F.lit("</$1>")))
+    return written(spark, tmp_path_factory.mktemp("cut"), html)
+
+
+@pytest.mark.parametrize("name", CUT)
+def test_numbers_cut_short_stay(spark, cut_numbers, name):
+    same(spark, cut_numbers, name)
+
+
+def test_numbers_cut_short():
+    n = parse("<h1>a &#x2</h1><h2>b &#x27<br>&#39</h2><p>c &#x27 &#38 d &#x27; &#39;</p>e &#x2")
+    assert [c.raw_text() for c in n.children[:-1]] == ["a &#x2", "b &#x27&#39", "c ' & d ' '"] and n.children[-1] == "e &#x2"
