@@ -73,7 +73,7 @@ def test_truncated_arrays_are_noted():
     assert "[truncated 384 of 400 values]" in text and warnings == [TRUNCATED]
 
 
-CUT = ["distill_pages"]
+CUT = ["distill_pages", "markdown_page"]
 
 
 @pytest.fixture(scope="module")
