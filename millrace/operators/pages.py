@@ -85,9 +85,10 @@ def feed_links(html: Column | str, base: Column | str) -> Column:
 
 
 def fingerprint(markdown: Column | str, own: Column) -> Column:
-    """SHA-256 of the content with its own URLs (array, the longest first, where they stand whole) folded."""
+    """SHA-256 of the content with its own URLs (array, the longest first, where they stand whole) folded; null and empty ones are none."""
+    urls = F.filter(own, lambda u: u != "")
     folded = F.aggregate(
-        F.array_sort(F.array_distinct(F.array_compact(own)), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)),
+        F.array_sort(F.array_distinct(urls), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)),
         _col(markdown),
         lambda acc, u: F.regexp_replace(acc, F.concat(F.lit(r"(?<![\w/.-])\Q"), F.replace(u, F.lit("\\E"), F.lit("")), F.lit(r"\E(?![\w/?#=&%~.-]*[\w/#=&%~-])")), F.lit("\x00self\x00")),
     )

@@ -73,7 +73,7 @@ def test_truncated_arrays_are_noted():
     assert "[truncated 384 of 400 values]" in text and warnings == [TRUNCATED]
 
 
-CUT = ["distill_pages", "markdown_page", "page_captures"]
+CUT = ["distill_pages", "markdown_page", "page_captures", "page_fingerprint"]
 
 
 @pytest.fixture(scope="module")
@@ -99,3 +99,8 @@ def test_captures_hold_whole_texts(spark, tmp_path):
     block = "".join(f"<p>Anna said in line {i} that words, sentences and paragraphs are kept to the end.</p>" for i in range(3000))
     html = F.when(F.col("page_id") % 40 == 0, F.regexp_replace("html", "(?s)</h1>.*</article>", f"</h1>{block}</article>")).otherwise(F.col("html"))
     assert max(r.n_chars for r in same(spark, written(spark, tmp_path, html), "page_captures")) > 200_000
+
+
+def test_an_empty_url_folds_nothing(spark, tmp_path):
+    spark.read.parquet(f"{SF}/pages.parquet").where("page_id % 40 = 0").withColumn("url", F.lit("")).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    same(spark, str(tmp_path), "page_fingerprint")
