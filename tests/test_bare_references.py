@@ -104,3 +104,18 @@ def test_captures_hold_whole_texts(spark, tmp_path):
 def test_an_empty_url_folds_nothing(spark, tmp_path):
     spark.read.parquet(f"{SF}/pages.parquet").where("page_id % 40 = 0").withColumn("url", F.lit("")).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     same(spark, str(tmp_path), "page_fingerprint")
+
+
+BLANKS = ["main_content_elect", "markdown_page", "page_captures", "page_fingerprint"]
+
+
+@pytest.mark.parametrize("name", BLANKS)
+def test_blanks_that_html_does_not_collapse_stay(spark, tmp_path, name):
+    """No-break and ideographic blanks of paragraphs are text (headings are flattened); a NUL is no line break anywhere."""
+    html = F.regexp_replace(F.regexp_replace("html", "</(p|div)>", " 10\u00a0000\u3000km.</$1>"), "</(h1|p|div)>", " and\u0000so on</$1>")
+    same(spark, written(spark, tmp_path, html), name)
+
+
+def test_blanks_in_markdown():
+    text, _, _ = main_markdown("<h1>a\0b&nbsp;c</h1><p>&nbsp;q\0r&nbsp;<br>&nbsp;<br>s&nbsp; \u3000 t</p><p>1.&nbsp;x</p><p>&nbsp;</p><table><tr><td>p\0q<br>r</td><td>&nbsp;</td></tr></table>", "")
+    assert text == "# a\0b c\n\nq\0r  \n  \ns\u00a0 \u3000 t\n\n1.\u00a0x\n\n| p\0q r |  |\n| --- | --- |\n"
